@@ -81,14 +81,30 @@ def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def closed_form_score(calls="Support Calls", delay="Payment Delay", lift: float = 0.0):
+def faulty_profile(profile: DataFrame) -> DataFrame:
+    """The profile with planted faults of every kind the validator looks for."""
+    age = F.col("Age")
+    faulty = profile.unionByName(profile.filter(age == 30)).withColumns({
+        "Gender": F.when(age == 40, "Unknown").otherwise(F.col("Gender")),
+        "Subscription Type": F.when(age == 41, "Enterprise").when(age != 42, F.col("`Subscription Type`")),
+        "Total Spend": F.when(~age.between(60, 65), F.col("`Total Spend`")),
+        "Churn": F.when((age < 70) & (age != 33), 0).otherwise(F.col("Churn")),
+        "Region": F.lit("none"),
+    })
+    return faulty.withColumn("Age", F.when(age == 18, 150).when(age == 42, 101).otherwise(age))
+
+
+def closed_form_score(
+    calls="Support Calls", delay="Payment Delay", lift: float = 0.0, digits: int | None = 6
+):
     """Model-free probability with ties, rounded so that equal inputs group together."""
     z = (
         F.lit(0.1) * (F.col(f"`{calls}`") - F.lit(2))
         + F.lit(0.05) * (F.col(f"`{delay}`") - F.lit(10))
         + F.lit(float(lift))
     )
-    return F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), 6)
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+    return p if digits is None else F.round(p, digits)
 
 
 def scored_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +169,7 @@ def ledger_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(
         F.col("s_name").alias("name"),
         F.when(key % 4 == 3, "Deleting").otherwise("InService").alias("status"),
-        F.when(key % 10 != 9, F.timestamp_add("MINUTE", (-(key * 37 + 11)).cast("int"), now))
+        F.when(key % 10 != 9, F.timestamp_add("SECOND", (-(key * 2221 + 677)).cast("int"), now))
         .alias("created_at"),
         F.concat(F.lit("config-"), key.cast("string")).alias("config"),
     )
