@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["exploration", "quality"]
+MODULES = ["exploration", "quality", "insight", "service"]
 
 
 def collect() -> tuple[dict, dict]:

@@ -163,7 +163,9 @@ for _n, _prefix, _fn in [
     ("c7_check_balance", "target_balance", va.check_balance),
 ]:
     Q[_n] = lambda s, d, fn=_fn: fn(_faulty(s, d))
-    S[_n] = FAULTY_CHECKS + f" SELECT * FROM results WHERE starts_with(check_name, '{_prefix}')"
+    S[_n] = FAULTY_CHECKS + f""" SELECT * EXCLUDE (ordinal),
+      CAST(row_number() OVER (ORDER BY ordinal) - 1 AS INTEGER) AS ordinal
+      FROM results WHERE starts_with(check_name, '{_prefix}')"""
 
 Q["c4_invalid_values"] = lambda s, d: va.invalid_values(_faulty(s, d))
 S["c4_invalid_values"] = f"WITH {FAULTY} " + union_all(
@@ -485,7 +487,7 @@ S["h3_h4_lookup"] = f"""WITH {PRICES}, jobs AS (SELECT 'job-' || o_orderkey AS j
 ENDPOINTS = f"""endpoints AS (SELECT s_name AS name,
     CASE WHEN s_suppkey % 4 = 3 THEN 'Deleting' ELSE 'InService' END AS status,
     CASE WHEN s_suppkey % 10 <> 9 THEN TIMESTAMP '{NOW}'
-      - to_seconds(s_suppkey * 2221 + 677) END AS created_at,
+      - to_milliseconds((s_suppkey % 100000) * 2221007 + 677003) END AS created_at,
     'config-' || s_suppkey AS config, s_suppkey AS k FROM supplier
 ), variants AS (
   SELECT k, 0 AS position, {types_sql("k")} AS instance_type,

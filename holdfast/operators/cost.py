@@ -84,7 +84,7 @@ def cost_summary(endpoints: DataFrame, jobs: DataFrame, now: str, days: int = 30
     ).alias("t")).scalar()
     last = recent.limit(5).agg(
         F.sort_array(F.collect_list(F.struct("created", "job")), asc=False).alias("jobs")
-    ).scalar()
+    ).select(F.array_join(F.transform("jobs", lambda x: x["job"]), ",")).scalar()
     return ep.select(
         F.lit(days).alias("period_days"),
         F.col("n").alias("active_endpoints"),
@@ -95,7 +95,7 @@ def cost_summary(endpoints: DataFrame, jobs: DataFrame, now: str, days: int = 30
         tr["n"].alias("jobs_count"),
         F.round(tr["cost"], 2).alias("training_total_usd"),
         F.round(F.col("cost") + tr["cost"], 2).alias("total_cost_usd"),
-        F.array_join(F.transform(last, lambda x: x["job"]), ",").alias("recent_jobs"),
+        last.alias("recent_jobs"),
     )
 
 

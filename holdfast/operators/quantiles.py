@@ -18,11 +18,12 @@ DIRECT_ROWS = 1_000_000
 ACCURACY = 10_000
 
 
-def _interpolate(low: float, high: float, part: float) -> float:
+def _interpolate(low: float, high: float, position: float) -> float:
     """Weighted mean of two neighbours; equal neighbours and whole positions stay exact."""
-    if part == 0.0 or low == high:
+    first, last = math.floor(position), math.ceil(position)
+    if first == last or low == high:
         return low
-    return (1.0 - part) * low + part * high
+    return (last - position) * low + (position - first) * high
 
 
 def quantiles(
@@ -104,7 +105,7 @@ def _bracketed(slim, columns, total, probs, limit):
     picked = _order_statistics(slim, targets, low, high, below, first, last)
     return {
         i: [
-            _interpolate(*picked[(i, j)], position[(i, j)] - first[(i, j)])
+            _interpolate(*picked[(i, j)], position[(i, j)])
             for j in range(len(probs))
         ]
         for i in columns

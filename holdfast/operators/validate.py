@@ -8,6 +8,7 @@ they become result rows.
 from __future__ import annotations
 
 import json
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from holdfast.schema import CUSTOMER_SPEC, ValidationSpec
 PASSED, WARNING, FAILED = "passed", "warning", "failed"
 RESULT_SCHEMA = "ordinal int, check_name string, status string, message string, details string"
 LISTED_VALUES = 1000
+CHECKS = ("schema", "missing", "duplicates", "categories", "bounds", "outliers", "balance")
 
 # Limits of the checks.
 MISSING_LIMIT_PCT = 5
@@ -138,17 +140,19 @@ def invalid_values(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC) -> DataF
     )
 
 
-def check_rows(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC) -> list[tuple]:
-    """All checks as ``(name, status, message, details)``."""
+def check_rows(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC,
+               only: Collection[str] = CHECKS) -> list[tuple]:
+    """The wanted checks as ``(name, status, message, details)``; others cost nothing."""
     cols = df.columns
-    results = _schema_check(df, spec)
+    results = _schema_check(df, spec) if "schema" in only else []
     if not cols:
         return results + _missing_check({}, 0) + _outlier_check({})
-    cats = [c for c in spec.categories if c in cols]
-    bounds = [c for c in spec.bounds if c in cols]
-    has_id, has_target = spec.id_col in cols, spec.target in cols
-    aggs = [F.count("*").alias("rows")]
-    aggs += [F.count_if(is_missing(df, c)).alias(f"null{i}") for i, c in enumerate(cols)]
+    nulls = cols if "missing" in only else []
+    cats = [c for c in spec.categories if c in cols and "categories" in only]
+    bounds = [c for c in spec.bounds if c in cols and "bounds" in only]
+    has_id = spec.id_col in cols and "duplicates" in only
+    has_target = spec.target in cols and "balance" in only
+    aggs = [F.count_if(is_missing(df, c)).alias(f"null{i}") for i, c in enumerate(nulls)]
     aggs += [F.count_if(_outside(c, *spec.bounds[c])).alias(f"bound{i}")
              for i, c in enumerate(bounds)]
     aggs += [F.count_if(~q(c).isin(spec.categories[c])).alias(f"cat{i}")
@@ -160,12 +164,30 @@ def check_rows(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC) -> list[tupl
         aggs.append((F.count("*") - unique).alias("repeats"))
     if has_target:
         aggs.append(F.avg(q(spec.target)).alias("rate"))
-    row = df.agg(*aggs).first()
-    rows = row["rows"]
-    results += _missing_check({c: row[f"null{i}"] for i, c in enumerate(cols)}, rows)
+    if aggs:
+        row = df.agg(F.count("*").alias("rows"), *aggs).first()
+        rows = row["rows"]
+    if nulls:
+        results += _missing_check({c: row[f"null{i}"] for i, c in enumerate(nulls)}, rows)
     if has_id:
         results += _duplicate_check(row["repeats"] or 0, spec.id_col)
-    bad = [c for i, c in enumerate(cats) if row[f"cat{i}"] > 0]
+    results += _category_results(df, spec, cats, [row[f"cat{i}"] for i in range(len(cats))])
+    for i, c in enumerate(bounds):
+        results += _bounds_check(c, *spec.bounds[c], row[f"bound{i}"], rows)
+    if "outliers" in only:
+        numeric = [
+            f.name for f in df.schema.fields
+            if isinstance(f.dataType, T.NumericType) and f.name not in (spec.id_col, spec.target)
+        ]
+        results += _outlier_check(outlier_counts(df, numeric) if numeric else {})
+    if has_target:
+        results += _balance_check(row["rate"])
+    return results
+
+
+def _category_results(df, spec, cats: list[str], bad_rows: list[int]) -> list[tuple]:
+    """List the wrong values of a column, or count them when there are very many."""
+    bad = [c for c, n in zip(cats, bad_rows) if n > 0]
     listed: dict[str, list[str]] = {c: [] for c in bad}
     counts = dict.fromkeys(bad, 0)
     if bad:
@@ -176,18 +198,11 @@ def check_rows(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC) -> list[tupl
         if short:
             for r in found.filter(F.col("column").isin(short)).collect():
                 listed[r["column"]].append(r["value"])
+    results = []
     for c in cats:
         n = counts.get(c, 0)
-        results += _category_check(c, n, sorted(listed.get(c, [])) if n <= LISTED_VALUES else None)
-    for i, c in enumerate(bounds):
-        results += _bounds_check(c, *spec.bounds[c], row[f"bound{i}"], rows)
-    numeric = [
-        f.name for f in df.schema.fields
-        if isinstance(f.dataType, T.NumericType) and f.name not in (spec.id_col, spec.target)
-    ]
-    results += _outlier_check(outlier_counts(df, numeric) if numeric else {})
-    if has_target:
-        results += _balance_check(row["rate"])
+        values = sorted(listed.get(c, [])) if n <= LISTED_VALUES else None
+        results += _category_check(c, n, values)
     return results
 
 
@@ -202,8 +217,8 @@ def run_checks(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC) -> DataFrame
     return _frame(df.sparkSession, check_rows(df, spec))
 
 
-def _only(df: DataFrame, spec: ValidationSpec, prefix: str) -> DataFrame:
-    return run_checks(df, spec).filter(F.col("check_name").startswith(prefix))
+def _only(df: DataFrame, spec: ValidationSpec, check: str) -> DataFrame:
+    return _frame(df.sparkSession, check_rows(df, spec, {check}))
 
 
 def check_schema(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC) -> DataFrame:
@@ -211,27 +226,27 @@ def check_schema(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC) -> DataFra
 
 
 def check_missing(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC) -> DataFrame:
-    return _only(df, spec, "missing_values")
+    return _only(df, spec, "missing")
 
 
 def check_duplicates(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC) -> DataFrame:
-    return _only(df, spec, "duplicate_check")
+    return _only(df, spec, "duplicates")
 
 
 def check_categories(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC) -> DataFrame:
-    return _only(df, spec, "categorical_values")
+    return _only(df, spec, "categories")
 
 
 def check_bounds(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC) -> DataFrame:
-    return _only(df, spec, "bounds_check")
+    return _only(df, spec, "bounds")
 
 
 def check_outliers(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC) -> DataFrame:
-    return _only(df, spec, "outlier_detection")
+    return _only(df, spec, "outliers")
 
 
 def check_balance(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC) -> DataFrame:
-    return _only(df, spec, "target_balance")
+    return _only(df, spec, "balance")
 
 
 def verdict(results: DataFrame, strict: bool = False) -> DataFrame:

@@ -162,6 +162,10 @@ def _instance(key):
     return F.get(names, (key % len(LEDGER_TYPES)).cast("int"))
 
 
+def _shifted(ts, millis):
+    return F.timestamp_micros(F.unix_micros(ts) + millis * 1000)
+
+
 def ledger_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One endpoint per supplier: name, status, creation time, configuration name."""
     key = F.col("s_suppkey")
@@ -169,7 +173,7 @@ def ledger_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(
         F.col("s_name").alias("name"),
         F.when(key % 4 == 3, "Deleting").otherwise("InService").alias("status"),
-        F.when(key % 10 != 9, F.timestamp_add("SECOND", (-(key * 2221 + 677)).cast("int"), now))
+        F.when(key % 10 != 9, _shifted(now, -((key % 100000) * 2221007 + 677003)))
         .alias("created_at"),
         F.concat(F.lit("config-"), key.cast("string")).alias("config"),
     )
@@ -196,8 +200,8 @@ def ledger_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One training job per order; open orders have no end time."""
     key = F.col("o_orderkey")
     created = F.col("o_orderdate").cast("timestamp")
-    started = F.timestamp_add("MINUTE", (key % 60).cast("int"), created)
-    ended = F.timestamp_add("SECOND", (key % 7200 + 30).cast("int"), started)
+    started = _shifted(created, (key % 60) * 60000)
+    ended = _shifted(started, (key % 7200 + 30) * 1000 + 7)
     status = F.col("o_orderstatus")
     return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("job-"), key.cast("string")).alias("job"),
