@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["exploration", "quality", "insight", "service"]
+MODULES = ["exploration", "quality", "insight", "service", "learning"]
 
 
 def collect() -> tuple[dict, dict]:

@@ -261,7 +261,8 @@ S["o3_cost_summary"] = f"WITH {ENDPOINT_COSTS}, {JOBS}, {SUMMARY} SELECT * FROM
 Q["o4_cost_recommendations"] = lambda s, d: cost.cost_recommendations(_endpoints(s, d))
 _BIG = ", ".join(f"'{t}'" for t in OVERSIZED)
 RECOMMEND = f"""rec AS (SELECT 'warning' AS type, endpoint_name AS resource,
-    'Endpoint running for ' || printf('%.1f', runtime_hours) || ' hours' AS issue,
+    'Endpoint running for ' || round(CAST(runtime_hours AS DECIMAL(18,2)), 1) || ' hours'
+      AS issue,
     'Delete endpoint when not in use to save costs' AS recommendation,
     round(hourly_cost_usd * 24 * 30, 2) AS savings_usd, NULL AS savings_note
   FROM ep WHERE runtime_hours > 24

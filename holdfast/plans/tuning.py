@@ -1,10 +1,139 @@
-"""Analysis of finished tuning trials."""
+"""Hyperparameter search and the analysis of its trials."""
 
 from __future__ import annotations
 
+import math
+import random
+from collections.abc import Sequence
+
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.operators.split import add_folds
+from holdfast.plans.models import make_model, prepared, spark_params
+from holdfast.schema import ID, TARGET
+from holdfast.session import staged
+
+# Search grids, in the names of Spark's parameters. Parameters without a
+# counterpart in Spark (leaf penalties, number of leaves, minimum split size) are left out.
+GRIDS_V1 = {
+    "xgboost": {
+        "maxIter": [200, 400, 600, 800], "maxDepth": [4, 6, 8, 10],
+        "stepSize": [0.01, 0.05, 0.1], "subsamplingRate": [0.7, 0.8, 0.9],
+        "featureSubsetStrategy": ["0.7", "0.8", "0.9"], "minInfoGain": [0.0, 0.1, 0.2],
+    },
+    "lightgbm": {
+        "maxIter": [200, 400, 600, 800], "maxDepth": [4, 6, 8, 15],
+        "stepSize": [0.01, 0.05, 0.1], "subsamplingRate": [0.7, 0.8, 0.9],
+        "featureSubsetStrategy": ["0.7", "0.8", "0.9"], "minInstancesPerNode": [10, 20, 50],
+    },
+    "random_forest": {
+        "numTrees": [200, 300, 500], "maxDepth": [10, 15, 20],
+        "minInstancesPerNode": [1, 2], "featureSubsetStrategy": ["sqrt", "log2"],
+    },
+}
+GRIDS_V2 = {
+    "xgboost": {
+        "maxIter": [200, 400, 600], "maxDepth": [4, 6, 8],
+        "stepSize": [0.01, 0.05, 0.1], "subsamplingRate": [0.7, 0.8, 0.9],
+        "featureSubsetStrategy": ["0.7", "0.8", "0.9"], "minInfoGain": [0.0, 0.1, 0.3],
+    },
+    "lightgbm": {
+        "maxIter": [200, 400, 600], "maxDepth": [4, 6, 8, 15],
+        "stepSize": [0.01, 0.05, 0.1], "subsamplingRate": [0.7, 0.8, 0.9],
+        "featureSubsetStrategy": ["0.7", "0.8", "0.9"], "minInstancesPerNode": [10, 20, 50],
+    },
+    "random_forest": {
+        "numTrees": [200, 300, 500], "maxDepth": [10, 15, 20],
+        "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2"],
+    },
+}
+# Ranges of the managed search, as (kind, low, high) or a list.
+RANGES = {
+    "random_forest": {
+        "numTrees": ("int", 50, 300), "maxDepth": ("int", 3, 20),
+        "minInstancesPerNode": ("int", 1, 10),
+        "featureSubsetStrategy": ["sqrt", "log2", "auto"],
+    },
+    "xgboost": {
+        "maxIter": ("int", 50, 300), "maxDepth": ("int", 3, 12),
+        "stepSize": ("log", 0.01, 0.3), "subsamplingRate": ("float", 0.6, 1.0),
+        "minInfoGain": ("float", 0.0, 5.0),
+    },
+    "gradient_boosting": {
+        "maxIter": ("int", 50, 300), "maxDepth": ("int", 3, 15),
+        "stepSize": ("log", 0.01, 0.3), "minInstancesPerNode": ("int", 1, 10),
+        "subsamplingRate": ("float", 0.6, 1.0),
+    },
+}
+
+F1_POSITIVE = MulticlassClassificationEvaluator(
+    metricName="fMeasureByLabel", metricLabel=1.0, labelCol="label", predictionCol="prediction"
+)
+AUC = BinaryClassificationEvaluator(
+    metricName="areaUnderROC", labelCol="label", rawPredictionCol="rawPrediction", numBins=0
+)
+
+
+def draw(space: dict, n: int, seed: int = 42) -> list[dict]:
+    """``n`` seeded draws from grids and ranges."""
+    rng = random.Random(seed)
+
+    def one(spec):
+        if isinstance(spec, list):
+            return rng.choice(spec)
+        kind, low, high = spec
+        if kind == "int":
+            return rng.randint(low, high)
+        if kind == "log":
+            return math.exp(rng.uniform(math.log(low), math.log(high)))
+        return rng.uniform(low, high)
+
+    return [{k: one(v) for k, v in space.items()} for _ in range(n)]
+
+
+def random_search(df: DataFrame, algorithm: str, space: dict, n_iter: int, folds: int, pre,
+                  target: str = TARGET, id_col: str = ID, evaluator=F1_POSITIVE,
+                  parallelism: int = 4, seed: int = 42, fixed: dict | None = None):
+    """Best parameters, their mean fold score, and all trials.
+
+    Folds come from the hash of the row id. ``parallelism`` trials run as Spark jobs at a time.
+    """
+    draws = draw(space, n_iter, seed)
+    estimator = make_model(algorithm, fixed)
+    folded = add_folds(df, target, folds, id_col=id_col)
+    data = staged(prepared(pre, folded, target, keep=["fold"]), "search")
+    search = CrossValidator(
+        estimator=estimator, estimatorParamMaps=[spark_params(estimator, p) for p in draws],
+        evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=parallelism,
+    )
+    found = search.fit(data)
+    trials = [
+        (f"trial-{i}", "Completed", _text(p), float(score))
+        for i, (p, score) in enumerate(zip(draws, found.avgMetrics))
+    ]
+    best = max(range(len(trials)), key=lambda i: (trials[i][3], -i))
+    table = df.sparkSession.createDataFrame(
+        trials, "job string, status string, params string, objective double"
+    )
+    return draws[best], trials[best][3], table
+
+
+def _text(params: dict) -> str:
+    return ", ".join(f"{k}={v}" for k, v in params.items())
+
+
+def quick_tune(df: DataFrame, algorithm: str, pre, max_jobs: int = 5, folds: int = 3,
+               target: str = TARGET, id_col: str = ID, space: dict | None = None) -> DataFrame:
+    """Search with default ranges and the AUC objective, two trials at a time."""
+    space = space or RANGES[algorithm]
+    _, _, trials = random_search(
+        df, algorithm, space, max_jobs, folds, pre, target, id_col, AUC, parallelism=2
+    )
+    return tuning_summary(trials)
+
 
 def tuning_summary(trials: DataFrame) -> DataFrame:
     """Trials, finished trials, and the best one; the lowest name wins ties."""
@@ -22,3 +151,8 @@ def tuning_summary(trials: DataFrame) -> DataFrame:
         F.col("best.params").alias("best_params"),
         F.col("best.objective").alias("best_objective"),
     )
+
+
+def choose(names: Sequence[str], scores: Sequence[float]) -> str:
+    """Name with the highest score; the first one wins ties."""
+    return max(zip(names, scores), key=lambda x: x[1])[0]

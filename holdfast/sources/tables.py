@@ -94,6 +94,20 @@ def faulty_profile(profile: DataFrame) -> DataFrame:
     return faulty.withColumn("Age", F.when(age == 18, 150).when(age == 42, 101).otherwise(age))
 
 
+def planted_profile(profile: DataFrame) -> DataFrame:
+    """The profile with a label that depends on calls, delay and tenure, plus hashed noise.
+
+    The label of the plain profile is close to independent of its features, so models are trained
+    on this one.
+    """
+    noise = F.conv(F.substring(F.md5(F.col("CustomerID")), 1, 6), 16, 10).cast("double") / 2**24
+    drive = (
+        0.6 * F.col("`Support Calls`") + 0.2 * F.col("`Payment Delay`")
+        - 0.05 * F.coalesce("Tenure", F.lit(0)) + 2.0 * noise
+    )
+    return profile.withColumn("Churn", (drive > 3.0).cast("int"))
+
+
 def closed_form_score(
     calls="Support Calls", delay="Payment Delay", lift: float = 0.0, digits: int | None = 6
 ):
