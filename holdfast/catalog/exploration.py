@@ -12,7 +12,7 @@ from holdfast.operators import clean, profile as pr, rules, stats
 from holdfast.schema import (
     AGE_EDGES, CATEGORICAL, CUSTOMER_SCHEMA, DELAY_EDGES, NUMERIC, TARGET, TENURE_EDGES,
 )
-from holdfast.sources.tables import customer_profile, table
+from holdfast.sources.tables import customer_profile, profile_table, table
 
 COLUMNS = CUSTOMER_SCHEMA.fieldNames()
 KINDS = {"StringType": "string", "IntegerType": "int", "DoubleType": "double"}
@@ -32,7 +32,7 @@ S["b2_column_profile"] = prof(union_all(
 Q["b3_head"] = lambda s, d: pr.head(customer_profile(s, d), 5, ["CustomerID"])
 S["b3_head"] = prof('SELECT * FROM prof ORDER BY "CustomerID" LIMIT 5')
 
-Q["b4_describe_exact"] = lambda s, d: pr.describe_exact(customer_profile(s, d), [*NUMERIC, TARGET])
+Q["b4_describe_exact"] = lambda s, d: pr.describe_exact(profile_table(s, d), [*NUMERIC, TARGET])
 S["b4_describe_exact"] = prof(union_all(
     f"""SELECT '{c}' AS "column", count("{c}") AS "count", round(avg("{c}"), 6) AS mean,
     round(stddev_samp("{c}"), 6) AS std, round(CAST(min("{c}") AS DOUBLE), 6) AS min,
@@ -87,7 +87,7 @@ S["b8_class_rate"] = prof(
     'round(avg("Churn"), 6) AS rate, round(sum("Churn") * 100.0 / count(*), 6) AS pct FROM prof'
 )
 
-Q["b9_distribution"] = lambda s, d: pr.distribution(customer_profile(s, d), NUMERIC)
+Q["b9_distribution"] = lambda s, d: pr.distribution(profile_table(s, d), NUMERIC)
 S["b9_distribution"] = prof(union_all(
     f"""SELECT '{c}' AS "column", round(CAST(min("{c}") AS DOUBLE), 6) AS min,
     round(CAST(max("{c}") AS DOUBLE), 6) AS max, round(avg("{c}"), 6) AS mean,
@@ -110,7 +110,7 @@ S["b10_find_target"] = prof(
 )
 
 BOX = ["Age", "Total Spend", "Usage Frequency", "Support Calls", "Payment Delay"]
-Q["b11_box_stats"] = lambda s, d: pr.box_stats(customer_profile(s, d), BOX, TARGET)
+Q["b11_box_stats"] = lambda s, d: pr.box_stats(profile_table(s, d), BOX, TARGET)
 S["b11_box_stats"] = prof(union_all(
     f"""SELECT '{c}' AS "column", k AS "class", count(v) AS n, round(any_value(q1), 6) AS q1,
     round(any_value(q2), 6) AS median, round(any_value(q3), 6) AS q3,
@@ -185,7 +185,7 @@ S["d7_target_first"] = prof('SELECT "Churn", * EXCLUDE ("Churn") FROM prof')
 
 
 def _partition(s, d):
-    df = customer_profile(s, d)
+    df = profile_table(s, d)
     det, amb = clean.partition_by_mask(df, rules.fit_rules(df).mask())
 
     def size(x, name):
@@ -205,7 +205,7 @@ S["d8_partition_by_mask"] = prof(union_all([
 
 def _ranges(s, d):
     """Class rate in low, middle and high spend of the ambiguous rows."""
-    df = customer_profile(s, d)
+    df = profile_table(s, d)
     _, amb = clean.partition_by_mask(df, rules.fit_rules(df).mask())
     parts = [
         clean.in_range(amb, "Total Spend", lo, hi).agg(
@@ -316,7 +316,7 @@ S["e18_cut"] = prof(
 
 QLABELS = ["Q1(low)", "Q2", "Q3", "Q4", "Q5(high)"]
 Q["e19_qcut"] = lambda s, d: stats.qcut(
-    customer_profile(s, d), "Total Spend", 5, QLABELS
+    profile_table(s, d), "Total Spend", 5, QLABELS
 ).select("CustomerID", "qbin")
 _EDGES = "edges AS (SELECT " + ", ".join(
     f'quantile_cont("Total Spend", {i / 5}) AS e{i}' for i in range(6)

@@ -21,7 +21,7 @@ Q20 = "(SELECT q20 FROM spend)"
 
 # ---- I: statistics ---------------------------------------------------------------------------
 def _fitted(s, d):
-    df = tb.customer_profile(s, d)
+    df = tb.profile_table(s, d)
     return rules.rule_analysis(df, rules.fit_rules(df))
 
 
@@ -76,7 +76,7 @@ S["i6_rate_by_bin"] = prof(
 )
 
 Q["i7_rate_by_qbin"] = lambda s, d: stats.rate_by_qbin(
-    tb.customer_profile(s, d), "Total Spend", 5, TARGET, QLABELS
+    tb.profile_table(s, d), "Total Spend", 5, TARGET, QLABELS
 )
 S["i7_rate_by_qbin"] = prof(
     _rate_sql("bin", "binned"), EDGES_CTE,
@@ -85,7 +85,7 @@ S["i7_rate_by_qbin"] = prof(
 
 
 def _threshold(s, d):
-    df = tb.customer_profile(s, d)
+    df = tb.profile_table(s, d)
     limit = rules.fit_threshold(df)
     return df.agg(
         F.round(F.lit(limit), 6).alias("threshold"),
@@ -131,7 +131,7 @@ S["i13_distinct_values"] = prof('SELECT DISTINCT "Subscription Type" AS value FR
 
 
 def _subset(s, d):
-    df = tb.customer_profile(s, d)
+    df = tb.profile_table(s, d)
     return stats.subset_report(df, ~rules.fit_rules(df).mask(), TARGET)
 
 
@@ -148,7 +148,7 @@ MODELS = {"plain": 0.0, "eager": 0.4, "shy": -0.4}
 
 def _runs(s, d):
     """Accuracy of every scorer per fold."""
-    df = add_folds(tb.customer_profile(s, d), TARGET, 5)
+    df = add_folds(tb.profile_table(s, d), TARGET, 5)
     parts = [
         df.select(F.lit(m).alias("model"), "fold", F.col(TARGET).alias("label"),
                   (tb.closed_form_score(lift=lift) > 0.5).cast("int").alias("prediction"))
@@ -218,7 +218,7 @@ COEF = {
 
 
 def contributions(s, d):
-    df = tb.customer_profile(s, d).dropna()
+    df = tb.profile_table(s, d).dropna()
     means = {c: round(m, 6) for c, m in explain.background_means(df, list(COEF)).items()}
     return explain.shap_linear(df, COEF, means, "CustomerID"), means
 
@@ -296,7 +296,7 @@ S["j9_take_n"] = prof('SELECT * FROM prof ORDER BY "CustomerID" LIMIT 100')
 
 # ---- K: rules --------------------------------------------------------------------------------
 def _masked(s, d):
-    df = tb.customer_profile(s, d)
+    df = tb.profile_table(s, d)
     return rules.rule_mask(df, rules.fit_rules(df)).select("CustomerID", "deterministic")
 
 
@@ -346,7 +346,7 @@ S["k5_fired_rules"] = prof(
 
 def hybrid(s, d):
     """Hybrid result with the closed-form score in the place of a model."""
-    df = tb.customer_profile(s, d)
+    df = tb.profile_table(s, d)
     p = tb.closed_form_score(digits=None)
     return rules.scored_columns(df, rules.fit_rules(df), p, (p > 0.5).cast("int"))
 
@@ -457,7 +457,7 @@ S["m9_metric_bundle"] = scored(
 
 def _hybrid_scored(s, d):
     """Hybrid columns as (label, prediction, p); a third and more of the rows share p = 1."""
-    df = tb.customer_profile(s, d)
+    df = tb.profile_table(s, d)
     hit = rules.fit_rules(df).mask()
     p = tb.closed_form_score()
     return df.select(
@@ -498,7 +498,7 @@ S["m10_class_report"] = scored("""SELECT name, round(precision, 6) AS precision,
 
 def _report(s, d):
     """Metrics of every scorer, the table's numbers and the top features as one document."""
-    df = tb.customer_profile(s, d)
+    df = tb.profile_table(s, d)
     rows = [
         metrics.metric_bundle(
             df.select(F.col(TARGET).alias("label"), tb.closed_form_score(lift=lift).alias("p"))

@@ -32,7 +32,7 @@ GRID = {
 
 
 def planted(s, d):
-    return tb.planted_profile(tb.customer_profile(s, d))
+    return tb.planted_profile(tb.profile_table(s, d))
 
 
 def _trained(algorithm):
@@ -103,7 +103,7 @@ _TWO = {"plain": 0.0, "ensemble": 0.4}
 
 def _choice(s, d):
     """Two scorers, the ensemble wins ties."""
-    df = tb.customer_profile(s, d)
+    df = tb.profile_table(s, d)
     rows = [
         mx.basic_metrics(df.select(
             F.col(TARGET).alias("label"),
@@ -283,7 +283,7 @@ def _closed(df):
 
 def _shap(s, d):
     """Attributions of every row, next to the score they add up to."""
-    df = tb.customer_profile(s, d).dropna()
+    df = tb.profile_table(s, d).dropna()
     long = at.shap_sampled(df, _closed, df, _FIVE, 4)
     total = long.groupBy("row_id").agg(F.round(F.sum("shap"), 6).alias("total"))
     return total
@@ -310,7 +310,7 @@ Q["n8_shap_sampled_forest"] = _shap_model
 
 
 def _pairs(s, d):
-    df = tb.customer_profile(s, d).dropna()
+    df = tb.profile_table(s, d).dropna()
     from holdfast.operators.rank import top_pairs
     found = at.interactions(df, _closed, df, _FIVE)
     return top_pairs(found.withColumn(

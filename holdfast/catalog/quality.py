@@ -145,10 +145,10 @@ FAULTY_CHECKS = f"WITH {FAULTY}, " + _checks_sql("faulty", ["Region"])
 
 
 def _faulty(s, d):
-    return tb.faulty_profile(tb.customer_profile(s, d))
+    return tb.faulty_profile(tb.profile_table(s, d))
 
 
-Q["c_run_checks"] = lambda s, d: va.run_checks(tb.customer_profile(s, d))
+Q["c_run_checks"] = lambda s, d: va.run_checks(tb.profile_table(s, d))
 S["c_run_checks"] = CHECKS + " SELECT * FROM results"
 Q["c_run_checks_faulty"] = lambda s, d: va.run_checks(_faulty(s, d))
 S["c_run_checks_faulty"] = FAULTY_CHECKS + " SELECT * FROM results"
@@ -176,7 +176,7 @@ S["c4_invalid_values"] = f"WITH {FAULTY} " + union_all(
 
 
 def _verdicts(s, d):
-    results = va.run_checks(tb.customer_profile(s, d))
+    results = va.run_checks(tb.profile_table(s, d))
     return va.verdict(results).withColumn("strict", F.lit(False)).unionByName(
         va.verdict(results, strict=True).withColumn("strict", F.lit(True))
     )
@@ -229,20 +229,21 @@ S["c13_split_valid_rejects"] = (
 )
 
 # ---- F: preprocessing ------------------------------------------------------------------------
-Q["f1_median_imputer"] = lambda s, d: prep.median_imputer(
-    _faulty(s, d), NUMERIC
-).transform(_faulty(s, d)).select(
-    "CustomerID", *[F.col(f"`{c}`").cast("double").alias(c) for c in NUMERIC]
-)
+def _imputed(fit, cols):
+    def run(s, d):
+        df = _faulty(s, d)
+        return fit(df, cols).transform(df).select("CustomerID", *[F.col(f"`{c}`") for c in cols])
+    return run
+
+
+Q["f1_median_imputer"] = _imputed(prep.median_imputer, NUMERIC)
 S["f1_median_imputer"] = f"WITH {FAULTY}, med AS (SELECT " + ", ".join(
     f'quantile_cont(CAST("{c}" AS DOUBLE), 0.5) AS m{i}' for i, c in enumerate(NUMERIC)
 ) + ' FROM faulty) SELECT "CustomerID", ' + ", ".join(
     f'coalesce(CAST("{c}" AS DOUBLE), m{i}) AS "{c}"' for i, c in enumerate(NUMERIC)
 ) + " FROM faulty, med"
 
-Q["f2_mode_imputer"] = lambda s, d: prep.mode_imputer(
-    _faulty(s, d), CATEGORICAL
-).transform(_faulty(s, d)).select("CustomerID", *[F.col(f"`{c}`") for c in CATEGORICAL])
+Q["f2_mode_imputer"] = _imputed(prep.mode_imputer, CATEGORICAL)
 S["f2_mode_imputer"] = f'WITH {FAULTY} SELECT "CustomerID", ' + ", ".join(
     f"""coalesce("{c}", (SELECT "{c}" FROM faulty WHERE "{c}" IS NOT NULL GROUP BY 1
     ORDER BY count(*) DESC, 1 LIMIT 1)) AS "{c}" """ for c in CATEGORICAL
@@ -250,7 +251,7 @@ S["f2_mode_imputer"] = f'WITH {FAULTY} SELECT "CustomerID", ' + ", ".join(
 
 
 def _scaled(s, d):
-    df = tb.customer_profile(s, d)
+    df = tb.profile_table(s, d)
     out = prep.standard_scaler(df, NUMERIC).transform(df)
     return out.select("CustomerID", *[F.round(f"`{c}`", 6).alias(c) for c in NUMERIC])
 
@@ -275,7 +276,7 @@ def _hot_sql(skip: int, src: str) -> str:
 
 def _hot(drop, unknown):
     def run(s, d):
-        df = tb.customer_profile(s, d)
+        df = tb.profile_table(s, d)
         return prep.one_hot(df, CATEGORICAL, drop, unknown).transform(df)
     return run
 
@@ -294,7 +295,7 @@ def _hot_unknown(s, d):
 
 Q["f6_one_hot_unknown_zero"] = _hot_unknown
 S["f6_one_hot_unknown_zero"] = f"WITH {FAULTY} " + _hot_sql(1, "faulty")
-Q["f7_dummies"] = lambda s, d: prep.dummies(tb.customer_profile(s, d), exclude=["CustomerID"])
+Q["f7_dummies"] = lambda s, d: prep.dummies(tb.profile_table(s, d), exclude=["CustomerID"])
 S["f7_dummies"] = prof(_hot_sql(1, "prof"))
 
 
@@ -321,7 +322,7 @@ V1_NUMERIC = [*NUMERIC, *fe.V1_FEATURES]
 
 def _preprocessed(s, d):
     """the fitted pipeline, its vector spread over named columns."""
-    df = fe.engineer_v1(tb.customer_profile(s, d))
+    df = fe.engineer_v1(tb.profile_table(s, d))
     numeric, categorical = feature_lists(df)
     pre = prep.build_preprocessor(df, numeric, categorical)
     arr = pre.transform(df).select("CustomerID", vector_to_array("features").alias("x"))
@@ -373,14 +374,14 @@ S["f11_non_numeric"] = prof(
 # ---- G: splits -------------------------------------------------------------------------------
 _KEY = "md5('42:' || \"CustomerID\")"
 Q["g1_stratified_split"] = lambda s, d: split.stratified_split(
-    tb.customer_profile(s, d), TARGET
+    tb.profile_table(s, d), TARGET
 ).select("CustomerID", "Churn", "is_train")
 S["g1_stratified_split"] = prof(f"""SELECT "CustomerID", "Churn",
   row_number() OVER (PARTITION BY "Churn" ORDER BY {_KEY}, "CustomerID")
   <= floor(0.8 * count(*) OVER (PARTITION BY "Churn") + 0.5) AS is_train FROM prof""")
 
 Q["g2_random_split"] = lambda s, d: split.random_split(
-    tb.customer_profile(s, d)
+    tb.profile_table(s, d)
 ).select("CustomerID", "is_train")
 S["g2_random_split"] = prof(f"""SELECT "CustomerID", row_number() OVER (ORDER BY {_KEY},
   "CustomerID") <= floor(0.8 * count(*) OVER () + 0.5) AS is_train FROM prof""")
@@ -397,7 +398,7 @@ def _sample_size(df):
 
 
 def _strat_sample(s, d):
-    df = tb.customer_profile(s, d)
+    df = tb.profile_table(s, d)
     return split.stratified_sample(df, TARGET, _sample_size(df)).select("CustomerID", "Churn")
 
 
@@ -418,21 +419,21 @@ Q["g4_sample_n"] = lambda s, d: split.sample_n(tb.customer_profile(s, d), 100)
 S["g4_sample_n"] = prof(f'SELECT * FROM prof ORDER BY {_KEY}, "CustomerID" LIMIT 100')
 
 Q["g5_shuffle_split"] = lambda s, d: split.shuffle_split(
-    tb.customer_profile(s, d), 0.8
+    tb.profile_table(s, d), 0.8
 ).select("CustomerID", "is_train")
 S["g5_shuffle_split"] = prof(f"""SELECT "CustomerID", row_number() OVER (ORDER BY {_KEY},
   "CustomerID") <= floor(0.8 * count(*) OVER ()) AS is_train FROM prof""")
 
 for _k in (3, 5):
     Q[f"g6_add_folds_{_k}"] = lambda s, d, k=_k: split.add_folds(
-        tb.customer_profile(s, d), TARGET, k
+        tb.profile_table(s, d), TARGET, k
     ).select("CustomerID", "Churn", "fold")
     S[f"g6_add_folds_{_k}"] = prof(f"""SELECT "CustomerID", "Churn",
       CAST((row_number() OVER (PARTITION BY "Churn" ORDER BY {_KEY}, "CustomerID") - 1) % {_k}
       AS INTEGER) AS fold FROM prof""")
 
 Q["g7_shuffle_labels"] = lambda s, d: split.shuffle_labels(
-    tb.customer_profile(s, d), TARGET
+    tb.profile_table(s, d), TARGET
 ).select("CustomerID", "Churn", "shuffled")
 S["g7_shuffle_labels"] = prof(f"""SELECT "CustomerID", "Churn", shuffled FROM (
     SELECT "CustomerID", "Churn", row_number() OVER (ORDER BY {_KEY}, "CustomerID") AS pos
@@ -444,7 +445,7 @@ _COARSE = ["Gender", "Subscription Type", "Contract Length", "Support Calls", "T
 
 
 def _halves(s, d):
-    marked = split.stratified_split(tb.customer_profile(s, d), TARGET)
+    marked = split.stratified_split(tb.profile_table(s, d), TARGET)
     cols = [F.col(f"`{c}`") for c in _COARSE]
     return marked.filter("is_train").select(*cols), marked.filter("NOT is_train").select(*cols)
 
@@ -510,7 +511,7 @@ S["h5_endpoint_variants"] = f"""WITH {ENDPOINTS} SELECT name, status, config, po
 
 
 def _branches(s, d):
-    df = tb.customer_profile(s, d)
+    df = tb.profile_table(s, d)
     hit = rules.fit_rules(df).mask()
     by_rule = df.filter(hit).select("CustomerID", F.lit(1.0).alias("p"))
     by_model = df.filter(~hit).select("CustomerID", tb.closed_form_score().alias("p"))

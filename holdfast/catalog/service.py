@@ -66,10 +66,11 @@ _TOP3 = """top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_
 
 def _explained(s, d):
     """Row explanations with the closed-form score in the place of a model."""
-    df = tb.customer_profile(s, d).dropna()
+    df = tb.profile_table(s, d).dropna()
     p = tb.closed_form_score(digits=None)
     scored_rows = df.select("CustomerID", p.alias("p"), (p > 0.5).cast("int").alias("prediction"))
-    long, means = contributions(s, d)
+    means = {c: round(m, 6) for c, m in explain.background_means(df, list(COEF)).items()}
+    long = explain.shap_linear(df, COEF, means, "CustomerID")
     out = explain.explain_rows(
         scored_rows, long, explain.linear_base(COEF, 0.25, means), "CustomerID"
     )
@@ -105,7 +106,7 @@ ENGINEERED = [*[c for c in COLUMNS if c not in ("CustomerID", TARGET)], *fe.V2_F
 
 def _approx(s, d):
     """Value times importance, the five strongest of either sign, and the sentence."""
-    df = fe.engineer_v2(tb.customer_profile(s, d).dropna())
+    df = fe.engineer_v2(tb.profile_table(s, d).dropna())
     p = tb.closed_form_score(digits=None)
     contrib = explain.approx_contributions(
         df.na.fill(0.0, ["tenure_bucket"]), importance_of(df), "CustomerID", ENGINEERED
@@ -155,7 +156,7 @@ S["n11_approx_contributions"] = prof(
 
 
 def _info(s, d):
-    df = tb.customer_profile(s, d)
+    df = tb.profile_table(s, d)
     fitted = rules.churn_rules(2000.0)
     return res.model_info(
         fitted, rules.rule_analysis(df, fitted), stats.subset_report(df, ~fitted.mask(), TARGET),
@@ -405,7 +406,7 @@ S["a12_to_json_response"] = prof("""SELECT "CustomerID", '{"churn_prediction":'
 def _run_log(s, d):
     """Every scorer logs its metrics and parameter, then the log is read back."""
     path = sk.fresh_path(s, "runs")
-    df = tb.customer_profile(s, d)
+    df = tb.profile_table(s, d)
     for m, lift in MODELS.items():
         rows = df.select(F.col(TARGET).alias("label"), tb.closed_form_score(lift=lift).alias("p"))
         found = rows.agg(

@@ -45,7 +45,7 @@ def _fit_score(marked: DataFrame, cols: Sequence[str], label: str, algorithm: st
 def baseline(df: DataFrame, params: dict = FOREST, target: str = TARGET, id_col: str = ID,
              k: int = 15):
     """Forest on raw features: metrics and the leading features."""
-    data = staged(stratified_split(_encoded(df, target, id_col), target, id_col=id_col), "raw")
+    data = stratified_split(staged(_encoded(df, target, id_col), "raw"), target, id_col=id_col)
     cols = [c for c in data.columns if c not in (target, id_col, "is_train")]
     model, found = _fit_score(data, cols, target, "random_forest", params)
     ranked = sorted(
@@ -60,7 +60,7 @@ def shuffled_target_test(df: DataFrame, params: dict = FOREST, target: str = TAR
                          id_col: str = ID) -> dict:
     """The same forest on permuted labels; anything above chance points to leakage."""
     mixed = shuffle_labels(_encoded(df, target, id_col), target, id_col=id_col)
-    data = staged(random_split(mixed, id_col=id_col), "shuffled")
+    data = random_split(staged(mixed, "shuffled"), id_col=id_col)
     cols = [c for c in data.columns if c not in (target, id_col, "is_train", "shuffled")]
     return _fit_score(data, cols, "shuffled", "random_forest", params)[1]
 
@@ -69,13 +69,9 @@ def single_feature_power(df: DataFrame, cols: Sequence[str] = NUMERIC, target: s
                          algorithm: str = "decision_tree", params: dict | None = None,
                          id_col: str = ID, threads: int = 4) -> DataFrame:
     """F1 of a small model per feature. The jobs run side by side on one written table."""
-    data = staged(
-        stratified_split(
-            fill0(df, cols).select(F.col(f"`{id_col}`"), F.col(f"`{target}`"),
-                                   *[F.col(f"`{c}`") for c in cols]),
-            target, id_col=id_col,
-        ), "single",
-    )
+    wanted = [F.col(f"`{c}`") for c in (id_col, target, *cols)]
+    table = staged(fill0(df, cols).select(*wanted), "single")
+    data = stratified_split(table, target, id_col=id_col)
 
     def one(c):
         return c, _fit_score(data, [c], target, algorithm, params or {"maxDepth": 5})[1]["f1"]

@@ -239,9 +239,10 @@ def choose_final_rows(scores: DataFrame, ensemble: str, metric: str = "f1") -> D
 
 
 def _split(df: DataFrame, target: str, id_col: str, name: str):
-    marked = staged(stratified_split(df, target, 0.8, id_col=id_col), name)
-    return marked, marked.filter("is_train").drop("is_train"), marked.filter(
-        "NOT is_train").drop("is_train")
+    """Write the table once, then mark the training rows; the mark compares hashes in place."""
+    marked = stratified_split(staged(df, name), target, 0.8, id_col=id_col)
+    rest = marked.filter("NOT is_train").drop("is_train")
+    return marked, marked.filter("is_train").drop("is_train"), rest
 
 
 def train_v1(df: DataFrame, plan: Plan | None = None, target: str = TARGET,

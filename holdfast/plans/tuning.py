@@ -69,12 +69,19 @@ RANGES = {
     },
 }
 
-F1_POSITIVE = MulticlassClassificationEvaluator(
-    metricName="fMeasureByLabel", metricLabel=1.0, labelCol="label", predictionCol="prediction"
-)
-AUC = BinaryClassificationEvaluator(
-    metricName="areaUnderROC", labelCol="label", rawPredictionCol="rawPrediction", numBins=0
-)
+
+def f1_positive() -> MulticlassClassificationEvaluator:
+    """F1 of class 1."""
+    return MulticlassClassificationEvaluator(
+        metricName="fMeasureByLabel", metricLabel=1.0, labelCol="label",
+        predictionCol="prediction",
+    )
+
+
+def auc() -> BinaryClassificationEvaluator:
+    return BinaryClassificationEvaluator(
+        metricName="areaUnderROC", labelCol="label", rawPredictionCol="rawPrediction", numBins=0
+    )
 
 
 def draw(space: dict, n: int, seed: int = 42) -> list[dict]:
@@ -95,7 +102,7 @@ def draw(space: dict, n: int, seed: int = 42) -> list[dict]:
 
 
 def random_search(df: DataFrame, algorithm: str, space: dict, n_iter: int, folds: int, pre,
-                  target: str = TARGET, id_col: str = ID, evaluator=F1_POSITIVE,
+                  target: str = TARGET, id_col: str = ID, evaluator=None,
                   parallelism: int = 4, seed: int = 42, fixed: dict | None = None):
     """Best parameters, their mean fold score, and all trials.
 
@@ -107,7 +114,7 @@ def random_search(df: DataFrame, algorithm: str, space: dict, n_iter: int, folds
     data = staged(prepared(pre, folded, target, keep=["fold"]), "search")
     search = CrossValidator(
         estimator=estimator, estimatorParamMaps=[spark_params(estimator, p) for p in draws],
-        evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=parallelism,
+        evaluator=evaluator or f1_positive(), numFolds=folds, foldCol="fold", parallelism=parallelism,
     )
     found = search.fit(data)
     trials = [
@@ -130,7 +137,7 @@ def quick_tune(df: DataFrame, algorithm: str, pre, max_jobs: int = 5, folds: int
     """Search with default ranges and the AUC objective, two trials at a time."""
     space = space or RANGES[algorithm]
     _, _, trials = random_search(
-        df, algorithm, space, max_jobs, folds, pre, target, id_col, AUC, parallelism=2
+        df, algorithm, space, max_jobs, folds, pre, target, id_col, auc(), parallelism=2
     )
     return tuning_summary(trials)
 

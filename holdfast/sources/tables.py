@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from holdfast.schema import CUSTOMER_SCHEMA, HOURLY_PRICE
+from holdfast.session import staged
 
 CUTOFF = "2001-02-01"
 ENDPOINTS = 3
 LEDGER_NOW = "2001-08-15 00:00:00"
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A source table. Its schema is read from the files once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +31,7 @@ def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     Features use orders before the cut-off date, the label uses orders from it on.
     Line items are counted per order before they meet the orders, and orders are summed per
     customer before they meet the customers, so every join has a unique side.
-    Money is summed as decimals: the sum does not depend on the order of rows.
+    Money is summed in whole cents: the sum does not depend on the order of rows.
     """
     cutoff = F.lit(CUTOFF).cast("timestamp_ntz")
     returned = (
@@ -33,7 +42,7 @@ def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderpriority",
-        F.col("o_totalprice").cast("decimal(18,2)").alias("price"),
+        F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"),
         F.col("o_orderdate").cast("timestamp_ntz").alias("placed"),
     )
     before = F.col("placed") < cutoff
@@ -46,7 +55,7 @@ def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count_if(before).alias("n_before"),
             F.count_if(before & (F.col("o_orderpriority") == "1-URGENT")).alias("n_urgent"),
             F.sum(F.when(before, F.coalesce("n_returned", F.lit(0)))).alias("n_returned"),
-            F.sum(F.when(before, F.col("price"))).alias("spend"),
+            F.sum(F.when(before, F.col("cents"))).alias("cents"),
             F.count_if(~before).alias("n_after"),
         )
     )
@@ -71,7 +80,7 @@ def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(segment == "BUILDING", "Monthly")
             .when(segment.isin("AUTOMOBILE", "MACHINERY"), "Quarterly")
             .otherwise("Annual").alias("Contract Length"),
-            (F.col("spend").cast("double") / 1000).alias("Total Spend"),
+            (F.col("cents") / 100.0 / 1000.0).alias("Total Spend"),
             F.datediff(cutoff_day, F.col("last_before").cast("date")).alias("Last Interaction"),
             F.when(F.coalesce("n_after", F.lit(0)) == 0, 1).otherwise(0).alias("Churn"),
         )
@@ -81,6 +90,14 @@ def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile as a written table, for jobs that read it several times.
+
+    The joins and the aggregation of line items then run once; later passes read few columns.
+    """
+    return staged(customer_profile(spark, sf_dir), "profile")
+
+
 def faulty_profile(profile: DataFrame) -> DataFrame:
     """The profile with planted faults of every kind the validator looks for."""
     age = F.col("Age")
@@ -94,7 +111,7 @@ def faulty_profile(profile: DataFrame) -> DataFrame:
     return faulty.withColumn("Age", F.when(age == 18, 150).when(age == 42, 101).otherwise(age))
 
 
-def planted_profile(profile: DataFrame) -> DataFrame:
+def planted_profile(profile: DataFrame, cut: float = 3.0) -> DataFrame:
     """The profile with a label that depends on calls, delay and tenure, plus hashed noise.
 
     The label of the plain profile is close to independent of its features, so models are trained
@@ -105,7 +122,7 @@ def planted_profile(profile: DataFrame) -> DataFrame:
         0.6 * F.col("`Support Calls`") + 0.2 * F.col("`Payment Delay`")
         - 0.05 * F.coalesce("Tenure", F.lit(0)) + 2.0 * noise
     )
-    return profile.withColumn("Churn", (drive > 3.0).cast("int"))
+    return profile.withColumn("Churn", (drive > cut).cast("int"))
 
 
 def closed_form_score(
@@ -124,7 +141,7 @@ def closed_form_score(
 def scored_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile with ``label``, ``p`` and ``prediction`` from the closed-form score."""
     return (
-        customer_profile(spark, sf_dir)
+        profile_table(spark, sf_dir)
         .withColumn("p", closed_form_score())
         .withColumn("label", F.col("Churn"))
         .withColumn("prediction", (F.col("p") > 0.5).cast("int"))
