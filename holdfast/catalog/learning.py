@@ -367,7 +367,7 @@ S["p1_stream_sum_300"] = (
 )
 
 Q["p2_window_percentiles"] = lambda s, d: wi.window_percentiles(
-    tb.metrics_table(s, d), period_s=3600
+    tb.metrics_table(s, d, ["ModelLatency"]), period_s=3600
 ).select("endpoint", "metric", "start", "end", *[F.round(p, 4).alias(p) for p in
                                                  ("p50", "p90", "p99")])
 S["p2_window_percentiles"] = f"""WITH {METRICS} SELECT endpoint, metric, {_bucket(3600)} AS start,
@@ -416,7 +416,9 @@ SPECS = {
     "p8_volume_anomaly": al.VOLUME_ANOMALY.every(1800),
 }
 for _name, _spec in SPECS.items():
-    Q[_name] = lambda s, d, spec=_spec: al.alarm_batch(tb.metrics_table(s, d), spec)
+    Q[_name] = lambda s, d, spec=_spec: al.alarm_batch(
+        tb.metrics_table(s, d, [spec.metric]), spec
+    )
     S[_name] = f"WITH {METRICS}, {_alarm_sql(_spec, 'a')} SELECT * FROM t_a"
 
 _PARTS = ["p3_high_5xx", "p4_high_latency", "p5_no_invocations", "p6_high_memory"]
@@ -424,9 +426,8 @@ _UNION = union_all(f"SELECT * FROM t_{i}" for i in range(len(_PARTS)))
 
 
 def _composite(s, d):
-    rows = tb.metrics_table(s, d)
     return al.composite_batch(stats.union_results(
-        al.alarm_batch(rows, SPECS[p]) for p in _PARTS
+        al.alarm_batch(tb.metrics_table(s, d, [SPECS[p].metric]), SPECS[p]) for p in _PARTS
     ))
 
 
@@ -444,7 +445,9 @@ S["p7_composite"] = f"WITH {METRICS}, " + ", ".join(
 
 def _alarm_live(name):
     def run(s, d):
-        live = al.alarm_stream(tb.endpoint_metrics(event_stream(s, d)), SPECS[name])
+        live = al.alarm_stream(
+            tb.endpoint_metrics(event_stream(s, d), [SPECS[name].metric]), SPECS[name]
+        )
         return drained(live, name)
     return run
 

@@ -68,11 +68,10 @@ def _explained(s, d):
     """Row explanations with the closed-form score in the place of a model."""
     df = tb.profile_table(s, d).dropna()
     p = tb.closed_form_score(digits=None)
-    scored_rows = df.select("CustomerID", p.alias("p"), (p > 0.5).cast("int").alias("prediction"))
     means = {c: round(m, 6) for c, m in explain.background_means(df, list(COEF)).items()}
-    long = explain.shap_linear(df, COEF, means, "CustomerID")
     out = explain.explain_rows(
-        scored_rows, long, explain.linear_base(COEF, 0.25, means), "CustomerID"
+        df.withColumns({"p": p, "prediction": p > 0.5}), explain.linear_entries(COEF, means),
+        explain.linear_base(COEF, 0.25, means), "CustomerID",
     )
     return out.select(
         "row_id", "prediction", F.round("probability.no_churn", 6).alias("no_churn"),
@@ -108,16 +107,25 @@ def _approx(s, d):
     """Value times importance, the five strongest of either sign, and the sentence."""
     df = fe.engineer_v2(tb.profile_table(s, d).dropna())
     p = tb.closed_form_score(digits=None)
-    contrib = explain.approx_contributions(
-        df.na.fill(0.0, ["tenure_bucket"]), importance_of(df), "CustomerID", ENGINEERED
+    entries = explain.approx_entries(df, importance_of(df), ENGINEERED)
+    rows = explain.with_factors(
+        df.withColumns({"p": p, "prediction": (p > 0.5).cast("int")}), entries, 5,
+        zero_is_negative=True,
     )
-    factors = explain.row_factors(contrib, 5, "contribution", zero_is_negative=True)
-    rows = df.select(F.col("CustomerID").alias("row_id"), p.alias("p"),
-                     (p > 0.5).cast("int").alias("prediction"))
-    return explain.approx_text(rows.join(factors, "row_id")).select(
-        "row_id", F.size("churn_factors").alias("n_up"),
+    return explain.approx_text(rows).select(
+        F.col("CustomerID").alias("row_id"), F.size("churn_factors").alias("n_up"),
         F.size("retention_factors").alias("n_down"),
-        F.round(F.col("churn_factors")[0]["impact"], 6).alias("strongest"), "explanation_text",
+        F.round(F.get("churn_factors", F.lit(0))["impact"], 6).alias("strongest"),
+        "explanation_text",
+    )
+
+
+def _approx_long(s, d):
+    """N11 as a long table: value, importance (0.01 when unknown) and contribution."""
+    df = fe.engineer_v2(tb.profile_table(s, d).dropna())
+    long = explain.approx_contributions(df, importance_of(df), "CustomerID", ENGINEERED)
+    return long.groupBy("feature").agg(
+        F.count("*").alias("n"), F.round(F.sum("contribution"), 3).alias("total")
     )
 
 
@@ -155,6 +163,17 @@ S["n11_approx_contributions"] = prof(
 )
 
 
+Q["n11_approx_long"] = _approx_long
+S["n11_approx_long"] = prof(
+    """SELECT feature, count(*) AS n, round(sum(CASE WHEN feature = 'tenure_bucket' AND gone THEN
+      NULL ELSE value END * coalesce(importance, 0.01)), 3) AS total
+      FROM (SELECT long.*, importance, clean."Tenure" > 61 AS gone FROM long
+        LEFT JOIN importance USING (feature) JOIN clean ON clean."CustomerID" = row_id) GROUP BY 1""",
+    CONTRIB.split(", contrib AS")[0], _engineered_sql(),
+    IMPORTANCE.replace("FROM prof", "FROM clean"),
+)
+
+
 def _info(s, d):
     df = tb.profile_table(s, d)
     fitted = rules.churn_rules(2000.0)

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.operators.joins import lookup
 from holdfast.operators.profile import q
-from holdfast.operators.rank import top_factors
 
 DEFAULT_IMPORTANCE = 0.01     # fixed value: weight of a feature without importance
 
@@ -66,22 +65,76 @@ def approx_contributions(df: DataFrame, importance: DataFrame, id_col: str,
     return weighted.withColumn("contribution", F.col("value") * F.col("importance"))
 
 
-def _factors(direction: str, value: str):
-    kept = F.sort_array(F.collect_list(F.when(
-        F.col("direction") == direction,
-        F.struct("rank", "feature", "value", F.col(value).alias("impact")),
-    )))
-    return kept
+def _strongest(entries: Column, side: Column, k: int) -> Column:
+    """The ``k`` largest entries of one side, by size and then by name."""
+    ordered = F.sort_array(F.transform(
+        F.filter(entries, lambda x: side(x["impact"])),
+        lambda x: F.struct((-F.abs(x["impact"])).alias("o"), x["feature"].alias("feature"),
+                           x["value"].alias("value"), x["impact"].alias("impact")),
+    ))
+    return F.transform(F.slice(ordered, 1, k), lambda x, i: F.struct(
+        (i + 1).alias("rank"), x["feature"].alias("feature"), x["value"].alias("value"),
+        x["impact"].alias("impact"),
+    ))
 
 
-def row_factors(contrib: DataFrame, k: int = 5, value: str = "shap",
-                zero_is_negative: bool = False) -> DataFrame:
-    """Per record the strongest factors of either sign, as two ordered arrays."""
-    top = top_factors(contrib, k, "row_id", value, "feature", zero_is_negative)
-    return top.groupBy("row_id").agg(
-        _factors("positive", value).alias("churn_factors"),
-        _factors("negative", value).alias("retention_factors"),
-    )
+def with_factors(df: DataFrame, entries: Column, k: int = 5,
+                 zero_is_negative: bool = False) -> DataFrame:
+    """Add the strongest factors of either sign, as two ordered arrays.
+
+    ``entries`` is an array of ``(feature, value, impact)``. A record has one entry per feature,
+    so everything happens inside the row and nothing is shuffled.
+    """
+    def up(x):
+        return x > 0
+
+    def down(x):
+        return x <= 0 if zero_is_negative else x < 0
+
+    return df.withColumns({
+        "churn_factors": _strongest(entries, up, k),
+        "retention_factors": _strongest(entries, down, k),
+    })
+
+
+def linear_entries(coef: dict[str, float], means: dict[str, float]) -> Column:
+    """Linear attributions of a record as an array of ``(feature, value, impact)``."""
+    return F.array(*[
+        F.struct(
+            F.lit(c).alias("feature"), q(c).cast("double").alias("value"),
+            (F.lit(w) * (q(c).cast("double") - F.lit(means[c]))).alias("impact"),
+        )
+        for c, w in coef.items()
+    ])
+
+
+def approx_entries(df: DataFrame, importance: DataFrame, cols: Sequence[str]) -> Column:
+    """Value times importance of every column, as an array of ``(feature, value, impact)``.
+
+    Importance is asked for these columns only, one number each.
+    """
+    known = importance.filter(F.col("feature").isin(list(cols))).collect()
+    weight = {r["feature"]: r["importance"] for r in known}
+
+    def number(c):
+        if isinstance(df.schema[c].dataType, T.NumericType):
+            return F.coalesce(q(c).cast("double"), F.lit(0.0))
+        return F.lit(0.0)
+
+    return F.array(*[
+        F.struct(
+            F.lit(c).alias("feature"), number(c).alias("value"),
+            (number(c) * F.lit(weight.get(c, DEFAULT_IMPORTANCE))).alias("impact"),
+        )
+        for c in cols
+    ])
+
+
+def long_entries(contrib: DataFrame, value: str = "shap") -> DataFrame:
+    """A long attribution table as one array per record, for ``with_factors``."""
+    return contrib.groupBy("row_id").agg(F.collect_list(
+        F.struct("feature", "value", F.col(value).alias("impact"))
+    ).alias("entries"))
 
 
 def explanation_text(df: DataFrame, prediction: str = "prediction", p: str = "p") -> DataFrame:
@@ -108,18 +161,14 @@ def explanation_text(df: DataFrame, prediction: str = "prediction", p: str = "p"
     return df.withColumn("explanation_text", text)
 
 
-def explain_rows(scored: DataFrame, contrib: DataFrame, base: float, id_col: str,
+def explain_rows(scored: DataFrame, entries: Column, base: float, id_col: str,
                  prediction: str = "prediction", p: str = "p") -> DataFrame:
     """Prediction, both probabilities, base value, factors and text per record."""
-    rows = scored.select(q(id_col).alias("row_id"), q(prediction).alias("prediction"),
-                         q(p).alias("p"))
-    empty = F.from_json(F.lit("[]"), "array<struct<rank:int,feature:string,value:double,impact:double>>")
-    joined = rows.join(row_factors(contrib), "row_id", "left").withColumns({
-        "churn_factors": F.coalesce("churn_factors", empty),
-        "retention_factors": F.coalesce("retention_factors", empty),
-    })
-    return explanation_text(joined).select(
-        "row_id", F.col("prediction").cast("int").alias("prediction"),
+    rows = with_factors(scored.withColumns({
+        "row_id": q(id_col), "prediction": q(prediction).cast("int"), "p": q(p),
+    }), entries)
+    return explanation_text(rows).select(
+        "row_id", "prediction",
         F.struct((F.lit(1.0) - F.col("p")).alias("no_churn"), F.col("p").alias("churn"))
         .alias("probability"),
         F.lit(float(base)).alias("base_value"),

@@ -60,6 +60,12 @@ def quantile(df: DataFrame, col: str, p: float, direct_rows: int = DIRECT_ROWS)
     return quantiles(df, {col: F.col(f"`{col}`")}, [p], direct_rows)[col][0]
 
 
+def _probes(first: int, last: int, below: int, size: int) -> tuple[float, float]:
+    """Ranks on either side of a position, wide enough for the error of the sketch."""
+    slack = 2.0 / ACCURACY
+    return max((first - below) / size - slack, 0.0), min((last - below + 1) / size + slack, 1.0)
+
+
 def _bracketed(slim, columns, total, probs, limit):
     targets = [(i, j) for i in columns for j in range(len(probs))]
     position = {(i, j): probs[j] * (total[i] - 1) for i, j in targets}
@@ -76,16 +82,20 @@ def _bracketed(slim, columns, total, probs, limit):
     open_targets = {t for t in targets if low[t] < high[t] and inside[t] > limit}
     while open_targets:
         work = sorted(open_targets)
+        shared: dict[tuple, list] = {}       # targets of one column and bracket share a sketch
+        for t in work:
+            shared.setdefault((t[0], low[t], high[t]), []).append(t)
         exprs = []
-        for n, t in enumerate(work):
-            size, col = inside[t], F.col(f"v{t[0]}")
-            slack = 2.0 / ACCURACY
-            a = max((first[t] - below[t]) / size - slack, 0.0)
-            b = min((last[t] - below[t] + 1) / size + slack, 1.0)
-            held = F.when((col >= low[t]) & (col <= high[t]), col)
-            exprs.append(F.percentile_approx(held, [a, b], ACCURACY).alias(f"b{n}"))
+        for n, ((i, lo, hi), ts) in enumerate(shared.items()):
+            col = F.col(f"v{i}")
+            points = [x for t in ts for x in _probes(first[t], last[t], below[t], inside[t])]
+            held = F.when((col >= lo) & (col <= hi), col)
+            exprs.append(F.percentile_approx(held, points, ACCURACY).alias(f"b{n}"))
         guess = slim.agg(*exprs).first()
-        trial = {t: tuple(guess[f"b{n}"]) for n, t in enumerate(work)}
+        trial = {
+            t: tuple(guess[f"b{n}"][2 * m: 2 * m + 2])
+            for n, ts in enumerate(shared.values()) for m, t in enumerate(ts)
+        }
         counted = slim.agg(*[
             e for n, t in enumerate(work)
             for e in (

@@ -201,6 +201,23 @@ def test_linear_attributions_add_up(three):
         assert r["s"] + base == pytest.approx(0.1 + 0.5 * age - tenure)
 
 
+def test_factors_inside_the_row_equal_the_ranked_long_table(spark, three):
+    from holdfast.operators.rank import top_factors
+
+    coef = {"Age": 0.5, "Tenure": -1.0, "Support Calls": 0.2}
+    means = {"Age": 30.0, "Tenure": 24.0, "Support Calls": 3.0}
+    wide = explain.with_factors(three, explain.linear_entries(coef, means), 2)
+    got = {(r["CustomerID"], f["feature"], f["rank"]) for r in wide.collect()
+           for f in (*r["churn_factors"], *r["retention_factors"])}
+    long = explain.shap_linear(three, coef, means, "CustomerID")
+    want = {(r["row_id"], r["feature"], r["rank"])
+            for r in top_factors(long, 2, value="shap").collect()}
+    assert got == want and len(got) > 4
+    packed = explain.with_factors(explain.long_entries(long), F.col("entries"), 2)
+    assert {(r["row_id"], f["feature"], f["rank"]) for r in packed.collect()
+            for f in (*r["churn_factors"], *r["retention_factors"])} == want
+
+
 def test_model_card(spark):
     metrics = spark.createDataFrame([(0.9, 0.8)], "accuracy double, roc_auc double").withColumns({
         "precision": F.lit(None).cast("double"), "recall": F.lit(0.5), "f1": F.lit(0.6)})
