@@ -125,7 +125,7 @@ def _approx_long(s, d):
     df = fe.engineer_v2(tb.profile_table(s, d).dropna())
     long = explain.approx_contributions(df, importance_of(df), "CustomerID", ENGINEERED)
     return long.groupBy("feature").agg(
-        F.count("*").alias("n"), F.round(F.sum("contribution"), 3).alias("total")
+        F.count("*").alias("n"), F.round(F.sum("contribution"), 5).alias("total")
     )
 
 
@@ -166,7 +166,7 @@ S["n11_approx_contributions"] = prof(
 Q["n11_approx_long"] = _approx_long
 S["n11_approx_long"] = prof(
     """SELECT feature, count(*) AS n, round(sum(CASE WHEN feature = 'tenure_bucket' AND gone THEN
-      NULL ELSE value END * coalesce(importance, 0.01)), 3) AS total
+      NULL ELSE value END * coalesce(importance, 0.01)), 5) AS total
       FROM (SELECT long.*, importance, clean."Tenure" > 61 AS gone FROM long
         LEFT JOIN importance USING (feature) JOIN clean ON clean."CustomerID" = row_id) GROUP BY 1""",
     CONTRIB.split(", contrib AS")[0], _engineered_sql(),
@@ -534,7 +534,7 @@ def _training_dir(s, d):
     """Two CSV files in one folder; the one with ``churn`` in its name is read."""
     folder = sk.fresh_path(s, "train")
     df = tb.customer_profile(s, d)
-    sk.write_processed(df.limit(1), f"{folder}/a_other.csv")
+    sk.write_processed(df.filter("Churn = 1"), f"{folder}/a_other.csv")
     sk.write_processed(df, f"{folder}/b_churn.csv")
     return rd.read_training_dir(s, folder)
 

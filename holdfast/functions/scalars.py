@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,12 +12,18 @@ def name_contains(col: Column, token: str) -> Column:
     return F.lower(col).contains(token.lower())
 
 
+def formatted(pattern: str, *cols: Column) -> Column:
+    """``format_string`` that is null, not the text "null", when a value is missing."""
+    known = reduce(lambda a, b: a & b, [c.isNotNull() for c in cols])
+    return F.when(known, F.format_string(pattern, *cols))
+
+
 def percent_text(col: Column, digits: int = 2) -> Column:
-    return F.format_string(f"%.{digits}f%%", col * F.lit(100.0))
+    return formatted(f"%.{digits}f%%", col * F.lit(100.0))
 
 
 def fixed_text(col: Column, digits: int = 4) -> Column:
-    return F.format_string(f"%.{digits}f", col)
+    return formatted(f"%.{digits}f", col)
 
 
 def joined(col: Column, sep: str = ", ") -> Column:

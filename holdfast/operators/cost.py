@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.functions.scalars import hours_between
+from holdfast.functions.scalars import formatted, hours_between
 from holdfast.operators.joins import endpoint_variants, lookup
 from holdfast.operators.rank import recent_jobs
 from holdfast.schema import OVERSIZED
@@ -170,7 +170,9 @@ def cost_report(summary: DataFrame, recommendations: DataFrame) -> DataFrame:
     ).limit(5)
     shown = first.agg(F.collect_list(F.concat(
         F.lit("["), F.upper("type"), F.lit("] "), F.col("recommendation"),
-        F.coalesce(F.format_string("   Potential savings: $%.2f/month", "savings_usd"), F.lit("")),
+        F.coalesce(
+            formatted("   Potential savings: $%.2f/month", F.col("savings_usd")), F.lit("")
+        ),
     )).alias("texts"))
     tail = shown.select(F.posexplode("texts").alias("line", "text"))
     return one.unionByName(tail.withColumn("line", F.col("line") + 14))

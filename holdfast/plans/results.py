@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.functions.scalars import formatted
 from holdfast.operators.profile import long_rows
 from holdfast.operators.rank import top_importance
 from holdfast.operators.rules import RuleSet
@@ -67,11 +68,14 @@ def model_info(rules: RuleSet, analysis: DataFrame, subset: DataFrame, model_typ
         F.lit("Rules Engine for deterministic cases + ML Model for ambiguous cases")
         .alias("description"),
         F.lit("; ".join(r.text or r.name for r in rules.rules)).alias("rules"),
-        F.format_string("%.1f%% of training data", combined).alias("coverage"),
+        formatted("%.1f%% of training data", combined).alias("coverage"),
         F.lit(loaded).alias("loaded"),
         F.lit(model_type).alias("model_type"),
-        F.format_string("%d ambiguous rows (%.1f%% churn rate)", F.col("rows"),
-                        F.col("rate") * 100.0).alias("trained_on"),
+        F.coalesce(
+            formatted("%d ambiguous rows (%.1f%% churn rate)", F.col("rows"),
+                      F.col("rate") * 100.0),
+            F.format_string("%d ambiguous rows", "rows"),
+        ).alias("trained_on"),
     )
 
 

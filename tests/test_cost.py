@@ -48,3 +48,12 @@ def test_recommendations(spark):
 
 def test_idle(spark):
     assert cost.idle_endpoints(endpoints(spark), 24).count() == 2
+
+
+def test_report_without_savings(spark):
+    summary = cost.cost_summary(endpoints(spark), spark.createDataFrame(
+        [], "job string, total_cost_usd double, created timestamp"), NOW)
+    recs = cost.cost_recommendations(endpoints(spark)).filter("type = 'best_practice'")
+    lines = [r["text"] for r in cost.cost_report(summary, recs).orderBy("line").collect()]
+    assert len(lines) == 16 and "savings" not in " ".join(lines)
+    assert "Training Jobs: 0" in lines
