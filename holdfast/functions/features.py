@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.operators.profile import nan_to_null
 from holdfast.schema import AGE_EDGES, TENURE_EDGES
 
 
@@ -19,6 +20,7 @@ def _ratio(top, bottom) -> Column:
 
 
 def _flag(condition: Column) -> Column:
+    """1 or 0. Missing values give 0; make NaN a null first (``nan_to_null``)."""
     return F.coalesce(condition, F.lit(False)).cast("int")
 
 
@@ -142,9 +144,9 @@ V2_FEATURES = {
 
 def engineer_v1(df: DataFrame) -> DataFrame:
     """All fifteen derived columns of the first feature set."""
-    return df.withColumns({name: make() for name, make in V1_FEATURES.items()})
+    return nan_to_null(df).withColumns({name: make() for name, make in V1_FEATURES.items()})
 
 
 def engineer_v2(df: DataFrame) -> DataFrame:
     """The nine derived columns of the conservative feature set."""
-    return df.withColumns({name: make() for name, make in V2_FEATURES.items()})
+    return nan_to_null(df).withColumns({name: make() for name, make in V2_FEATURES.items()})

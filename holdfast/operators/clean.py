@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.operators.profile import is_missing, q
+from holdfast.operators.profile import is_missing, nan_to_null, q
 from holdfast.operators.quantiles import quantiles
 from holdfast.schema import CATEGORICAL, ID, TARGET
 
@@ -16,12 +16,6 @@ def drop_id(df: DataFrame, id_col: str = ID) -> DataFrame:
     return df.drop(id_col)
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """Make NaN a null, so that comparisons and aggregates see one kind of missing value."""
-    floating = [c for c, kind in df.dtypes if kind in ("double", "float")]
-    return df.withColumns({c: F.nanvl(q(c), F.lit(None)) for c in floating}) if floating else df
-
-
 def clean_v1(df: DataFrame, target: str = TARGET) -> DataFrame:
     """Rows with a label; the label as an integer."""
     return df.filter(~is_missing(df, target)).withColumn(target, q(target).cast("int"))

@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.operators.clean import nan_to_null
-from holdfast.operators.profile import q
+from holdfast.operators.profile import nan_to_null, q
 
 
 def overlap(train: DataFrame, test: DataFrame) -> DataFrame:

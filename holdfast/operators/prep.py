@@ -57,6 +57,13 @@ def mode_imputer(df: DataFrame, cols: Sequence[str]) -> Imputer:
     return Imputer({r["column"]: r["value"] for r in best.collect()})
 
 
+def _category_rows(df: DataFrame, cols: Sequence[str]) -> list:
+    rows = category_counts(df, cols).limit(MAX_CATEGORIES + 1).collect()
+    if len(rows) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} categories to encode")
+    return rows
+
+
 @dataclass
 class Scaler:
     """Subtract the mean, divide by the population deviation; constant columns keep scale 1."""
@@ -112,10 +119,10 @@ class OneHot:
 
 def one_hot(df: DataFrame, cols: Sequence[str], drop: str | None = None,
             unknown: str = "ignore") -> OneHot:
-    counts = category_counts(df, cols)
-    rows = counts.limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories to encode")
+    return _one_hot_of(_category_rows(df, cols), cols, drop, unknown)
+
+
+def _one_hot_of(rows: list, cols: Sequence[str], drop: str | None, unknown: str) -> OneHot:
     found: dict[str, list[str]] = {c: [] for c in cols}
     for r in rows:
         found[r["column"]].append(r["value"])
@@ -216,12 +223,16 @@ def build_preprocessor(
     """Fit imputation, scaling and encoding; scaling sees the imputed values."""
     numeric, categorical = list(numeric), list(categorical)
     median = median_imputer(df, numeric) if impute else Imputer()
-    mode = mode_imputer(df, categorical) if impute and categorical else Imputer()
+    rows = _category_rows(df, categorical) if categorical else []
+    mode = Imputer()
+    if impute:                        # most frequent first, the smallest value wins ties
+        for r in sorted(rows, key=lambda r: (-r["count"], r["value"])):
+            mode.fill.setdefault(r["column"], r["value"])
     filled = {
         c: F.coalesce(F.nanvl(q(c).cast("double"), F.lit(None)), F.lit(median.fill[c]))
         if median.fill.get(c) is not None else q(c).cast("double")
         for c in numeric
     }
     scaler = standard_scaler(df, numeric, filled) if numeric else Scaler()
-    hot = one_hot(df, categorical, drop, unknown) if categorical else OneHot({})
+    hot = _one_hot_of(rows, categorical, drop, unknown)
     return Preprocessor(numeric, categorical, median, mode, scaler, hot)

@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from holdfast.operators.quantiles import quantiles
 
 
+MAX_CLASSES = 1000
+
+
 def q(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -23,6 +26,12 @@ def is_missing(df: DataFrame, name: str) -> Column:
     return q(name).isNull()
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """Make NaN a null. Spark sorts NaN above all numbers, so a comparison could hold for it."""
+    floating = [c for c, kind in df.dtypes if kind in ("double", "float")]
+    return df.withColumns({c: F.nanvl(q(c), F.lit(None)) for c in floating}) if floating else df
+
+
 def long_rows(agg: DataFrame, rows: Sequence[Sequence[Column]], names: Sequence[str]) -> DataFrame:
     """Turn a one-row aggregate into one row per entry."""
     structs = [F.struct(*[c.alias(n) for c, n in zip(row, names)]) for row in rows]
@@ -165,7 +174,10 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: str) -> DataFrame:
 
     Whiskers end at the last value inside 1.5 interquartile ranges of the box.
     """
-    classes = sorted(r[0] for r in df.select(q(by)).distinct().dropna().collect())
+    found_classes = df.select(q(by)).distinct().dropna().limit(MAX_CLASSES + 1).collect()
+    if len(found_classes) > MAX_CLASSES:
+        raise ValueError(f"{by} has more than {MAX_CLASSES} classes; it is not a class column")
+    classes = sorted(r[0] for r in found_classes)
     groups = [(c, k) for c in cols for k in classes]
     values = {
         str(i): F.when(q(by) == F.lit(k), q(c).cast("double"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.operators.profile import long_rows, q
+from holdfast.operators.profile import long_rows, nan_to_null, q
 from holdfast.operators.quantiles import quantile
 from holdfast.schema import FIXED_SPEND_LIMIT, SPEND_QUANTILE, TARGET
 
@@ -83,17 +83,17 @@ def fit_rules(df: DataFrame) -> RuleSet:
 
 
 def rule_mask(df: DataFrame, rules: RuleSet, out: str = "deterministic") -> DataFrame:
-    return df.withColumn(out, rules.mask())
+    return nan_to_null(df).withColumn(out, rules.mask())
 
 
 def fired_rules(df: DataFrame, rules: RuleSet, out: str = "fired") -> DataFrame:
-    return df.withColumn(out, rules.fired())
+    return nan_to_null(df).withColumn(out, rules.fired())
 
 
 def rule_analysis(df: DataFrame, rules: RuleSet, target: str = TARGET) -> DataFrame:
     """Rows, share and class rate of every rule and of all rules together, in one pass."""
     masks = [(r.name, r.fires) for r in rules.rules] + [("combined", rules.mask())]
-    agg = df.agg(
+    agg = nan_to_null(df).agg(
         F.count("*").alias("n"),
         *[F.count_if(m).alias(f"c{i}") for i, (_, m) in enumerate(masks)],
         *[F.avg(F.when(m, q(target))).alias(f"r{i}") for i, (_, m) in enumerate(masks)],
@@ -121,7 +121,7 @@ def scored_columns(df: DataFrame, rules: RuleSet, p: Column, guess: Column) -> D
     """Hybrid result columns from any model probability and label: rules come first."""
     hit = rules.mask()
     prob = F.when(hit, 1.0).otherwise(p)
-    return df.withColumns({
+    return nan_to_null(df).withColumns({
         "churn_prediction": F.when(hit, 1).otherwise(guess).cast("int"),
         "churn_probability": F.round(prob, 4),
         "retention_probability": F.round(F.lit(1.0) - prob, 4),
@@ -165,7 +165,7 @@ def compare_actual(pred: DataFrame, p: str = "p", actual: str = "label") -> Data
 
 def rule_explanation(df: DataFrame, rules: RuleSet) -> DataFrame:
     """Explanation sentence of every row a rule fires on."""
-    fired = df.withColumn("fired", rules.fired()).filter(F.size("fired") > 0)
+    fired = nan_to_null(df).withColumn("fired", rules.fired()).filter(F.size("fired") > 0)
     texts = F.array_join(F.transform("fired", lambda x: x["rule"]), ", ")
     return fired.withColumn(
         "explanation",

@@ -15,11 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.operators.ordering import hash_bucket, hash_key, hash_rank
-from holdfast.operators.profile import q
+from holdfast.operators.profile import MAX_CLASSES, q
 from holdfast.schema import ID
 
-MAX_CLASSES = 1000
-
 
 def _class_sizes(df: DataFrame, target: str | None) -> dict:
     if target is None:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from holdfast.operators.profile import is_missing, long_rows, q
+from holdfast.operators.profile import is_missing, long_rows, nan_to_null, q
 from holdfast.operators.quantiles import quantiles
 from holdfast.schema import CUSTOMER_SPEC, ValidationSpec
 
@@ -143,6 +143,7 @@ def invalid_values(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC) -> DataF
 def check_rows(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC,
                only: Collection[str] = CHECKS) -> list[tuple]:
     """The wanted checks as ``(name, status, message, details)``; others cost nothing."""
+    df = nan_to_null(df)
     cols = df.columns
     results = _schema_check(df, spec) if "schema" in only else []
     if not cols:
@@ -314,6 +315,6 @@ def row_errors(spec: ValidationSpec = CUSTOMER_SPEC, required: bool = True) -> C
 
 def split_valid(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC):
     """Usable records, and the others with their reasons."""
-    marked = df.withColumn("errors", row_errors(spec))
+    marked = nan_to_null(df).withColumn("errors", row_errors(spec))
     good = marked.filter(F.size("errors") == 0).drop("errors")
     return good, marked.filter(F.size("errors") > 0)

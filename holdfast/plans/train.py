@@ -18,6 +18,7 @@ from holdfast.functions.features import engineer_v1, engineer_v2
 from holdfast.operators import metrics as mx
 from holdfast.operators.clean import clean_v1, clean_v2, feature_lists
 from holdfast.operators.prep import Preprocessor, build_preprocessor
+from holdfast.operators.profile import nan_to_null
 from holdfast.operators.rules import RuleSet, churn_rules, fit_threshold
 from holdfast.operators.split import add_folds, stratified_sample, stratified_split
 from holdfast.plans.models import (
@@ -32,9 +33,9 @@ TUNING_ROWS = 50_000
 
 def evaluate(fitted, test: DataFrame, target: str = TARGET, digits: int = 6,
              names: Sequence[str] = mx.BUNDLE) -> DataFrame:
-    """Metric bundle on held-out rows."""
+    """Metric bundle on held-out rows. Scores are written once: the metrics read them thrice."""
     scored = fitted.score(test).select(F.col(f"`{target}`").alias("label"), "prediction", "p")
-    return mx.metric_bundle(scored, digits=digits, names=names)
+    return mx.metric_bundle(staged(scored, "scores"), digits=digits, names=names)
 
 
 # ---- stacking --------------------------------------------------------------------------------
@@ -127,6 +128,7 @@ class Hybrid:
 
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``prediction``, ``p`` and ``prediction_source`` to every row."""
+        df = nan_to_null(df)
         hit = self.rules.mask()
         cols = [F.col(f"`{c}`") for c in df.columns]
         decided = df.filter(hit).select(
@@ -317,7 +319,7 @@ def compare_models(df: DataFrame, algorithms: Sequence[str] = SUITE, folds: int
             scored = model.transform(data.filter(F.col("fold") == i)).select(
                 "label", vector_to_array("probability")[1].alias("p")
             )
-            scores.append(mx.roc_auc(scored).first()["roc_auc"])
+            scores.append(mx.roc_auc(staged(scored, "scores")).first()["roc_auc"])
         fitted = fit_pipeline(train, make_model(name, params.get(name)), name, target, pre)
         seconds = time.monotonic() - started
         m = evaluate(fitted, test, target).first().asDict()

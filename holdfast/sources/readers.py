@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from holdfast.operators.profile import nan_to_null
 from holdfast.schema import CUSTOMER_SCHEMA, CUSTOMER_SPEC, ValidationSpec
 
 BAD_BODY = "body must be an object or an array of objects"
@@ -15,7 +16,7 @@ BAD_BODY = "body must be an object or an array of objects"
 
 def read_customers(spark: SparkSession, path: str, schema: T.StructType = CUSTOMER_SCHEMA):
     """CSV with a header. Column names in the file must match the schema in order."""
-    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False)
+    return nan_to_null(spark.read.schema(schema).csv(path, header=True, enforceSchema=False))
 
 
 def read_any_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -296,3 +296,17 @@ def test_profile_columns(three):
     pdf = pr.column_profile(three).toPandas().set_index("column")
     assert pdf.loc["Gender", "n_unique"] == 2 and pdf["n_null"].sum() == 0
     assert isinstance(pdf, pd.DataFrame) and set(NUMERIC) <= set(pdf.index)
+
+
+def test_nan_behaves_like_a_missing_value(spark):
+    from holdfast.operators import validate as va
+
+    nan = float("nan")
+    df = spark.createDataFrame([("a", nan, nan), ("b", 30.0, 1.0)],
+                               "CustomerID string, `Payment Delay` double, Churn double")
+    rule = rules.RuleSet([("late", F.col("`Payment Delay`") > 20)])
+    assert [r["x"] for r in rules.rule_mask(df, rule, "x").orderBy("CustomerID").collect()] == [
+        False, True
+    ]
+    found = {r["check_name"]: r["status"] for r in va.check_bounds(df).collect()}
+    assert found == {"bounds_check_Payment Delay": "passed"}
