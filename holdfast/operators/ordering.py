@@ -38,30 +38,34 @@ def running_sums(
 
     ``bucket`` must rise (or fall, with ``descending``) with the order.
     """
-    keys = [*within, bucket]
+    # Keys without nulls: a plain equality keeps the window's partitioning for the join.
+    keys = {
+        f"_k{i}": F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("null"))
+        for i, c in enumerate([*within, bucket])
+    }
     values = {f"_v_{n}": c for n, c in sums.items()}
-    df = df.withColumns(values)
-    first = F.col(bucket).desc() if descending else F.col(bucket).asc()
-    earlier = Window.partitionBy(*within).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumns({**keys, **values})
+    *classes, _ = keys
+    first = F.col("_at").desc() if descending else F.col("_at").asc()
+    earlier = Window.partitionBy(*classes).orderBy(first).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
     offsets = (
         df.groupBy(*keys)
-        .agg(*[F.sum(v).alias(f"_t{v}") for v in values])
-        .select(
-            *[F.col(k).alias(f"_o_{k}") for k in keys],
-            *[F.coalesce(F.sum(f"_t{v}").over(earlier), F.lit(0)).alias(f"_o{v}") for v in values],
-        )
+        .agg(F.min(bucket).alias("_at"), *[F.sum(v).alias(f"_t{v}") for v in values])
+        .select(*keys, *[
+            F.coalesce(F.sum(f"_t{v}").over(earlier), F.lit(0)).alias(f"_o{v}") for v in values
+        ])
     )
     inside = (
         Window.partitionBy(*keys).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     ranked = df.withColumns({f"_r_{n}": F.sum(f"_v_{n}").over(inside) for n in sums})
-    on = [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys]
-    joined = ranked.join(offsets, on, "inner")
-    out = joined.withColumns({n: F.col(f"_r_{n}") + F.col(f"_o_v_{n}") for n in sums})
-    drop = [*values, *[f"_r_{n}" for n in sums], *[f"_o_v_{n}" for n in sums],
-            *[f"_o_{k}" for k in keys]]
-    return out.drop(*drop)
+    out = ranked.join(offsets, list(keys), "inner").withColumns({
+        n: F.col(f"_r_{n}") + F.col(f"_o_v_{n}") for n in sums
+    })
+    return out.drop(*keys, *values, *[f"_r_{n}" for n in sums], *[f"_o_v_{n}" for n in sums])
 
 
 def hash_rank(
