@@ -101,6 +101,7 @@ def cost_summary(endpoints: DataFrame, jobs: DataFrame, now: str, days: int = 30
 
 def cost_recommendations(endpoints: DataFrame) -> DataFrame:
     """Advice per costed endpoint, and two general rows."""
+    # fixed values: wording of the advice
     hourly = F.col("hourly_cost_usd")
     name = F.col("endpoint_name")
     running = F.when(F.col("runtime_hours") > 24, F.struct(

@@ -147,6 +147,7 @@ def explanation_text(df: DataFrame, prediction: str = "prediction", p: str = "p"
 
     up = lines("churn_factors", "  • %s: %.2f (impact: +%.3f)\n")
     down = lines("retention_factors", "  • %s: %.2f (impact: %.3f)\n")
+    # fixed values: wording of the two texts
     churns = q(prediction) == 1
     sure = F.when(churns, q(p)).otherwise(F.lit(1.0) - q(p)) * 100.0
     text = F.when(churns, F.concat(

@@ -57,6 +57,7 @@ class RuleSet:
 
 def churn_rules(spend: float = FIXED_SPEND_LIMIT) -> RuleSet:
     """The four churn rules with a given spend limit."""
+    # fixed values: limits and wording of the rules
     sure = "→ 100% churn in training data"
     return RuleSet([
         Rule("high_support_calls", q("Support Calls") >= 6, "Support Calls",

@@ -34,6 +34,7 @@ def _details(value) -> str | None:
     return None if value is None else json.dumps(value, ensure_ascii=False)
 
 
+# Names and messages of the checks follow.
 def _schema_check(df: DataFrame, spec: ValidationSpec) -> list[tuple]:
     missing = sorted(set(spec.columns) - set(df.columns))
     extra = sorted(set(df.columns) - set(spec.columns))

@@ -93,6 +93,7 @@ def model_card(metrics: DataFrame, importance: DataFrame, model_type: str, n_fea
         (i + 1).cast("string"), F.lit(". **"), x["feature"], F.lit("**: "),
         F.format_string("%.4f", x["mean_abs_shap"]),
     ))).scalar()
+    # fixed values: headings and wording of the card
     text = [F.lit(x) for x in (
         "# Model Card: Customer Churn Prediction", "", "## Model Details",
         f"- **Model Type**: {model_type}", "- **Version**: 2.0",
