@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from holdfast.session import shared_dir, staged
 
-__all__ = ["table", "staged", "shared_dir", "words", "text_of", "slices", "WordArrays", "mix64",
+__all__ = ["table", "staged", "shared_dir", "words", "text_of", "slices", "WordArrays", "mix64", "distinct",
            "WHITE", "LOWER"]
 
 #: ASCII white space, the separators of words: space and 0x09 to 0x0D.
@@ -57,6 +57,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, the place of one example of each, and the value's number per place."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], number
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n - 1 of the hash step and of its inverse, modulo 2^64."""
     up, down = np.full(n, _STEP), np.full(n, _STEP_INVERSE)
