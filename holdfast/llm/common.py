@@ -68,11 +68,16 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[new], order[new], number
 
 
+_POWERS: list[np.ndarray] = []
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n - 1 of the hash step and of its inverse, modulo 2^64."""
-    up, down = np.full(n, _STEP), np.full(n, _STEP_INVERSE)
-    up[:1] = down[:1] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    if not _POWERS or len(_POWERS[0]) < n:
+        up, down = np.full(max(n, SLICE_BYTES), _STEP), np.full(max(n, SLICE_BYTES), _STEP_INVERSE)
+        up[0] = down[0] = 1
+        _POWERS[:] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[
@@ -129,8 +134,7 @@ class WordArrays:
         if not len(self.start):
             return np.zeros(0, np.uint64)
         up, down = powers(len(self.data))
-        up *= _BYTE_CODE[self.data]
         total = np.zeros(len(up) + 1, np.uint64)
-        np.cumsum(up, out=total[1:])
+        np.cumsum(up * _BYTE_CODE[self.data], out=total[1:])
         found = (total[self.end] - total[self.start]) * down[self.start]
         return mix64(found + (self.end - self.start).astype(np.uint64))

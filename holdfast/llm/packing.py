@@ -64,29 +64,30 @@ class Encoder:
         self.length = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
-    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of each part, and all ids in turn."""
-        length, found = np.zeros(len(parts), np.int64), [None] * len(parts)
+    def encode(self, parts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Places of the parts in a new order, their numbers of ids, and all ids in that order."""
         # a part of letters alone is one word to the tokenizer, and ends with an id that says so
-        plain = [i for i, p in enumerate(parts)
-                 if p.isalpha() and unicodedata.normalize("NFC", p).lower().isalpha()]
+        plain = [i for i, p in enumerate(parts) if p.isalpha() and (
+            p.isascii() or unicodedata.normalize("NFC", p).lower().isalpha())]
+        alone = sorted(set(range(len(parts))).difference(plain))
+        order, lengths, ids = [], [], []
         groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
-        joined = self.tokenizer.encode_batch_fast(
-            [" ".join(parts[i] for i in g) for g in groups], add_special_tokens=False)
-        alone = sorted(set(range(len(parts))) - set(plain))
-        for g, e in zip(groups, joined):
-            ids = np.asarray(e.ids, np.uint32)
-            cut = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(cut) != len(g) or cut[-1] != len(ids):
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast(
+                [" ".join([parts[i] for i in g]) for g in groups], add_special_tokens=False)):
+            own = np.asarray(e.ids, np.uint32)
+            cut = np.flatnonzero(self.ends_word[own]) + 1
+            if len(cut) != len(g) or cut[-1] != len(own):
                 alone.extend(g)
                 continue
-            for i, x in zip(g, np.split(ids, cut[:-1])):
-                found[i] = x
+            order.extend(g)
+            lengths.append(np.diff(cut, prepend=0))
+            ids.append(own)
         for i, e in zip(alone, self.tokenizer.encode_batch_fast(
                 [parts[i] for i in alone], add_special_tokens=False)):
-            found[i] = np.asarray(e.ids, np.uint32)
-        length[:] = [len(x) for x in found]
-        return length, np.concatenate(found) if found else np.zeros(0, np.uint32)
+            order.append(i)
+            lengths.append([len(e.ids)])
+            ids.append(np.asarray(e.ids, np.uint32))
+        return order, np.concatenate(lengths).astype(np.int64), np.concatenate(ids)
 
     def __call__(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a run of texts: number for each text, and all ids in turn."""
@@ -120,10 +121,11 @@ class Encoder:
             new = np.ones(len(known), bool)
         if new.any():
             body = own.tobytes()
-            length, ids = self.encode(
-                [body[start[i]:end[i]].decode() for i in example[new]])
+            places, length, ids = self.encode(
+                [body[a:z].decode() for a, z in zip(start[example[new]].tolist(),
+                                                    end[example[new]].tolist())])
             at = len(self.pool) + np.cumsum(length) - length
-            every = np.concatenate([self.known, known[new]])
+            every = np.concatenate([self.known, known[new][places]])
             order = np.argsort(every)
             self.known = every[order]
             self.at = np.concatenate([self.at, at])[order]
