@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["sharding", "scoring", "packing", "chat", "lines", "urls", "neardup"]
+MODULES = ["sharding", "scoring", "packing", "mixing", "chat", "lines", "urls", "neardup"]
 
 
 def collect() -> tuple[dict, dict]:
