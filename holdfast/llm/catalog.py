@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["sharding", "scoring", "packing", "mixing", "quality", "chat", "lines", "urls",
-           "neardup"]
+MODULES = ["sharding", "scoring", "packing", "mixing", "quality", "ann", "chat", "lines",
+           "urls", "neardup"]
 
 
 def collect() -> tuple[dict, dict]:
