@@ -201,11 +201,14 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     parts = pieces.groupBy("pool", "bucket", "row", "pass", "doc_id", "t").agg(
         F.sort_array(F.collect_list(F.struct("start", "length"))).alias("parts"),
         (F.sum("length") == F.first("size")).alias("whole")).select(
-        F.col("doc_id").alias("m_doc"), F.col("t").alias("m_t"), "parts", "whole")
-    once = docs.withColumn("_t", F.xxhash64(text_of("text"))).dropDuplicates(["doc_id", "_t"])
-    joined = once.join(parts, (F.col("_t") == F.col("m_t"))
-                       & F.col("doc_id").cast("long").eqNullSafe(F.col("m_doc")))
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+        F.coalesce("doc_id", F.lit(-(2**63))).alias("m_doc"), F.col("t").alias("m_t"), "parts",
+        "whole")
+    keys = [F.xxhash64(text_of("text")).alias("m_t"),
+            F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("m_doc")]
+    once = docs.select(F.struct(*docs.columns).alias("_row"), *keys).dropDuplicates(
+        ["m_t", "m_doc"])
+    joined = once.join(parts, ["m_t", "m_doc"])
+    words = F.regexp_extract_all(F.col("_row.text"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
 
     def part(words: Column, p: Column, i: Column) -> Column:
         body = F.array_join(F.slice(words, (p["start"] + 1).cast("int"), p["length"].cast("int")), "")
@@ -216,10 +219,11 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     cut = F.transform(F.array(words), lambda w: F.array_join(
         F.transform("parts", lambda p, i: part(w, p, i)), ""))[0]
-    out = joined.withColumn("text", F.when(F.col("whole"), F.col("text")).otherwise(cut))
+    out = joined.select("_row", F.when(F.col("whole"), F.col("_row.text")).otherwise(cut).alias("_cut"))
+    new = {"text": F.col("_cut")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        new["n_chars"] = F.length("_cut").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def _sql_hash(text: str) -> str:

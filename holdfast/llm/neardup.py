@@ -21,12 +21,13 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import (
-    WordArrays, distinct, mix64, shared_dir, slices, staged, table, text_of,
+    WordArrays, bitmap, distinct, has_bit, mix64, shared_dir, slices, staged, table, text_of,
 )
 from holdfast.llm.lines import LineHashes
 
@@ -283,6 +284,31 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
         (alone | (F.col("best") == place)).alias("leader"))
 
 
+def keep_leaders(docs: DataFrame) -> DataFrame:
+    """One document of every class, the leader, with all its columns.
+
+    Only documents whose text hash shares its bit with one that goes, or with a repeated row, are
+    shuffled.
+    """
+    classes = staged(near_classes(docs).select("doc_id", "t", "leader"), "leaders")
+    per_row = classes.groupBy("doc_id", "t").agg(F.count("*").alias("n"),
+                                                 F.first("leader").alias("leader"))
+    going = staged(per_row.where("n > 1 OR NOT leader"), "going")
+    bits = bitmap(going, "t")
+
+    @F.pandas_udf("boolean")
+    def touched(t: pd.Series) -> pd.Series:
+        return pd.Series(has_bit(bits, t.to_numpy()))
+
+    base = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(text_of("text")).alias("_t"),
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id")) \
+        .withColumn("_hit", touched("_t"))
+    drop = going.where("NOT leader").select(
+        F.col("t").alias("_t"), F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"))
+    left = base.where("_hit").join(drop, ["_t", "_id"], "left_anti").dropDuplicates(["_t", "_id"])
+    return base.where("NOT _hit").unionByName(left).select("_row.*")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and links of every document at a shingle similarity of 0.8."""
     return near_classes(table(spark, sf_dir, "documents")).select(

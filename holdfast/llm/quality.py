@@ -96,8 +96,8 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     })
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Append ``grp``: language and source, or the language, or all; null with too few rows."""
+def _groups(rows: DataFrame) -> DataFrame:
+    """Per ``lang`` and ``source`` the group ``grp``: the pair, the language, or all; else null."""
     fit = rows.where("NOT base_failed").groupBy("lang", "source").count()
     small = F.when(F.col("count") < GROUP_ROWS, F.col("count")).otherwise(0)
     counts = fit.withColumn("in_lang", F.sum(small).over(Window.partitionBy("lang")))
@@ -109,9 +109,13 @@ def _grouped(rows: DataFrame) -> DataFrame:
     grp = F.when(F.col("count") >= GROUP_ROWS, F.xxhash64(F.lit("pair"), lang, source)) \
         .when(F.col("in_lang") >= GROUP_ROWS, F.xxhash64(F.lit("lang"), lang)) \
         .when(F.col("in_all") >= GROUP_ROWS, F.xxhash64(F.lit("all")))
-    named = counts.select(F.col("lang").alias("c_lang"), F.col("source").alias("c_source"),
-                          grp.alias("grp"))
-    return rows.join(named, F.col("lang").eqNullSafe(F.col("c_lang"))
+    return counts.select(F.col("lang").alias("c_lang"), F.col("source").alias("c_source"),
+                         grp.alias("grp"))
+
+
+def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Append what ``groups`` has for the row's language and source."""
+    return rows.join(groups, F.col("lang").eqNullSafe(F.col("c_lang"))
                      & F.col("source").eqNullSafe(F.col("c_source")), "left") \
         .drop("c_lang", "c_source")
 
@@ -209,29 +213,57 @@ def estimates(rows: DataFrame) -> DataFrame:
     return staged(_fitted(near, NEAR_FACTOR), "mcd-fits")
 
 
+def fit_quality(statistics: DataFrame) -> DataFrame:
+    """Limits for each language and source: the fit of its group, from a table of statistics."""
+    groups = staged(_groups(statistics), "quality-groups")
+    rows = staged(_with_group(statistics.where("NOT base_failed"), groups)
+                  .where("grp IS NOT NULL").select("grp", *STATS), "quality-fit")
+    return staged(groups.join(estimates(rows), "grp", "left").drop("grp", "logdet", "start"),
+                  "quality-limits")
+
+
+def with_verdict(statistics: DataFrame, limits: DataFrame) -> DataFrame:
+    """Append ``distance`` and ``kept``."""
+    return _with_group(statistics, limits).withColumn("distance", _by_fit()).withColumn(
+        "kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= REJECT))
+
+
+def _narrow(docs: DataFrame, key: str, text: str, lang: str, source: str) -> DataFrame:
+    return staged(with_statistics(docs.select(
+        docs[key].cast("long").alias("doc_id"), docs[lang].alias("lang"),
+        docs[source].alias("source"), docs[text].alias("text"))).drop("text"),
+        "quality-statistics")
+
+
 def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
                   source: str = "source") -> DataFrame:
-    """One row per document: doc_id, t (hash of the text), statistics, base_failed, distance, kept.
+    """One row per document: doc_id, the counted statistics, base_failed, distance, kept.
 
     Null texts have no words and fail. Null languages and sources are groups of their own. Equal
     rows get equal verdicts; other columns are not read. An empty table gives no rows.
     """
-    narrow = with_statistics(docs.select(
-        docs[key].cast("long").alias("doc_id"), docs[lang].alias("lang"),
-        docs[source].alias("source"), docs[text].alias("text"),
-        F.xxhash64(text_of(docs[text])).alias("t"))).drop("text")
-    rows = staged(_grouped(staged(narrow, "quality-statistics")), "quality-groups")
-    fits = estimates(rows.where("NOT base_failed AND grp IS NOT NULL"))
-    judged = rows.join(fits, "grp", "left").withColumn("distance", _by_fit())
-    return judged.select(
-        "doc_id", "t", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "distance",
-        (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= REJECT)).alias("kept"))
+    rows = _narrow(docs, key, text, lang, source)
+    return with_verdict(rows, fit_quality(rows)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "distance")
+
+
+def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
+              source: str = "source") -> DataFrame:
+    """The documents that pass, with all their columns.
+
+    Statistics are counted again for the verdict, beside the text, so no text is shuffled.
+    """
+    limits = fit_quality(_narrow(docs, key, text, lang, source))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
+                       docs[lang].alias("lang"), docs[source].alias("source"),
+                       docs[text].alias("text"))
+    return with_verdict(with_statistics(rows), limits).where("kept").select("_row.*")
 
 
 def op5_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
-    return judge_quality(table(spark, sf_dir, "documents")).drop("t", "distance")
+    return judge_quality(table(spark, sf_dir, "documents")).drop("distance")
 
 
 QUERIES = {"op5_mcd_quality": op5_mcd_quality}
