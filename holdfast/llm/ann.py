@@ -1,7 +1,8 @@
 """Operator 6. Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Largest inner products are nearest points once every vector gets one more coordinate that brings it
-to the greatest length, and queries get a zero there. Each of ``TABLES`` tables hashes a point with
+Largest inner products are nearest points once vectors are divided by the greatest length, get one
+more coordinate that brings them to length one, and queries are brought to length one with a zero
+there. So ``WIDTH`` does not depend on the scale of the vectors. Each of ``TABLES`` tables hashes a point with
 ``FUNCTIONS`` functions ``floor((a x + b) / WIDTH)``, ``a`` normal. A query visits the ``PROBES``
 buckets of a table that are likeliest to hold near points: its own, and neighbours in the order of
 the summed squared distances to the cell borders that have to be crossed. All vectors of the visited
@@ -79,8 +80,8 @@ class Hashes:
         self.moves = np.array(list(itertools.product((0, -1, 1), repeat=functions)))
 
     def _cells(self, x: np.ndarray, query: bool) -> np.ndarray:
-        rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(
-            self.reach ** 2 - (x * x).sum(axis=1), 0.0))
+        x = x / (np.sqrt((x * x).sum(axis=1))[:, None] if query else self.reach)
+        rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(1 - (x * x).sum(axis=1), 0.0))
         return ((np.column_stack([x, rest]) @ self.a + self.b) / self.width).reshape(self.shape)
 
     def _key(self, cells: np.ndarray) -> np.ndarray:
