@@ -126,7 +126,7 @@ def least_count(counts: DataFrame, capacity: int) -> int:
     """Least count that at most ``capacity`` rows reach; from a histogram of the counts."""
     steps = counts.groupBy(F.when(F.col("n") < 4096, F.col("n")).otherwise(
         F.pow(2.0, F.floor(F.log2("n") * 16) / 16).cast("long")).alias("n")).count()
-    room, found = capacity, 1
+    room, found = capacity, 2**62  # more than any count: nothing fits
     for n, rows in sorted(((r[0], r[1]) for r in steps.collect()), reverse=True):
         if rows > room:
             return found
