@@ -115,11 +115,13 @@ def connected(edges: DataFrame) -> DataFrame:
         df.write.parquet(f"{folder}/{step}")
         return spark.read.schema("a long, b long").parquet(f"{folder}/{step}")
 
-    def star(now: DataFrame, large: bool) -> DataFrame:
+    def star(now: DataFrame, large: bool, step: str) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         seen = both if large else both.where("b < a")
-        least = seen.groupBy("a").agg(F.min("b").alias("m")).select(
-            F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        # written, so that the join below has two plain exchanges and a hot node can be split
+        least = written(seen.groupBy("a").agg(F.min("b").alias("b")).select(
+            "a", F.least("a", "b").alias("b")), step).select(
+            F.col("a").alias("u"), F.col("b").alias("m"))
         moved = seen.where("b > a") if large else seen
         joined = moved.join(least, moved.a == least.u).select(F.col("b").alias("a"),
                                                               F.col("m").alias("b"))
@@ -131,7 +133,8 @@ def connected(edges: DataFrame) -> DataFrame:
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "0")
     before = None
     for step in range(1, 200):
-        now = written(star(star(now, True), False), str(step))
+        large = written(star(now, True, f"{step}-least-large"), f"{step}-large")
+        now = written(star(large, False, f"{step}-least-small"), str(step))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -141,7 +144,10 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the sets at ``left`` with those at ``right``."""
+    """Sizes of the intersections of the sets at ``left`` with other sets at ``right``.
+
+    Elements of one set only are left out, so a set meets itself in too few.
+    """
     values, _, number = distinct(np.concatenate(sets))
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     often = np.bincount(number, minlength=len(values)) > 1
