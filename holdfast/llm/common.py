@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from holdfast.session import shared_dir, staged
 
 __all__ = ["table", "staged", "shared_dir", "words", "text_of", "slices", "WordArrays", "mix64", "distinct",
+           "bitmap", "has_bit",
            "WHITE", "LOWER"]
 
 #: ASCII white space, the separators of words: space and 0x09 to 0x0D.
@@ -68,6 +69,32 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[new], order[new], number
 
 
+#: Bits of a bitmap of hashes.
+BITMAP_BITS = 24
+
+
+def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
+    """Bits of the low ends of hashes, 2 MB whatever the number of rows.
+
+    Rows whose bit is not set have no partner, so they need not be shuffled to a join; the join
+    itself stays exact, also when most bits are set.
+    """
+    low = F.col(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    bits = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    for word, value in hashes.select(low.alias("low")).groupBy(
+            F.shiftright("low", 6).cast("int").alias("word")).agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(low & 63 as int))"))).collect():
+        bits[word] = np.uint64(value & (2**64 - 1))
+    return bits
+
+
+def has_bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set."""
+    low = hashes.view(np.uint64) & np.uint64((1 << BITMAP_BITS) - 1)
+    return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))
+            & np.uint64(1)).astype(bool)
+
+
 _POWERS: list[np.ndarray] = []
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import (
-    _STEP_INVERSE, WordArrays, mix64, powers, slices, staged, table, text_of,
+    _STEP_INVERSE, WordArrays, bitmap, has_bit, mix64, powers, slices, staged, table, text_of,
 )
 
 #: Shorter lines are left alone.
@@ -53,6 +53,15 @@ class LineHashes:
         return mix64(value + (end - start - 1).astype(np.uint64))
 
 
+def _line_starts(w: WordArrays) -> tuple[np.ndarray, np.ndarray]:
+    """First word of every line that has words, and the line number of every word."""
+    feeds = np.concatenate([[0], np.cumsum(w.data == 10)])
+    line = feeds[w.start] - feeds[w.offsets[w.row]]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (w.row[1:] != w.row[:-1])
+    return np.flatnonzero(new), line
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """Lines with words: doc_id, t (hash of the text), line, n, h, and hashes of the half lines."""
     names = ["doc_id", "t", "line", "n", "h", "a1", "a2", "z1", "z2"]
@@ -63,11 +72,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 w = WordArrays(offsets, data)
                 if not len(w.start):
                     continue
-                feeds = np.concatenate([[0], np.cumsum(data == 10)])
-                line = feeds[w.start] - feeds[offsets[w.row]]
-                new = np.ones(len(line), bool)
-                new[1:] = (line[1:] != line[:-1]) | (w.row[1:] != w.row[:-1])
-                start = np.flatnonzero(new)
+                start, line = _line_starts(w)
                 end = np.append(start[1:], len(line))
                 n, hashes = end - start, LineHashes(w.hashes())
                 halves = []
@@ -87,9 +92,32 @@ def lines_of(docs: DataFrame) -> DataFrame:
                                 "z1 long, z2 long")
 
 
+def line_texts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Hash and words, joined by spaces, of all lines whose hash has its bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, offsets, data in slices(b.column(0)):
+                w = WordArrays(offsets, data)
+                if not len(w.start):
+                    continue
+                start, _ = _line_starts(w)
+                end = np.append(start[1:], len(w.start))
+                h = LineHashes(w.hashes()).run(start, end)
+                own = np.flatnonzero((end - start >= NEAR_WORDS) & has_bit(bits, h))
+                body = data.tobytes()
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(h[own].view(np.int64)),
+                    pa.array([" ".join(_split(body[a:z].decode())) for a, z in zip(
+                        w.start[start[own]].tolist(), w.end[end[own] - 1].tolist())], pa.string()),
+                ], ["h", "words"])
+
+    return docs.select("text").mapInArrow(run, "h long, words string")
+
+
 def variants_of(texts: DataFrame) -> DataFrame:
     """All variants of lines with at most one word deleted; place -1 is the whole line."""
-    names = ["v", "place", "doc_id", "line", "t", "h"]
+    names = ["v", "place", "h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,10 +134,9 @@ def variants_of(texts: DataFrame) -> DataFrame:
                 place = np.concatenate([gone - start[w.row], np.full(len(n), -1)])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(key.view(np.int64)), pa.array(place.astype(np.int32)),
-                    *[b.column(c).take(row) for c in names[2:]]], names)
+                    b.column("h").take(row)], names)
 
-    return texts.mapInArrow(
-        run, "v long, place int, doc_id long, line int, t long, h long")
+    return texts.select("h", "words").mapInArrow(run, "v long, place int, h long")
 
 
 def one_edit(a: list[str], b: list[str]) -> bool:
@@ -143,29 +170,17 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     halves = first.select("h", F.explode(F.filter(F.array("a1", "a2", "z1", "z2"),
                                                   lambda x: x.isNotNull())).alias("key"))
     shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    chosen = first.join(halves.join(shared, "key", "left_semi").select("h").distinct(), "h")
-    by_doc = chosen.groupBy(F.col("at.doc_id").alias("c_doc"), F.col("at.t").alias("c_t")).agg(
-        F.collect_list(F.struct("at.line", "h")).alias("wanted"))
-    found = docs.join(by_doc, (F.col("t") == F.col("c_t"))
-                      & F.col("doc_id").eqNullSafe(F.col("c_doc")))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for doc, t, text, wanted in zip(*(b.column(i).to_pylist() for i in range(4))):
-                lines = text.split("\n")
-                rows.extend((w["h"], doc, w["line"], t, " ".join(_split(lines[w["line"]])))
-                            for w in wanted)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
-                ["h", "doc_id", "line", "t", "words"])
-
-    texts = staged(found.select("doc_id", "t", "text", "wanted").mapInArrow(
-        pick, "h long, doc_id long, line int, t long, words string").dropDuplicates(["h"]),
-        "line-texts")
-    variants = variants_of(texts).withColumn("me", F.struct("doc_id", "line", "t", "h")).select(
-        "v", "place", "me")
+    sharing = halves.join(shared, "key", "left_semi").select("h").distinct()
+    chosen = first.select("h", "at").join(sharing, "h")
+    chosen = staged(chosen.select("h", "at.doc_id", "at.line", "at.t"), "chosen-lines")
+    texts = staged(line_texts(docs, bitmap(chosen, "h")).groupBy("h").agg(
+        F.min("words").alias("words")).join(chosen, "h"), "line-texts")
+    # most variants are met by one line only; those go before lines are compared
+    every = variants_of(texts)
+    met = every.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
+    places = texts.select("h", F.struct("doc_id", "line", "t", "h").alias("me"))
+    variants = staged(every.join(met, "v", "left_semi").join(places, "h").select(
+        "v", "place", "me"), "line-variants")
     deleted = variants.where("place >= 0")
     same_place = deleted.groupBy("v", "place").agg(
         F.min("me").alias("best"), F.count("*").alias("n")).where("n > 1")
@@ -229,18 +244,39 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             out.append(t)
         return pd.Series(out)
 
+    gone = staged(gone, "gone-lines")
+    bits = bitmap(gone, "g_t")
+
+    @F.pandas_udf("boolean")
+    def touched(t: pd.Series) -> pd.Series:
+        return pd.Series(has_bit(bits, t.to_numpy()))
+
     added = ["n_lines", "n_copies", "n_near"]
-    base = docs.drop(*added).withColumn("_t", F.xxhash64(text_of(docs[text])))
-    joined = base.join(gone, (F.col("_t") == F.col("g_t"))
-                       & base[key].cast("long").eqNullSafe(F.col("g_doc")), "left")
-    wordy = F.filter(F.split(text_of(text), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    columns = [c for c in docs.columns if c not in added]
+    base = docs.select(F.struct(*[docs[c] for c in columns if c != text]).alias("_row"),
+                       docs[key].cast("long").alias("_id"), docs[text].alias("_text"),
+                       F.xxhash64(text_of(docs[text])).alias("_t")).withColumn("_hit", touched("_t"))
+    # documents that lose no line are not shuffled
+    joined = base.where("_hit").join(gone, (F.col("_t") == F.col("g_t"))
+                                     & F.col("_id").eqNullSafe(F.col("g_doc")), "left")
+    joined = joined.unionByName(base.where("NOT _hit"), allowMissingColumns=True)
+    wordy = F.filter(F.split(text_of("_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     near_n = F.coalesce("near_n", F.lit(0))
+    n_gone = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
     return joined.withColumns({
-        "n_lines": F.size(wordy).cast("long"),
-        "n_copies": F.greatest(F.coalesce(F.size("gone"), F.lit(0)) - near_n, F.lit(0)).cast("long"),
-        "n_near": near_n.cast("long"),
-        text: F.when(F.col("gone").isNull(), F.col(text)).otherwise(without(text, "gone")),
-    }).select(*base.drop("_t").columns, *added)
+        "_n_lines": F.size(wordy).cast("long"), "_n_near": near_n.cast("long"),
+        "_n_copies": (n_gone - near_n).cast("long"),
+        "_kept": F.when(F.col("gone").isNull(), F.col("_text")).otherwise(without("_text", "gone")),
+    }).select(*[F.col("_kept").alias(c) if c == text else F.col("_row")[c].alias(c)
+                for c in columns], *[F.col(f"_{c}").alias(c) for c in added])
+
+
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+    """The deduplicated documents; those that lost all their lines go. ``n_chars`` follows."""
+    done = dedup_lines(docs).where("n_copies + n_near = 0 OR n_lines > n_copies + n_near")
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(docs.columns)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
