@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,21 +11,17 @@ from holdfast.operators.profile import nan_to_null, q
 def overlap(train: DataFrame, test: DataFrame) -> DataFrame:
     """Pairs of identical rows across two tables, missing values being equal.
 
-    Equal rows are counted on both sides first, so copies never multiply in the join.
+    Both tables are counted in one aggregate: one shuffle, no join, and copies never multiply.
     """
     shared = [c for c in train.columns if c in test.columns]
 
-    def counted(df, n):
-        return nan_to_null(df.select(*[q(c) for c in shared])).groupBy(
-            *[q(c) for c in shared]
-        ).agg(F.count("*").alias(n))
-
-    a = counted(train, "n_train").alias("a")
-    b = counted(test, "n_test").alias("b")
-    on = reduce(lambda x, y: x & y, [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`"))
-                                     for c in shared])
-    pairs = a.join(b, on, "inner").select((F.col("n_train") * F.col("n_test")).alias("n"))
-    return pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("overlapping"))
+    def side(df: DataFrame, is_train: int) -> DataFrame:
+        return nan_to_null(df.select(*[q(c) for c in shared])).withColumn("_train", F.lit(is_train))
+
+    both = side(train, 1).unionByName(side(test, 0)).groupBy(*[q(c) for c in shared]).agg(
+        F.sum("_train").alias("_n_train"), F.sum(1 - F.col("_train")).alias("_n_test"))
+    pairs = F.sum(F.col("_n_train") * F.col("_n_test"))
+    return both.agg(F.coalesce(pairs, F.lit(0)).cast("long").alias("overlapping"))
 
 
 def concat_columns(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

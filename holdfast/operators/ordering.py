@@ -2,11 +2,12 @@
 
 Rows are first put into buckets whose order is the global order. A window then runs inside each
 bucket, and every bucket adds the total of the buckets before it. Only the per-bucket totals, of
-which there is a fixed number, are ordered in one task.
+which there are few, are ordered in one task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_DIGITS = 4          # 16 ** 4 buckets of equal size
-SCORE_BUCKETS = 256
+SCORE_BUCKETS = 256      # at least; with more rows, the root of their number
 
 
 def hash_key(id_col: str, seed: int) -> Column:
@@ -78,10 +79,12 @@ def hash_rank(
     ).drop("_key", "_bucket")
 
 
-def score_splits(df: DataFrame, col: str, buckets: int = SCORE_BUCKETS) -> list[float]:
+def score_splits(df: DataFrame, col: str, buckets: int | None = None) -> list[float]:
     """Approximate quantiles of ``col``; fitted once so that buckets never change."""
+    if buckets is None:
+        buckets = max(SCORE_BUCKETS, math.isqrt(df.count()))
     probs = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(col, probs, 10000)).first()[0] or []
+    found = df.agg(F.percentile_approx(col, probs, max(10_000, 4 * buckets))).first()[0] or []
     return sorted({float(x) for x in found})
 
 

@@ -18,8 +18,6 @@ from holdfast.operators.ordering import running_sums, score_splits, with_score_b
 from holdfast.operators.profile import columns_by_type, is_missing, q
 from holdfast.operators.quantiles import quantiles
 
-MAX_CATEGORIES = 10_000
-
 
 @dataclass
 class Imputer:
@@ -58,10 +56,8 @@ def mode_imputer(df: DataFrame, cols: Sequence[str]) -> Imputer:
 
 
 def _category_rows(df: DataFrame, cols: Sequence[str]) -> list:
-    rows = category_counts(df, cols).limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories to encode")
-    return rows
+    """Every category; each becomes a column, so there are as few as columns can be."""
+    return category_counts(df, cols).collect()
 
 
 @dataclass

@@ -11,9 +11,6 @@ from pyspark.sql import types as T
 from holdfast.operators.quantiles import quantiles
 
 
-MAX_CLASSES = 1000
-
-
 def q(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -45,12 +42,22 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """Type, distinct non-null values and nulls of every column."""
+    """Type, distinct non-null values and nulls of every column.
+
+    Distinct (column, value) pairs are found by one aggregate that combines before its shuffle, so
+    no row is copied for each column through a shuffle.
+    """
     cols = df.columns
-    agg = df.agg(
-        *[F.countDistinct(F.when(~is_missing(df, c), q(c))).alias(f"u{i}")
-          for i, c in enumerate(cols)],
-        *[F.count_if(is_missing(df, c)).alias(f"n{i}") for i, c in enumerate(cols)],
+    pairs = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.when(~is_missing(df, c), q(c).cast("string")).alias("v"))
+        for i, c in enumerate(cols)
+    ])))
+    values = pairs.groupBy("i", "v").agg(F.count("*").alias("n"))
+    agg = values.agg(
+        *[F.count_if((F.col("i") == i) & F.col("v").isNotNull()).alias(f"u{i}")
+          for i in range(len(cols))],
+        *[F.coalesce(F.sum(F.when((F.col("i") == i) & F.col("v").isNull(), F.col("n"))), F.lit(0))
+          .alias(f"n{i}") for i in range(len(cols))],
     )
     kinds = dict(df.dtypes)
     return long_rows(
@@ -174,10 +181,7 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: str) -> DataFrame:
 
     Whiskers end at the last value inside 1.5 interquartile ranges of the box.
     """
-    found_classes = df.select(q(by)).distinct().dropna().limit(MAX_CLASSES + 1).collect()
-    if len(found_classes) > MAX_CLASSES:
-        raise ValueError(f"{by} has more than {MAX_CLASSES} classes; it is not a class column")
-    classes = sorted(r[0] for r in found_classes)
+    classes = sorted(r[0] for r in df.select(q(by)).distinct().dropna().collect())
     groups = [(c, k) for c in cols for k in classes]
     values = {
         str(i): F.when(q(by) == F.lit(k), q(c).cast("double"))

@@ -1,9 +1,10 @@
 """Exact quantiles with linear interpolation.
 
-``percentile`` keeps every distinct value of a group in one task. That is used up to a fixed
-number of rows only. Above it, approximate quantiles bracket the wanted positions, the rows inside
-the brackets are counted, and the brackets shrink until they are small. The order statistics are
-then read from the rows of the bracket, so the result is exact at any size.
+One way for any number of rows: approximate quantiles bracket the wanted positions, the rows inside
+the brackets are counted, and the brackets shrink until they hold few rows or one value. Where a
+sketch brings no smaller bracket, the bracket is cut into cells of equal width, and the cell that
+holds the position is kept, from its least to its greatest value; that always shrinks it. Only rows
+of the last, small brackets are ordered.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 1_000_000
+#: Rows that a bracket may hold when it is ordered.
+BRACKET_ROWS = 1000
 ACCURACY = 10_000
+CELLS = 1024
 
 
 def _interpolate(low: float, high: float, position: float) -> float:
@@ -30,7 +33,7 @@ def quantiles(
     df: DataFrame,
     values: dict[str, Column],
     probs: Sequence[float],
-    direct_rows: int = DIRECT_ROWS,
+    bracket_rows: int = BRACKET_ROWS,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of several expressions, as fitted numbers."""
     names = list(values)
@@ -41,23 +44,15 @@ def quantiles(
     ])
     counts = slim.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))]).first()
     total = {i: counts[f"n{i}"] for i in range(len(names))}
-    small = [i for i in total if total[i] <= direct_rows]
-    found: dict[int, list[float | None]] = {}
-    if small:
-        row = slim.agg(*[
-            F.percentile(f"v{i}", F.array(*[F.lit(p) for p in probs])).alias(f"q{i}")
-            for i in small
-        ]).first()
-        for i in small:
-            found[i] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
-    large = [i for i in total if i not in small]
-    if large:
-        found.update(_bracketed(slim, large, total, probs, direct_rows))
+    found: dict[int, list[float | None]] = {i: [None] * len(probs) for i in total if not total[i]}
+    filled = [i for i in total if total[i]]
+    if filled:
+        found.update(_bracketed(slim, filled, total, probs, bracket_rows))
     return {n: found[i] for i, n in enumerate(names)}
 
 
-def quantile(df: DataFrame, col: str, p: float, direct_rows: int = DIRECT_ROWS) -> float | None:
-    return quantiles(df, {col: F.col(f"`{col}`")}, [p], direct_rows)[col][0]
+def quantile(df: DataFrame, col: str, p: float, bracket_rows: int = BRACKET_ROWS) -> float | None:
+    return quantiles(df, {col: F.col(f"`{col}`")}, [p], bracket_rows)[col][0]
 
 
 def _probes(first: int, last: int, below: int, size: int) -> tuple[float, float]:
@@ -79,6 +74,7 @@ def _bracketed(slim, columns, total, probs, limit):
     high = {(i, j): ends[f"hi{i}"] for i, j in targets}
     below = {t: 0 for t in targets}
     inside = {(i, j): total[i] for i, j in targets}
+    known: dict[tuple, tuple] = {}
     open_targets = {t for t in targets if low[t] < high[t] and inside[t] > limit}
     while open_targets:
         work = sorted(open_targets)
@@ -103,16 +99,21 @@ def _bracketed(slim, columns, total, probs, limit):
                 F.count_if(F.col(f"v{t[0]}").between(*trial[t])).alias(f"in{n}"),
             )
         ]).first()
+        stuck = []
         for n, t in enumerate(work):
             lo, hi, under, held = *trial[t], counted[f"under{n}"], counted[f"in{n}"]
-            holds = under <= first[t] and last[t] < under + held
-            if not holds or held >= inside[t]:
-                open_targets.discard(t)      # no smaller bracket: read this one as it is
-                continue
-            low[t], high[t], below[t], inside[t] = lo, hi, under, held
-            if lo == hi or held <= limit:
-                open_targets.discard(t)
-    picked = _order_statistics(slim, targets, low, high, below, first, last)
+            if under <= first[t] and last[t] < under + held and held < inside[t]:
+                low[t], high[t], below[t], inside[t] = lo, hi, under, held
+            else:
+                stuck.append(t)
+        if stuck:
+            known.update(_cut_to_cells(slim, stuck, low, high, below, inside, first, last))
+        open_targets = {
+            t for t in open_targets
+            if t not in known and low[t] < high[t] and inside[t] > limit
+        }
+    rest = [t for t in targets if t not in known]
+    picked = known | _order_statistics(slim, rest, low, high, below, first, last)
     return {
         i: [
             _interpolate(*picked[(i, j)], position[(i, j)])
@@ -122,6 +123,42 @@ def _bracketed(slim, columns, total, probs, limit):
     }
 
 
+def _cut_to_cells(slim, targets, low, high, below, inside, first, last):
+    """Shrink each bracket to the cell of equal width that holds its two positions.
+
+    Where two cells hold them, the values are found, and returned.
+    """
+    entries = []
+    for n, t in enumerate(targets):
+        v, lo, hi = F.col(f"v{t[0]}"), low[t], high[t]
+        step = hi / CELLS - lo / CELLS          # no overflow where the range is huge
+        cell = F.floor((v / 1.0 - lo) / step) if 0 < step < float("inf") else F.lit(0.0)
+        # the ends keep cells of their own, so that the bracket shrinks whatever the rounding
+        cell = F.when(v == lo, -1).when(v == hi, CELLS + 1).otherwise(
+            F.greatest(F.lit(0), F.least(F.lit(CELLS), cell.cast("int"))))
+        entries.append(F.when(v.between(lo, hi), F.struct(
+            F.lit(n).alias("t"), cell.cast("int").alias("cell"), v.alias("v"))))
+    cells = (
+        slim.select(F.inline(F.array_compact(F.array(*entries)))).groupBy("t", "cell")
+        .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        .orderBy("t", "lo").collect()
+    )
+    known = {}
+    for n, t in enumerate(targets):
+        under = below[t]
+        kept = []
+        for r in (r for r in cells if r["t"] == n):
+            if under <= last[t] and first[t] < under + r["n"]:
+                kept.append((under, r))
+            under += r["n"]
+        if len(kept) > 1:        # the positions are the end of one cell and the start of the next
+            known[t] = kept[0][1]["hi"], kept[-1][1]["lo"]
+            continue
+        below[t], cell = kept[0]
+        low[t], high[t], inside[t] = cell["lo"], cell["hi"], cell["n"]
+    return known
+
+
 def _order_statistics(slim, targets, low, high, below, first, last):
     """Values at two neighbouring positions of each bracket."""
     done = {t: (low[t], low[t]) for t in targets if low[t] == high[t]}
@@ -129,13 +166,11 @@ def _order_statistics(slim, targets, low, high, below, first, last):
     if not rest:
         return done
     entries = [
-        F.struct(
-            F.lit(n).alias("t"),
-            F.when(F.col(f"v{t[0]}").between(low[t], high[t]), F.col(f"v{t[0]}")).alias("v"),
-        )
+        F.when(F.col(f"v{t[0]}").between(low[t], high[t]),
+               F.struct(F.lit(n).alias("t"), F.col(f"v{t[0]}").alias("v")))
         for n, t in enumerate(rest)
     ]
-    long = slim.select(F.inline(F.array(*entries))).filter(F.col("v").isNotNull())
+    long = slim.select(F.inline(F.array_compact(F.array(*entries))))
     upto = Window.partitionBy("t").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
         long.groupBy("t", "v").agg(F.count("*").alias("n"))

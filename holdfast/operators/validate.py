@@ -1,8 +1,8 @@
 """Validation checks of a table, and row-level quarantine of bad records.
 
-``run_checks`` reads the table three times at most: one aggregate for all counting checks, the
-exact quartiles, and one count outside the outlier fences. Only those sums reach the driver, where
-they become result rows.
+``run_checks`` takes one aggregate for all counting checks, the exact quartiles, and one count outside
+the outlier fences. Only those sums reach the driver, where they become result rows; wrong values of
+categories are listed by a join of the result.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from holdfast.schema import CUSTOMER_SPEC, ValidationSpec
 
 PASSED, WARNING, FAILED = "passed", "warning", "failed"
 RESULT_SCHEMA = "ordinal int, check_name string, status string, message string, details string"
-LISTED_VALUES = 1000
 CHECKS = ("schema", "missing", "duplicates", "categories", "bounds", "outliers", "balance")
 
 # Limits of the checks.
@@ -66,12 +65,12 @@ def _duplicate_check(n: int, id_col: str) -> list[tuple]:
     return [(name, PASSED, f"No duplicate {id_col}s found", None)]
 
 
-def _category_check(col: str, count: int, values: list[str] | None) -> list[tuple]:
+def _category_check(col: str, bad_rows: int) -> list[tuple]:
+    """A failed check holds the column only; ``_frame`` adds the values."""
     name = f"categorical_values_{col}"
-    if count == 0:
+    if bad_rows == 0:
         return [(name, PASSED, f"All values in {col} are valid", None)]
-    shown = values if values is not None else f"{count} distinct values, see invalid_values"
-    return [(name, FAILED, f"Invalid values in {col}: {shown}", {"invalid_values": shown})]
+    return [(name, FAILED, f"Invalid values in {col}: ", None)]
 
 
 def _bounds_check(col: str, low, high, n: int, rows: int) -> list[tuple]:
@@ -173,7 +172,8 @@ def check_rows(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC,
         results += _missing_check({c: row[f"null{i}"] for i, c in enumerate(nulls)}, rows)
     if has_id:
         results += _duplicate_check(row["repeats"] or 0, spec.id_col)
-    results += _category_results(df, spec, cats, [row[f"cat{i}"] for i in range(len(cats))])
+    for i, c in enumerate(cats):
+        results += _category_check(c, row[f"cat{i}"])
     for i, c in enumerate(bounds):
         results += _bounds_check(c, *spec.bounds[c], row[f"bound{i}"], rows)
     if "outliers" in only:
@@ -187,44 +187,59 @@ def check_rows(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC,
     return results
 
 
-def _category_results(df, spec, cats: list[str], bad_rows: list[int]) -> list[tuple]:
-    """List the wrong values of a column, or count them when there are very many."""
-    bad = [c for c, n in zip(cats, bad_rows) if n > 0]
-    listed: dict[str, list[str]] = {c: [] for c in bad}
-    counts = dict.fromkeys(bad, 0)
-    if bad:
-        found = invalid_values(df, spec)
-        per = found.groupBy("column").agg(F.count("*").alias("n")).collect()
-        counts.update({r["column"]: r["n"] for r in per})
-        short = [c for c in bad if counts[c] <= LISTED_VALUES]
-        if short:
-            for r in found.filter(F.col("column").isin(short)).collect():
-                listed[r["column"]].append(r["value"])
-    results = []
-    for c in cats:
-        n = counts.get(c, 0)
-        values = sorted(listed.get(c, [])) if n <= LISTED_VALUES else None
-        results += _category_check(c, n, values)
-    return results
+def _shown(values: Column) -> Column:
+    """A list of texts as Python shows it."""
+    plain = F.lit("'")
+
+    def one(v: Column) -> Column:
+        v = F.replace(v, F.lit("\\"), F.lit("\\\\"))
+        return F.when(v.contains("'") & ~v.contains('"'), F.concat(F.lit('"'), v, F.lit('"'))) \
+            .otherwise(F.concat(plain, F.replace(v, plain, F.lit("\\'")), plain))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(values, one), ", "), F.lit("]"))
+
 
+def _as_json(values: Column) -> Column:
+    """A list of texts as JSON with a blank after each comma."""
+    def one(v: Column) -> Column:
+        text = F.to_json(F.array(v))
+        return F.substr(text, F.lit(2), F.length(text) - 2)
 
-def _frame(spark: SparkSession, results: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(
+    return F.concat(F.lit("["), F.array_join(F.transform(values, one), ", "), F.lit("]"))
+
+
+def _frame(df: DataFrame, spec: ValidationSpec, results: list[tuple]) -> DataFrame:
+    """Result rows; wrong values of categories are listed by Spark, all of them."""
+    out = df.sparkSession.createDataFrame(
         [(i, n, s, m, _details(d)) for i, (n, s, m, d) in enumerate(results)], RESULT_SCHEMA
     )
+    prefix = "categorical_values_"
+    if not any(n.startswith(prefix) and s == FAILED for n, s, _, _ in results):
+        return out
+    listed = invalid_values(nan_to_null(df), spec).groupBy("column").agg(
+        F.sort_array(F.collect_list("value")).alias("values")
+    ).select(F.concat(F.lit(prefix), F.col("column")).alias("_name"), "values")
+    shown = F.col("values").isNotNull()
+    return out.join(listed, out.check_name == F.col("_name"), "left").select(
+        "ordinal", "check_name", "status",
+        F.when(shown, F.concat("message", _shown(F.col("values")))).otherwise(F.col("message"))
+        .alias("message"),
+        F.when(shown, F.concat(F.lit('{"invalid_values": '), _as_json(F.col("values")), F.lit("}")))
+        .otherwise(F.col("details")).alias("details"),
+    )
 
 
 def run_checks(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC) -> DataFrame:
     """One row per check."""
-    return _frame(df.sparkSession, check_rows(df, spec))
+    return _frame(df, spec, check_rows(df, spec))
 
 
 def _only(df: DataFrame, spec: ValidationSpec, check: str) -> DataFrame:
-    return _frame(df.sparkSession, check_rows(df, spec, {check}))
+    return _frame(df, spec, check_rows(df, spec, {check}))
 
 
 def check_schema(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC) -> DataFrame:
-    return _frame(df.sparkSession, _schema_check(df, spec))
+    return _frame(df, spec, _schema_check(df, spec))
 
 
 def check_missing(df: DataFrame, spec: ValidationSpec = CUSTOMER_SPEC) -> DataFrame:

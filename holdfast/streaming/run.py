@@ -20,7 +20,7 @@ def event_stream(spark: SparkSession, sf_dir: str, per_trigger: int | None = Non
 
 
 def drained(stream: DataFrame, name: str, partition_by: Sequence[str] = (),
-            timeout_s: int = 1800) -> DataFrame:
+            timeout_s: int | None = None) -> DataFrame:
     """Process all input once, with exactly-once file output in the shared folder."""
     spark = stream.sparkSession
     path = fresh_path(spark, name)
@@ -35,7 +35,9 @@ def drained(stream: DataFrame, name: str, partition_by: Sequence[str] = (),
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         query = writer.start()
-        if not query.awaitTermination(timeout_s):
+        if timeout_s is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout_s):
             query.stop()
             raise TimeoutError(f"stream {name} did not finish in {timeout_s} seconds")
     finally:

@@ -48,6 +48,8 @@ def test_qcut_rejects_equal_edges(spark):
     [5.0] * 600 + [float(x) for x in range(400)],
     [1.0, 2.0, 4.0, 8.0],
     [3.0],
+    [1e-300, 1e300, -1e308, 0.0, 1e308] * 9,
+    [0.1 + 0.2, 0.3] * 40,
     [-1.5, -1.5, 0.0, 2.25, 2.25, 2.25, 9.0] * 40,
 ])
 def test_bracketed_quantiles_are_exact(spark, values):

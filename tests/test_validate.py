@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,12 +79,12 @@ def test_no_columns_and_no_rows(spark):
     assert found["target_balance"] == "failed" and found["missing_values"] == "passed"
 
 
-def test_very_many_wrong_values_are_counted_not_collected(spark, valid, monkeypatch):
-    monkeypatch.setattr(va, "LISTED_VALUES", 3)
-    valid["Gender"] = [f"g{i}" for i in range(len(valid))]
+def test_all_wrong_values_are_listed(spark, valid):
+    valid["Gender"] = [f"g{i:03d}" for i in range(len(valid) - 2)] + ["it's", 'a "b"']
     df = spark.createDataFrame(valid)
     row = va.check_categories(df).filter(F.col("check_name").endswith("Gender")).first()
-    assert "100 distinct values" in row["message"]
+    assert row["message"] == f"Invalid values in Gender: {sorted(valid['Gender'])}"
+    assert json.loads(row["details"]) == {"invalid_values": sorted(valid["Gender"])}
     assert va.invalid_values(df).count() == 100
 
 
