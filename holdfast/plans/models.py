@@ -25,12 +25,28 @@ SEED = 42
 ROLES = {"featuresCol": "features", "labelCol": "label"}
 
 
-def logreg(n_rows: int | None = None, C: float = 1.0, **params) -> LogisticRegression:
-    """Logistic regression; ``C`` becomes the ridge weight of the mean loss."""
-    reg = 1.0 / (C * n_rows) if n_rows else 0.0
-    return LogisticRegression(**ROLES, **{
-        "maxIter": 1000, "regParam": reg, "standardization": False, **params
-    })
+class RidgeLogistic(LogisticRegression):
+    """Logistic regression with the inverse regularisation ``C`` of a summed loss.
+
+    Spark penalises the mean loss, so the ridge weight is ``1 / (C * n)``, with ``n`` the rows, or
+    the sum of their weights. It is set when the model is fitted, unless ``regParam`` is given.
+    """
+
+    C = 1.0
+
+    def _fit(self, dataset):
+        if self.isSet(self.regParam):
+            return super()._fit(dataset)
+        weighted = self.isDefined(self.weightCol) and self.getWeightCol()
+        n = dataset.agg(F.sum(self.getWeightCol()) if weighted else F.count("*")).first()[0]
+        return LogisticRegression._fit(self.copy({self.regParam: 1.0 / (self.C * (n or 1))}), dataset)
+
+
+def logreg(C: float = 1.0, **params) -> LogisticRegression:
+    """Logistic regression; ``C`` is the inverse weight of the ridge penalty."""
+    model = RidgeLogistic(**ROLES, **{"maxIter": 1000, "standardization": False, **params})
+    model.C = C
+    return model
 
 
 def rf(**params) -> RandomForestClassifier:
@@ -103,6 +119,29 @@ def with_weights(df: DataFrame, target: str = TARGET, mode: str = "balanced",
     return df.withColumn(out, F.create_map(*pairs)[q(target)])
 
 
+#: Weight columns that estimators can name as ``weightCol``: mode and weight of class 1.
+WEIGHTS = {
+    "w_none": ("positive", 1.0), "w_positive_3": ("positive", 3.0),
+    "w_positive_6": ("positive", 6.0), "w_unbalanced": ("unbalanced", 1.0),
+    "w_balanced": ("balanced", 1.0),
+}
+
+
+def weight_columns(data: DataFrame, names) -> DataFrame:
+    """Add the named weight columns to prepared rows."""
+    for name in sorted(set(names) & set(WEIGHTS)):
+        mode, positive = WEIGHTS[name]
+        data = with_weights(data, "label", mode, positive, name)
+    return data
+
+
+def weight_of(estimator: Estimator) -> list[str]:
+    """The weight column an estimator asks for."""
+    if estimator.hasParam("weightCol") and estimator.isDefined("weightCol"):
+        return [estimator.getOrDefault("weightCol")]
+    return []
+
+
 def spark_params(estimator: Estimator, params: dict) -> dict:
     """Named parameters as Spark's own parameter map."""
     return {estimator.getParam(k): v for k, v in params.items()}
@@ -148,7 +187,7 @@ def fit_pipeline(df: DataFrame, estimator: Estimator, name: str, target: str = T
     if pre is None:
         numeric, categorical = feature_lists(df, target)
         pre = build_preprocessor(df, numeric, categorical)
-    model = estimator.fit(prepared(pre, df, target))
+    model = estimator.fit(weight_columns(prepared(pre, df, target), weight_of(estimator)))
     tail = model.stages if isinstance(model, PipelineModel) else [model]
     return Fitted(name, PipelineModel([*pre.stages(), *tail]), pre.feature_names)
 

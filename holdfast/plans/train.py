@@ -22,7 +22,8 @@ from holdfast.operators.profile import nan_to_null
 from holdfast.operators.rules import RuleSet, churn_rules, fit_threshold
 from holdfast.operators.split import add_folds, stratified_sample, stratified_split
 from holdfast.plans.models import (
-    Fitted, fit_pipeline, importance_rows, logreg, make_model, prepared, with_weights,
+    Fitted, fit_pipeline, importance_rows, logreg, make_model, prepared, weight_columns, weight_of,
+    with_weights,
 )
 from holdfast.plans.tuning import GRIDS_V1, GRIDS_V2, random_search
 from holdfast.schema import ID, TARGET
@@ -104,7 +105,8 @@ def stack(train: DataFrame, models: dict[str, Estimator], pre: Preprocessor, k:
     The bases see all rows in the end; pass them as ``fitted`` when they are trained already.
     """
     folded = add_folds(train, target, k, id_col=id_col)
-    data = staged(prepared(pre, folded, target, keep=["fold"]), "stack")
+    names = [w for est in models.values() for w in weight_of(est)]
+    data = staged(weight_columns(prepared(pre, folded, target, keep=["fold"]), names), "stack")
     meta_rows = _meta_input(list(models)).transform(out_of_fold(data, models, k))
     meta_rows = meta_rows.select("_meta", "label")
     params = {"featuresCol": "_meta", "maxIter": 1000, "regParam": 1.0 / max(data.count(), 1),
@@ -129,8 +131,10 @@ class Hybrid:
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``prediction``, ``p`` and ``prediction_source`` to every row."""
         df = nan_to_null(df)
-        hit = self.rules.mask()
         cols = [F.col(f"`{c}`") for c in df.columns]
+        hit = self.rules.mask()
+        if not df.isStreaming:      # both branches read the written rows, not their sources again
+            df = staged(df, "hybrid")
         decided = df.filter(hit).select(
             *cols, F.lit(1).alias("prediction"), F.lit(1.0).alias("p"),
             F.lit("rules").alias("prediction_source"),

@@ -12,17 +12,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.operators.split import add_folds
-from holdfast.plans.models import make_model, prepared, spark_params
+from holdfast.plans.models import make_model, prepared, spark_params, weight_columns
 from holdfast.schema import ID, TARGET
 from holdfast.session import staged
 
-# Search grids, in the names of Spark's parameters. Parameters without a
-# counterpart in Spark (leaf penalties, number of leaves, minimum split size) are left out.
+# Search grids, in the names of Spark's parameters. The imbalance handling of each
+# library is a weight column here. Parameters without a counterpart in Spark (leaf penalties, number
+# of leaves, minimum split size) are left out.
 GRIDS_V1 = {
     "xgboost": {
         "maxIter": [200, 400, 600, 800], "maxDepth": [4, 6, 8, 10],
         "stepSize": [0.01, 0.05, 0.1], "subsamplingRate": [0.7, 0.8, 0.9],
         "featureSubsetStrategy": ["0.7", "0.8", "0.9"], "minInfoGain": [0.0, 0.1, 0.2],
+        "minInstancesPerNode": [1, 3, 5],
     },
     "lightgbm": {
         "maxIter": [200, 400, 600, 800], "maxDepth": [4, 6, 8, 15],
@@ -39,15 +41,19 @@ GRIDS_V2 = {
         "maxIter": [200, 400, 600], "maxDepth": [4, 6, 8],
         "stepSize": [0.01, 0.05, 0.1], "subsamplingRate": [0.7, 0.8, 0.9],
         "featureSubsetStrategy": ["0.7", "0.8", "0.9"], "minInfoGain": [0.0, 0.1, 0.3],
+        "minInstancesPerNode": [1, 3, 5, 10],
+        "weightCol": ["w_none", "w_positive_3", "w_positive_6"],
     },
     "lightgbm": {
         "maxIter": [200, 400, 600], "maxDepth": [4, 6, 8, 15],
         "stepSize": [0.01, 0.05, 0.1], "subsamplingRate": [0.7, 0.8, 0.9],
         "featureSubsetStrategy": ["0.7", "0.8", "0.9"], "minInstancesPerNode": [10, 20, 50],
+        "weightCol": ["w_unbalanced", "w_none"],
     },
     "random_forest": {
         "numTrees": [200, 300, 500], "maxDepth": [10, 15, 20],
         "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2"],
+        "weightCol": ["w_balanced", "w_none"],
     },
 }
 # Ranges of the managed search, as (kind, low, high) or a list.
@@ -111,7 +117,9 @@ def random_search(df: DataFrame, algorithm: str, space: dict, n_iter: int, folds
     draws = draw(space, n_iter, seed)
     estimator = make_model(algorithm, fixed)
     folded = add_folds(df, target, folds, id_col=id_col)
-    data = staged(prepared(pre, folded, target, keep=["fold"]), "search")
+    weighted = weight_columns(prepared(pre, folded, target, keep=["fold"]),
+                              [p["weightCol"] for p in draws if "weightCol" in p])
+    data = staged(weighted, "search")
     search = CrossValidator(
         estimator=estimator, estimatorParamMaps=[spark_params(estimator, p) for p in draws],
         evaluator=evaluator or f1_positive(), numFolds=folds, foldCol="fold", parallelism=parallelism,

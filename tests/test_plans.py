@@ -4,6 +4,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from holdfast.functions.features import engineer_v2
@@ -197,7 +198,8 @@ def test_linear_attributions_add_up(three):
     base = explain.linear_base(coef, 0.1, means)
     total = explain.shap_linear(three, coef, means, "CustomerID").groupBy("row_id").agg(
         F.sum("shap").alias("s")).orderBy("row_id").collect()
-    for r, (age, tenure) in zip(total, [(25, 12), (35, 24), (45, 36)]):
+    values = three.orderBy("CustomerID").select("Age", "Tenure").collect()
+    for r, (age, tenure) in zip(total, values):
         assert r["s"] + base == pytest.approx(0.1 + 0.5 * age - tenure)
 
 
@@ -226,3 +228,47 @@ def test_model_card(spark):
              .orderBy("line").collect()]
     assert "- **Accuracy**: 0.9" in lines and "- **Precision**: N/A" in lines
     assert "1. **a**: 0.2500" in lines
+
+
+def _newton(x, y, w, c):
+    """Coefficient and intercept of the summed, weighted loss plus ridge 1 / (2 C)."""
+    b = np.zeros(2)
+    m = np.column_stack([x, np.ones_like(x)])
+    ridge = np.diag([1 / c, 0.0])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-m @ b))
+        grad = m.T @ (w * (p - y)) + ridge @ b
+        hess = (m * (w * p * (1 - p))[:, None]).T @ m + ridge
+        b = b - np.linalg.solve(hess, grad)
+    return b
+
+
+@pytest.mark.parametrize("c, column", [(1.0, None), (0.01, None), (0.1, "w_balanced"),
+                                       (0.5, "w_positive_6")])
+def test_regularisation_and_weights_of_logistic_regression(spark, c, column):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=80)
+    y = (x + rng.normal(size=80) > 0.7).astype(float)
+    w = {None: np.ones(80), "w_balanced": 80 / (2 * np.where(y == 1, y.sum(), 80 - y.sum())),
+         "w_positive_6": np.where(y == 1, 6.0, 1.0)}[column]
+    data = VectorAssembler(inputCols=["x"], outputCol="features").transform(
+        spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "x double, label double"))
+    est = md.logreg(c, tol=1e-10, **({"weightCol": column} if column else {}))
+    assert md.weight_of(est) == ([column] if column else [])
+    model = est.fit(md.weight_columns(data, md.weight_of(est)))
+    want = _newton(x, y, w, c)
+    assert model.coefficients[0] == pytest.approx(want[0], rel=1e-3)
+    assert model.intercept == pytest.approx(want[1], rel=1e-3, abs=1e-3)
+
+
+def test_weight_columns_of_a_search(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"r{i}", float(v), int(v > 1.0)) for i, v in enumerate(rng.normal(size=200))]
+    df = spark.createDataFrame(rows, "CustomerID string, x double, Churn int")
+    pre = build_preprocessor(df, ["x"], [])
+    space = {"maxDepth": [2], "weightCol": ["w_balanced", "w_none", "w_unbalanced"]}
+    best, _, trials = tu.random_search(df, "decision_tree", space, 4, 2, pre)
+    assert best["weightCol"] in space["weightCol"]
+    assert {r["status"] for r in trials.collect()} == {"Completed"}
+    fitted = md.fit_pipeline(df, md.make_model("decision_tree", best), "tree", pre=pre)
+    assert fitted.score(df).count() == 200
