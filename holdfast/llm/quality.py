@@ -180,7 +180,8 @@ def _by_fit() -> Column:
 def _nearest(rows: DataFrame) -> DataFrame:
     """The rows with the least ``d`` of each group, at least ``SUBSET`` of them, by cells of log d."""
     rows = rows.withColumn("cell", F.floor(F.log(F.col("d") + 1e-6) * GRID).cast("int"))
-    limit = _rank_cells(rows.select("grp", "cell"), ["grp"], SUBSET)
+    # written, so that its size is known, and a hot group can be split if it is joined by a shuffle
+    limit = staged(_rank_cells(rows.select("grp", "cell"), ["grp"], SUBSET), "mcd-subset")
     return rows.join(limit.withColumnRenamed("cell", "upto"), "grp").where("cell <= upto")
 
 
