@@ -113,13 +113,19 @@ S["i10_corr_matrix"] = prof(union_all(
     FROM prof""" for a in [*NUMERIC, TARGET] for b in [*NUMERIC, TARGET]
 ))
 
-_FEW = ["Gender", "Subscription Type", "Contract Length", "Support Calls"]
-Q["i11_dup_rows"] = lambda s, d: stats.dup_rows(
-    tb.customer_profile(s, d).select(*[F.col(f"`{c}`") for c in _FEW])
-)
+
+
+def _repeated(s, d):
+    """All columns; the rows of one age are planted twice."""
+    df = tb.customer_profile(s, d)
+    return stats.dup_rows(df.unionByName(df.filter("Age = 30")))
+
+
+Q["i11_dup_rows"] = _repeated
 S["i11_dup_rows"] = prof(
-    "SELECT (SELECT count(*) FROM prof) - (SELECT count(*) FROM (SELECT DISTINCT "
-    + ", ".join(f'"{c}"' for c in _FEW) + " FROM prof)) AS duplicates"
+    """SELECT (SELECT count(*) FROM twice) - (SELECT count(*) FROM (SELECT DISTINCT * FROM twice))
+    AS duplicates""",
+    'twice AS (SELECT * FROM prof UNION ALL SELECT * FROM prof WHERE "Age" = 30)',
 )
 Q["i12_dup_keys"] = lambda s, d: stats.dup_keys(tb.table(s, d, "lineitem"), "l_orderkey")
 S["i12_dup_keys"] = "SELECT count(*) - count(DISTINCT l_orderkey) AS duplicates FROM lineitem"

@@ -20,11 +20,12 @@ from holdfast.streaming.run import drained, event_stream
 
 Q, S = {}, {}
 
-# Small settings, so that a registered training job takes seconds on one machine.
-FOREST = {"numTrees": 20, "maxDepth": 5}
-BOOST = {"maxIter": 10, "maxDepth": 3}
-SMALL = {"random_forest": FOREST, "xgboost": BOOST, "lightgbm": BOOST, "gradient_boosting": BOOST,
-         "svm": {"maxIter": 20}, "logistic_regression": {"maxIter": 50}}
+# Single fits run with the sizes of the operators. Jobs of many fits (searches, stacks, comparisons)
+# are registered with small settings, so that one machine ends them in seconds.
+FOREST: dict = {}
+SMALL = {"random_forest": {"numTrees": 20, "maxDepth": 5}, "xgboost": {"maxIter": 10, "maxDepth": 3},
+         "gradient_boosting": {"maxIter": 10, "maxDepth": 3}, "svm": {"maxIter": 20},
+         "logistic_regression": {}}
 GRID = {
     "random_forest": {"numTrees": [10, 20], "maxDepth": [3, 5], "minInstancesPerNode": [1, 2]},
     "xgboost": {"maxIter": [5, 8], "maxDepth": [2, 3], "stepSize": [0.1, 0.3]},
@@ -38,8 +39,7 @@ def planted(s, d):
 def _trained(algorithm):
     def run(s, d):
         df = engineer_v1(clean_v2(planted(s, d)))
-        _, found = tr.train_eval(df.na.fill(5.0, ["tenure_bucket"]), algorithm,
-                                 SMALL.get(algorithm))
+        _, found = tr.train_eval(df, algorithm)
         return found.withColumn("algorithm", F.lit(algorithm))
     return run
 

@@ -441,19 +441,21 @@ S["g7_shuffle_labels"] = prof(f"""SELECT "CustomerID", "Churn", shuffled FROM (
       ORDER BY md5('43:' || "CustomerID"), "CustomerID") AS pos FROM prof) USING (pos)""")
 
 # ---- H: joins --------------------------------------------------------------------------------
-_COARSE = ["Gender", "Subscription Type", "Contract Length", "Support Calls", "Tenure"]
 
 
 def _halves(s, d):
+    """Training and test rows with all columns; those of one age are planted in both."""
     marked = split.stratified_split(tb.profile_table(s, d), TARGET)
-    cols = [F.col(f"`{c}`") for c in _COARSE]
-    return marked.filter("is_train").select(*cols), marked.filter("NOT is_train").select(*cols)
+    both = F.col("Age") == 30
+    return (marked.filter(F.col("is_train") | both).drop("is_train"),
+            marked.filter(~F.col("is_train") | both).drop("is_train"))
 
 
 Q["h1_overlap"] = lambda s, d: joins.overlap(*_halves(s, d))
 S["h1_overlap"] = prof(
-    "SELECT count(*) AS overlapping FROM marked a JOIN marked b ON a.is_train AND NOT b.is_train "
-    + "".join(f'AND a."{c}" IS NOT DISTINCT FROM b."{c}" ' for c in _COARSE),
+    'SELECT count(*) AS overlapping FROM marked a JOIN marked b ON (a.is_train OR a."Age" = 30) '
+    'AND (NOT b.is_train OR b."Age" = 30) '
+    + "".join(f'AND a."{f.name}" IS NOT DISTINCT FROM b."{f.name}" ' for f in CUSTOMER_SCHEMA.fields),
     f"""marked AS (SELECT *, row_number() OVER (PARTITION BY "Churn" ORDER BY {_KEY}, "CustomerID")
       <= floor(0.8 * count(*) OVER (PARTITION BY "Churn") + 0.5) AS is_train FROM prof)""",
 )

@@ -47,12 +47,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Folder of this application under the shared one; it is deleted when the JVM ends."""
+    sc = spark.sparkContext
+    path = os.path.join(shared_dir(spark), "holdfast", sc.applicationId)
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table.
 
     Later passes prune columns on the Parquet copy, and a lost executor only re-reads it.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "holdfast", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(run_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.operators.clean import clean_v2, target_first
-from holdfast.session import shared_dir
+from holdfast.session import run_dir
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return os.path.join(shared_dir(spark), "holdfast", f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(run_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def write_processed(df: DataFrame, path: str, fmt: str = "csv") -> None:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from holdfast.session import staged
 from holdfast.streaming.windows import STATS, WATERMARK, alarm_windows, percentile_of
 
 OK, ALARM = "OK", "ALARM"
@@ -99,7 +100,9 @@ def alarm_batch(df: DataFrame, spec: AlarmSpec, approx: bool = False) -> DataFra
 
     ``approx`` takes nearest-rank percentiles, as streams do.
     """
-    grid = period_grid(alarm_windows(df, spec, approx=approx), spec.period_s)
+    # written once: the grid asks for the first and last period and for the values
+    windows = staged(alarm_windows(df, spec, approx=approx), "alarm-windows")
+    grid = period_grid(windows, spec.period_s)
     if spec.band:
         trail = Window.partitionBy("endpoint").orderBy("start").rowsBetween(-HISTORY, -1)
         grid = grid.withColumns({
@@ -218,7 +221,7 @@ def alarm_stream(df: DataFrame, spec: AlarmSpec, watermark: str = WATERMARK) ->
     rows = df.filter(F.col("metric") == spec.metric)
     span = F.window("ts", f"{spec.period_s} seconds")
     if spec.stat.startswith("p"):
-        value = percentile_of("value", int(spec.stat[1:]) / 100, approx=True)
+        value = percentile_of("value", int(spec.stat[1:]) / 100)
     else:
         value = STATS[spec.stat]("value")
     windows = (

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.operators.ordering import running_sums, score_splits, with_score_bucket
+from holdfast.session import staged
+
 WATERMARK = "10 minutes"
 
 STATS = {"sum": F.sum, "avg": F.avg, "count": F.count, "max": F.max}
@@ -37,12 +40,52 @@ def window_percentiles(df: DataFrame, metric: str = "ModelLatency", period_s: in
     """Percentiles per window: exact on batch frames, approximate (nearest rank) on streams."""
     approx = df.isStreaming if approx is None else approx
     rows = df.filter(F.col("metric") == metric)
-    aggs = [percentile_of("value", p, approx).alias(f"p{round(p * 100)}") for p in probs]
-    return _flat(_windowed(rows, period_s, aggs, watermark), [f"p{round(p * 100)}" for p in probs])
+    names = [f"p{round(p * 100)}" for p in probs]
+    if not approx:
+        return _exact_percentiles(rows, period_s, dict(zip(names, probs)))
+    aggs = [percentile_of("value", p).alias(n) for n, p in zip(names, probs)]
+    return _flat(_windowed(rows, period_s, aggs, watermark), names)
+
 
+def _exact_percentiles(rows: DataFrame, period_s: int, probs: dict[str, float]) -> DataFrame:
+    """Interpolated percentiles per window, from counted values and running sums over buckets.
 
-def percentile_of(col: str, p: float, approx: bool) -> Column:
-    return F.percentile_approx(col, p, 10_000) if approx else F.percentile(col, p)
+    No window's values meet in one buffer: equal values are counted before the shuffle, and counts
+    are summed up inside ordered buckets of the values.
+    """
+    keys = ["start", "end", "endpoint", "metric"]
+    span = F.window("ts", f"{period_s} seconds")
+    counts = rows.filter(F.col("value").isNotNull()).groupBy(
+        span.alias("w"), "endpoint", "metric", F.col("value").cast("double").alias("v")
+    ).agg(F.count("*").alias("n")).select(
+        F.col("w.start").alias("start"), F.col("w.end").alias("end"), "endpoint", "metric", "v", "n"
+    )
+    counts = staged(counts, "window-values")
+    ranked = running_sums(
+        with_score_bucket(counts, "v", score_splits(counts, "v")), {"upto": F.col("n")},
+        "_bucket", [F.col("v")], within=keys,
+    )
+    total = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    placed = ranked.join(total, keys)
+    out = []
+    for name, p in probs.items():
+        spot = (F.col("total") - 1) * F.lit(float(p))
+        low, high = F.floor(spot), F.ceil(spot)
+
+        def value(at):
+            return F.min(F.when((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at),
+                                F.col("v")))
+
+        a, b = value(low), value(high)
+        share = F.max(spot - low)
+        out.append(F.when((share == 0) | (a == b), a).otherwise((1 - share) * a + share * b)
+                   .alias(name))
+    return placed.groupBy(*keys).agg(*out).select("endpoint", "metric", "start", "end", *probs)
+
+
+def percentile_of(col: str, p: float) -> Column:
+    """Nearest-rank percentile from a sketch, as streams use it."""
+    return F.percentile_approx(col, p, 10_000)
 
 
 def alarm_windows(df: DataFrame, spec, watermark: str = WATERMARK,
