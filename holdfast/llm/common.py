@@ -9,11 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.session import shared_dir, staged
+from holdfast.session import staged
 
-__all__ = ["table", "staged", "shared_dir", "words", "text_of", "slices", "WordArrays", "mix64", "distinct",
-           "bitmap", "has_bit",
-           "WHITE", "LOWER"]
+__all__ = ["table", "staged", "words", "text_of", "slices", "WordArrays", "mix64", "distinct",
+           "bitmap", "has_bit", "WHITE", "LOWER"]
 
 #: ASCII white space, the separators of words: space and 0x09 to 0x0D.
 WHITE = " \t\n\x0b\x0c\r"

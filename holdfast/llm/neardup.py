@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import (
-    WordArrays, bitmap, distinct, has_bit, mix64, shared_dir, slices, staged, table, text_of,
+    WordArrays, bitmap, distinct, has_bit, mix64, slices, staged, table, text_of,
 )
 from holdfast.llm.lines import LineHashes
+from holdfast.session import run_dir
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -109,7 +110,7 @@ def connected(edges: DataFrame) -> DataFrame:
     repeats one step at most, and only counts and a checksum reach the driver.
     """
     spark = edges.sparkSession
-    folder = os.path.join(shared_dir(spark), "holdfast", f"components-{uuid.uuid4().hex}")
+    folder = os.path.join(run_dir(spark), f"components-{uuid.uuid4().hex}")
 
     def written(df: DataFrame, step: str) -> DataFrame:
         df.write.parquet(f"{folder}/{step}")
