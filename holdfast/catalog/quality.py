@@ -195,7 +195,7 @@ S["c9_status_counts"] = FAULTY_CHECKS + " SELECT count(*) AS total, " + ", ".joi
 
 _RULE, _THIN = "=" * 60, "-" * 60
 Q["c10_report_lines"] = lambda s, d: va.report_lines(va.run_checks(_faulty(s, d)))
-S["c10_report_lines"] = FAULTY_CHECKS + f""", parts AS (
+REPORT_PARTS = f"""
   SELECT ordinal + 1 AS part, list_filter([
     '[' || CASE status WHEN 'passed' THEN '✓' WHEN 'warning' THEN '⚠' ELSE '✗' END || '] '
       || check_name, '    Status: ' || upper(status), '    Message: ' || message,
@@ -205,7 +205,9 @@ S["c10_report_lines"] = FAULTY_CHECKS + f""", parts AS (
     'Passed: ' || count(*) FILTER (status = 'passed'),
     'Warnings: ' || count(*) FILTER (status = 'warning'),
     'Failed: ' || count(*) FILTER (status = 'failed'), '{_RULE}'] FROM results
-) SELECT part, CAST(unnest(range(len(lines))) AS INTEGER) AS line, unnest(lines) AS text FROM parts
+"""
+S["c10_report_lines"] = FAULTY_CHECKS + f""", parts AS ({REPORT_PARTS})
+  SELECT part, CAST(unnest(range(len(lines))) AS INTEGER) AS line, unnest(lines) AS text FROM parts
 """
 
 _ERRORS = "concat_ws('; ', " + ", ".join(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +62,12 @@ def report_rows(report: DataFrame, keys=("accuracy", "f1", "brier_score")) -> Da
 
 
 def model_info(rules: RuleSet, analysis: DataFrame, subset: DataFrame, model_type: str,
-               loaded: bool = True) -> DataFrame:
-    """One row about the hybrid approach: rules, their coverage, and the model's training rows."""
+               loaded: bool = True, training_metrics: dict | None = None) -> DataFrame:
+    """One row about the hybrid approach: rules, their coverage, and the model's training rows.
+
+    ``training_metrics`` holds the metrics of a training job by part (``ml_model_on_ambiguous``,
+    ``hybrid_on_full_data``); they are shown as JSON.
+    """
     combined = analysis.filter(F.col("rule") == "combined").select("pct").scalar()
     return subset.select(
         F.lit("hybrid").alias("approach"),
@@ -69,6 +75,8 @@ def model_info(rules: RuleSet, analysis: DataFrame, subset: DataFrame, model_typ
         .alias("description"),
         F.lit("; ".join(r.text or r.name for r in rules.rules)).alias("rules"),
         formatted("%.1f%% of training data", combined).alias("coverage"),
+        # fixed values
+        F.lit("100% (by definition — deterministic patterns)").alias("precision"),
         F.lit(loaded).alias("loaded"),
         F.lit(model_type).alias("model_type"),
         F.coalesce(
@@ -76,6 +84,9 @@ def model_info(rules: RuleSet, analysis: DataFrame, subset: DataFrame, model_typ
                       F.col("rate") * 100.0),
             F.format_string("%d ambiguous rows", "rows"),
         ).alias("trained_on"),
+        F.lit("3.0.0").alias("version"),
+        F.lit(json.dumps(training_metrics) if training_metrics else None).cast("string")
+        .alias("training_metrics"),
     )
 
 
@@ -102,6 +113,7 @@ def model_card(metrics: DataFrame, importance: DataFrame, model_type: str, n_fea
         "- **Users**: Customer Success teams, Marketing",
         "- **Out-of-scope**: Credit decisions, automated service termination", "",
         "## Training Data", "- **Source**: Customer behavior and demographic data",
+        "- **Size**: Specified at training time",
         f"- **Features**: {n_features} features after preprocessing", "",
         "## Performance Metrics",
     )]
@@ -113,12 +125,15 @@ def model_card(metrics: DataFrame, importance: DataFrame, model_type: str, n_fea
     ]
     closing = [F.lit(x) for x in (
         "", "## Ethical Considerations",
-        "- Gender is a feature: watch for unequal effects and audit fairness regularly", "",
-        "## Limitations", "- Performance may fall when the data shifts",
-        "- Needs retraining for new customer segments", "",
-        "## Monitoring Recommendations", "- Track the distribution of predictions weekly",
-        "- Alert on more than 10% drift in feature distributions",
-        "- Review model performance quarterly", "", f"Generated: {now}",
+        "- Model does not use protected attributes (race, religion, etc.)",
+        "- Gender is used as a feature - monitor for disparate impact",
+        "- Regular fairness audits recommended", "",
+        "## Limitations", "- Performance may degrade with distribution shift",
+        "- Requires retraining with new customer segments",
+        "- Not suitable for real-time high-frequency predictions", "",
+        "## Monitoring Recommendations", "- Track prediction distribution weekly",
+        "- Alert on >10% drift in feature distributions",
+        "- Quarterly model performance review", "", "---", f"Generated: {now}",
     )]
     lines = F.concat(
         F.array(*text, *numbers, F.lit(""), F.lit("## Feature Importance (Top 5)")),
