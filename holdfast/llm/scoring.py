@@ -35,8 +35,9 @@ HEAD = 1 << 18
 #: Bytes that no UTF-8 text holds: before a text, and after it.
 START, END = 0xFE, 0xFF
 SYMBOLS = 256
-#: Distinct keys a task gathers before it hands them on.
-GATHERED = 1 << 21
+#: Distinct keys a task gathers before it hands them on, and bytes it works on at a time.
+GATHERED = 1 << 20
+SLICE = 1 << 20
 
 
 def symbols(w: WordArrays) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +107,7 @@ def gather(docs: DataFrame, order: int = ORDER) -> DataFrame:
                  pa.array(counts)], ["kind", "key", "n"])
 
         for b in batches:
-            for _, _, offsets, data in slices(b.column(0)):
+            for _, _, offsets, data in slices(b.column(0), SLICE):
                 w = WordArrays(offsets, data, lower=True)
                 for kind, keys in enumerate((w.hashes().view(np.int64),
                                              contexts(*symbols(w), order))):
@@ -241,7 +242,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "key", "n"]
         for b in batches:
             ids, held = b.column(0), b.column(2)
-            for first, last, offsets, data in slices(b.column(1)):
+            for first, last, offsets, data in slices(b.column(1), SLICE):
                 w = WordArrays(offsets, data, lower=True)
                 m = w.n_texts
                 out, begin = symbols(w)
