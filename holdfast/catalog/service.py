@@ -614,9 +614,9 @@ S["q5_epoch_difference"] = f"""WITH {PRICES}, {JOBS} SELECT job,
   FROM jobs"""
 
 # Q7: pages of at most 1,000 customers, so no cell grows with the table
-_PAGE = F.floor(F.substring("CustomerID", 10, 20).cast("long") / 1000)
+_PAGE = "cast(floor(cast(substring(CustomerID, 10, 20) as bigint) / 1000) as bigint)"
 Q["q7_records_json"] = lambda s, d: tb.customer_profile(s, d).groupBy(
-    "Age", _PAGE.alias("page")
+    "Age", F.expr(_PAGE).alias("page")
 ).agg(
     F.sort_array(F.collect_list(F.when(
         F.col("Support Calls") >= 5, F.struct("CustomerID", "Churn")
