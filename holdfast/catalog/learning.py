@@ -135,6 +135,34 @@ def _importance(s, d):
 
 Q["l17_feature_importance"] = _importance
 
+
+def _learned(s, d):
+    """Models find the planted signal, with class weights and without."""
+    df = engineer_v1(clean_v2(planted(s, d)))
+    rows = []
+    for name, params in [("decision_tree", {}), ("random_forest", {"weightCol": "w_balanced"}),
+                         ("logistic_regression", {"weightCol": "w_unbalanced"})]:
+        found = tr.train_eval(df, name, params)[1].first()
+        rows.append((name, params.get("weightCol", "none"),
+                     found["accuracy"] > 0.6 and found["roc_auc"] > 0.6))
+    return s.createDataFrame(rows, "algorithm string, weights string, learned boolean")
+
+
+Q["l1_l5_learned"] = _learned
+S["l1_l5_learned"] = """SELECT * FROM (VALUES ('decision_tree', 'none', true),
+  ('random_forest', 'w_balanced', true), ('logistic_regression', 'w_unbalanced', true))
+  t(algorithm, weights, learned)"""
+
+
+def _importance_sum(s, d):
+    found = _importance(s, d)
+    return found.agg(F.round(F.sum("importance"), 6).alias("total"),
+                     F.bool_and(F.col("importance") >= 0).alias("none_negative"))
+
+
+Q["l17_importance_sum"] = _importance_sum
+S["l17_importance_sum"] = "SELECT CAST(1.0 AS DOUBLE) AS total, true AS none_negative"
+
 PLAN = {"algorithms": ("xgboost", "random_forest"), "grids": GRID, "n_iter": 1, "tune_folds": 2,
         "stack_folds": 2}
 Q["l18_train_v1"] = lambda s, d: tr.train_v1(planted(s, d), tr.plan_v1(**PLAN)).rows(s)
@@ -177,6 +205,40 @@ def _batch(s, d):
 
 Q["k11_score_batch"] = _batch
 
+_CLEAN = 'clean AS (SELECT * FROM prof WHERE ' + " AND ".join(
+    f'"{c}" IS NOT NULL' for c in NUMERIC) + ")"
+_SPEND = LIMIT.replace("FROM prof", "FROM clean")
+
+
+def _hybrid_counts(s, d):
+    """K6, K7: who decided how many rows, and that scores are scores."""
+    hybrid, df = hybrid_model(s, d)
+    return hybrid.score(df).groupBy("prediction_source").agg(
+        F.count("*").alias("n"), F.bool_and(F.col("p").between(0, 1)).alias("p_valid"),
+        F.bool_and(F.col("prediction").isin(0, 1)).alias("prediction_valid"),
+        F.bool_and((F.col("prediction_source") == "ml") | (F.col("prediction") == 1)).alias("sure"),
+    )
+
+
+Q["k6_k7_hybrid_counts"] = _hybrid_counts
+S["k6_k7_hybrid_counts"] = prof(
+    f"""SELECT CASE WHEN {any_rule("(SELECT q20 FROM spend)")} THEN 'rules' ELSE 'ml' END
+    AS prediction_source, count(*) AS n, true AS p_valid, true AS prediction_valid, true AS sure
+    FROM clean GROUP BY 1""", _CLEAN, _SPEND,
+)
+
+
+def _batch_counts(s, d):
+    """Every row is scored once, and churners are those above one half."""
+    hybrid, df = hybrid_model(s, d)
+    found = sg.score_batch(df, hybrid, NOW)
+    return found.agg(F.count("*").alias("n"), F.countDistinct("customer_id").alias("n_ids"))
+
+
+Q["k11_score_counts"] = _batch_counts
+S["k11_score_counts"] = prof(
+    'SELECT count(*) AS n, count(DISTINCT "CustomerID") AS n_ids FROM clean', _CLEAN)
+
 
 def _confidence(s, d):
     df = clean_v2(planted(s, d))
@@ -188,6 +250,23 @@ def _confidence(s, d):
 Q["k12_with_confidence"] = _confidence
 
 
+def _confidence_holds(s, d):
+    """The confidence is that of the predicted class."""
+    df = clean_v2(planted(s, d))
+    found = md.fit_pipeline(df, md.tree(), "decision_tree").score(df)
+    return found.agg(
+        F.count("*").alias("n"),
+        F.bool_and(F.abs(F.greatest("p", 1 - F.col("p")) - F.col("confidence")) < 1e-9)
+        .alias("of_the_larger"),
+        F.bool_and((F.col("p") > 0.5) == (F.col("prediction") == 1)).alias("of_the_predicted"),
+    )
+
+
+Q["k12_confidence_holds"] = _confidence_holds
+S["k12_confidence_holds"] = prof(
+    "SELECT count(*) AS n, true AS of_the_larger, true AS of_the_predicted FROM clean", _CLEAN)
+
+
 def _saved(s, d):
     """A10: a saved pipeline scores exactly like the one in memory."""
     df = clean_v2(planted(s, d))
