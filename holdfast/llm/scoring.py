@@ -7,10 +7,13 @@ next shorter context is asked, without the bytes the longer one has seen (symbol
 empty context all bytes not excluded are equally likely. So the code length of a text is that of a
 proper distribution over texts.
 
-Texts are lower-cased words (A-Z only) joined by one space, with an end mark. The trie is kept as
-one sorted table per depth, contexts with the latest byte first, so that all shorter contexts are
-prefixes. A depth holds at most ``CAPACITY`` entries: where the corpus has more, the rarest are left
-to the escape. That bounds what is sent to the tasks; the counts themselves cover everything.
+Texts are lower-cased words (A-Z only) joined by one space, with an end mark. Contexts are kept with
+the latest byte first, so that all shorter contexts are prefixes. Every counted context takes part:
+the distinct pairs of a context and a byte are partitioned by the latest ``TOP`` + 1 bytes, so that a
+run of them holds the whole trie below; only the depths up to ``TOP``, which the alphabet bounds, are
+sent to the tasks. That gives the value of each pair that any text holds, in a written table. The
+``CAPACITY`` most frequent pairs are looked up in the task that scores a text, the others are joined
+by a shuffle; both ways give the same score.
 
 The base score needs the count of every word. The most frequent words, at most ``HEAD``, are looked
 up in the task; the others are joined with the counted vocabulary by a shuffle. So no frequent word
@@ -30,7 +33,12 @@ from pyspark.sql import functions as F
 from holdfast.llm.common import WordArrays, distinct, mix64, slices, staged, table
 
 ORDER = 5
+#: Pairs of a context and a byte whose values are sent to every task; the others are joined.
 CAPACITY = 1 << 21
+#: Longest contexts whose counts are sent to every task.
+TOP = 2
+#: Pairs that are valued at a time, or all those of one context of ``TOP`` + 1 bytes.
+VALUED = 1 << 20
 HEAD = 1 << 18
 #: Bytes that no UTF-8 text holds: before a text, and after it.
 START, END = 0xFE, 0xFF
@@ -92,12 +100,13 @@ class Gathered:
 def gather(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Partial counts: of words (kind 0, key is the hash) and of contexts with a byte (kind 1).
 
-    ``docs`` has the one column ``text``. A task hands on its counts at its end, or when it holds
-    many, so its memory is bounded.
+    ``docs`` has the columns ``text`` and ``held_out``; words of held-out texts are not counted, and
+    their contexts are kind 2. A task hands on its counts at its end, or when it holds many, so its
+    memory is bounded.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [Gathered(), Gathered()]
+        held = [Gathered(), Gathered(), Gathered()]
 
         def given(kind: int) -> pa.RecordBatch:
             keys, counts = held[kind].merged()
@@ -107,17 +116,22 @@ def gather(docs: DataFrame, order: int = ORDER) -> DataFrame:
                  pa.array(counts)], ["kind", "key", "n"])
 
         for b in batches:
-            for _, _, offsets, data in slices(b.column(0), SLICE):
+            out_of = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for first, last, offsets, data in slices(b.column(0), SLICE):
                 w = WordArrays(offsets, data, lower=True)
-                for kind, keys in enumerate((w.hashes().view(np.int64),
-                                             contexts(*symbols(w), order))):
+                out, begin = symbols(w)
+                away = out_of[first:last]
+                far = np.repeat(away, np.diff(begin, append=len(out)))
+                grams = contexts(out, begin, order)
+                for kind, keys in enumerate((w.hashes().view(np.int64)[~away[w.row]],
+                                             grams[~far], grams[far])):
                     values, _, number = distinct(keys)
                     held[kind].add(values, np.bincount(number, minlength=len(values)))
                     if held[kind].waiting > 2 * GATHERED:
                         held[kind].merged()
                     if held[kind].waiting > GATHERED:
                         yield given(kind)
-        for kind in (0, 1):
+        for kind in (0, 1, 2):
             yield given(kind)
 
     return docs.mapInArrow(run, "kind int, key long, n long")
@@ -136,12 +150,17 @@ def least_count(counts: DataFrame, capacity: int) -> int:
 
 
 class Trie:
-    """Counts by context, one sorted table for each length of context."""
+    """Counts by context, one sorted table for each length of context.
+
+    With ``top`` the tables go on below those of another trie.
+    """
 
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
-        self.order = len(tables) - 1
-        self.grams, self.n, self.contexts, self.total, self.seen, self.shorter = ([] for _ in "123456")
-        for j, (keys, n) in enumerate(tables):
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], top: Trie | None = None):
+        self.grams, self.n, self.contexts, self.total, self.seen, self.shorter = (
+            list(getattr(top, part, ())) for part in
+            ("grams", "n", "contexts", "total", "seen", "shorter"))
+        self.order = len(self.grams) + len(tables) - 1
+        for j, (keys, n) in enumerate(tables, len(self.grams)):
             by = np.argsort(keys)
             keys, n = keys[by], n[by].astype(np.float64)
             context, first = np.unique(keys >> 8, return_index=True)
@@ -190,21 +209,55 @@ def _find(table_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, table_[at] == wanted
 
 
-def fit_trie(grams: DataFrame, order: int = ORDER, capacity: int = CAPACITY) -> Trie:
-    """Trie of counted keys of the full order (columns ``key`` and ``n``)."""
-    levels = F.explode(F.array(*[F.struct(
-        F.lit(j).alias("j"),
-        F.shiftleft(F.shiftright(F.col("key"), 8 * (order - j) + 8), 8)
-        .bitwiseOR(F.col("key").bitwiseAND(F.lit(255))).alias("key")) for j in range(order + 1)]))
-    counted = staged(grams.select(levels.alias("k"), "n").groupBy("k.j", "k.key")
-                     .agg(F.sum("n").alias("n")), "contexts")
-    tables, floor = [], 1
-    for j in range(order + 1):
-        own = counted.where(F.col("j") == j).select("key", "n")
-        floor = max(floor, least_count(own, capacity))  # never below that of a shorter context
-        rows = own.where(F.col("n") >= floor).toArrow()
-        tables.append((rows["key"].to_numpy(), rows["n"].to_numpy()))
-    return Trie(tables)
+def _shorter(keys: np.ndarray, n: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts with contexts that are ``by`` bytes shorter."""
+    keys, _, number = distinct(keys >> 8 * by + 8 << 8 | keys & 0xFF)
+    return keys, np.bincount(number, n, len(keys)).astype(np.int64)
+
+
+def values(grams: DataFrame, order: int = ORDER, top: int = TOP) -> DataFrame:
+    """Log10 probability ``value`` of every key of the full order, and its uses ``m``.
+
+    ``grams`` has key, ``n`` (count in the training texts, may be 0) and ``m``.
+    """
+    top = min(top, order)
+    short = F.shiftleft(F.shiftright("key", 8 * (order - top) + 8), 8).bitwiseOR(
+        F.col("key").bitwiseAND(F.lit(255)))
+    rows = grams.where("n > 0").groupBy(short.alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    last = rows["key"].to_numpy(), rows["n"].to_numpy()
+    head = grams.sparkSession.sparkContext.broadcast(
+        vars(Trie([*(_shorter(*last, top - j) for j in range(top)), last])))
+    shift = 8 * max(order - top - 1, 0) + 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above = Trie([])
+        above.__dict__.update(head.value)
+        held: list[list[np.ndarray]] = []
+        waiting = 0
+
+        def given(keys: np.ndarray, n: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+            own, count = keys[n > 0], n[n > 0]
+            trie = Trie([_shorter(own, count, order - j) for j in range(top + 1, order + 1)], above)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys), pa.array(m), pa.array(trie.log10(keys))], ["key", "m", "value"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            waiting += b.num_rows
+            if waiting >= VALUED and held[0][0][0] >> shift != held[-1][0][-1] >> shift:
+                cells = [np.concatenate(c) for c in zip(*held)]
+                # the last context may go on in the next batch
+                cut = np.searchsorted(cells[0] >> shift, cells[0][-1] >> shift)
+                yield given(*(c[:cut] for c in cells))
+                held = [[c[cut:] for c in cells]]
+                waiting = len(held[0][0])
+        if held:
+            yield given(*(np.concatenate(c) for c in zip(*held)))
+
+    return (grams.select("key", "n", "m").repartition(F.shiftright("key", shift))
+            .sortWithinPartitions("key").mapInArrow(run, "key long, m long, value double"))
 
 
 def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text",
@@ -217,37 +270,49 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     """
     docs = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"),
                        F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    counts = staged(gather(docs.where("NOT held_out").select("text"), order)
-                    .groupBy("kind", "key").agg(F.sum("n").alias("n")), "scoring-counts")
-    words = counts.where("kind = 0").select("key", "n")
+    kind = F.col("kind")
+    counts = staged(gather(docs.select("text", "held_out"), order)
+                    .groupBy((kind > 0).alias("gram"), "key").agg(
+                        F.sum(F.when(kind < 2, F.col("n")).otherwise(0)).alias("n"),
+                        F.sum("n").alias("m")), "scoring-counts")
+    words = counts.where("NOT gram").select("key", "n")
     n_words, n_distinct, texts = (int(x or 0) for x in (
         *words.agg(F.sum("n"), F.count("*")).first(),
         docs.where("NOT held_out").count()))
     train_tokens, vocabulary = n_words + texts, n_distinct + (texts > 0)
     floor = least_count(words, head)
-    frequent = words.where(F.col("n") >= floor).toArrow()
-    order_ = np.argsort(frequent["key"].to_numpy())
-    trie = fit_trie(counts.where("kind = 1").select("key", "n"), order, capacity)
-    model = docs.sparkSession.sparkContext.broadcast(
-        (vars(trie), frequent["key"].to_numpy()[order_], frequent["n"].to_numpy()[order_]))
+    valued = staged(values(counts.where("gram"), order), "byte-values")
+    least = least_count(valued.select(F.col("m").alias("n")), capacity)
+
+    def sent(rows: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
+        found = rows.select("key", column).toArrow()
+        by = np.argsort(found["key"].to_numpy())
+        return found["key"].to_numpy()[by], found[column].to_numpy()[by]
+
+    model = docs.sparkSession.sparkContext.broadcast((
+        *sent(valued.where(F.col("m") >= least), "value"),
+        *sent(words.where(F.col("n") >= floor), "n")))
     unit = float(np.log10(train_tokens + vocabulary + 1))
     end_value = float(np.log10(texts + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, common, common_n = model.value
-        trie = Trie([])
-        trie.__dict__.update(state)
+        pairs, pair_worth, common, common_n = model.value
         worth = np.log10(common_n + 1.0)
         uid = TaskContext.get().partitionId() << 40
-        names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "key", "n"]
+        names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "gram",
+                 "key", "n"]
         for b in batches:
             ids, held = b.column(0), b.column(2)
             for first, last, offsets, data in slices(b.column(1), SLICE):
                 w = WordArrays(offsets, data, lower=True)
                 m = w.n_texts
                 out, begin = symbols(w)
-                keys, _, number = distinct(contexts(out, begin, trie.order))
-                value = np.add.reduceat(trie.log10(keys)[number], begin)
+                grams, _, place = distinct(contexts(out, begin, order))
+                at, hit = _find(pairs, grams)
+                value = np.add.reduceat((np.where(hit, pair_worth[at], 0.0) if len(pairs)
+                                         else np.zeros(len(grams)))[place], begin)
+                left = np.flatnonzero(~hit[place])
+                of = np.searchsorted(begin, left, "right") - 1
                 keys, _, number = distinct(w.hashes().view(np.int64))
                 at, hit = _find(common, keys)
                 known = hit[number]
@@ -259,31 +324,37 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
                     pa.array(w.counts() + 1),
                     pa.array(np.bincount(w.row, known, m).astype(np.int64) + (texts > 0)),
                     pa.array(base + end_value), pa.array(value),
-                    pa.array(mix64(own).view(np.int64)), pa.array(np.zeros(m, np.int64)),
+                    pa.array(np.zeros(m, bool)), pa.array(mix64(own).view(np.int64)),
+                    pa.array(np.zeros(m, np.int64)),
                 ], names)
                 rare = np.flatnonzero(~known)
-                pair, example, which = distinct(w.row[rare] * max(1, len(keys)) + number[rare])
-                k = len(pair)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(own[w.row[rare][example]]), pa.nulls(k, pa.int64()),
-                    pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-                    pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()),
-                    pa.array(keys[number[rare][example]]),
-                    pa.array(np.bincount(which, minlength=k)),
-                ], names)
+                for gram, row, found, which in ((False, w.row[rare], keys, number[rare]),
+                                                (True, of, grams, place[left])):
+                    pair, example, which_pair = distinct(row * max(1, len(found)) + which)
+                    k = len(pair)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(own[row[example]]), pa.nulls(k, pa.int64()),
+                        pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
+                        pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()),
+                        pa.array(np.full(k, gram)), pa.array(found[which[example]]),
+                        pa.array(np.bincount(which_pair, minlength=k)),
+                    ], names)
                 uid += m
 
     rows = docs.mapInArrow(
         run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
-             "score double, key long, n long")
-    rest = words.where(F.col("n") < floor).withColumnRenamed("n", "c")
-    c = F.coalesce("c", F.lit(0))
-    return rows.join(rest, "key", "left").groupBy("uid").agg(
+             "score double, gram boolean, key long, n long")
+    rest = words.where(F.col("n") < floor).select(
+        F.lit(False).alias("gram"), "key", F.log10(F.col("n") + 1.0).alias("value")).unionByName(
+        valued.where(F.col("m") < least).select(F.lit(True).alias("gram"), "key", "value"))
+    more = F.col("n") * F.coalesce("value", F.lit(0.0))
+    return rows.join(rest, ["gram", "key"], "left").groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
         F.max("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.sum(F.when(c > 0, F.col("n")).otherwise(0))).alias("n_known"),
-        (F.sum("base") + F.sum(F.col("n") * F.log10(c + 1))).alias("worth"),
-        F.max("score").alias("score"),
+        (F.sum("n_known") + F.sum(F.when(F.col("value").isNotNull() & ~F.col("gram"), F.col("n"))
+                                  .otherwise(0))).alias("n_known"),
+        (F.sum("base") + F.sum(F.when(F.col("gram"), 0.0).otherwise(more))).alias("worth"),
+        (F.sum("score") + F.sum(F.when(F.col("gram"), more).otherwise(0.0))).alias("score"),
     ).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long")
         .alias("train_tokens"), (F.col("worth") - F.col("n_tokens") * unit).alias("base_score"),

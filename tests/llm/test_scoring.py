@@ -106,6 +106,16 @@ def test_rare_words_by_shuffle_equal_words_in_the_task(spark, sf):
         assert r["base_score"] == pytest.approx(two[d]["base_score"], rel=1e-9)
 
 
+@pytest.mark.parametrize("capacity", [0, 50])
+def test_pairs_above_the_bound_are_joined(spark, odd, monkeypatch, capacity):
+    """Scores do not depend on how many pairs are looked up in the task."""
+    monkeypatch.setattr(scoring, "VALUED", 100)
+    frame = odd.where("doc_id IS NULL OR doc_id NOT IN (105, 5)")
+    docs = [(r[0], r[1]) for r in frame.select("doc_id", "text").collect()]
+    check(scoring.score(frame, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2,
+                        capacity=capacity).collect(), docs, 200)
+
+
 def test_distribution_sums_to_one(spark):
     """All bytes after any context have probability one together, also with few entries kept."""
     import numpy as np
