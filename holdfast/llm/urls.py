@@ -22,7 +22,8 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 BAD_WORDS = ("adult", "ads", "casino", "malware", "phish", "pills", "porn", "spam", "viagra")
 #: Weight of a URL without label, which counts as allowed.
 UNLABELLED = 0.25
-#: Distinct URLs that the trees are fitted on, about, picked by their hashes.
+#: Distinct URLs that the trees are fitted on at most, picked by their hashes from each kind of label.
+#: The suffix statistics count all URLs.
 TRAINING_ROWS = 20_000
 TREES, DEPTH, SEED = 20, 4, 7
 #: Strength of the overall block rate in the suffix statistics, in labelled URLs.
@@ -126,10 +127,15 @@ def with_rates(df: DataFrame, rates: DataFrame) -> DataFrame:
 _ASSEMBLER = {"inputCols": NUMBERS + [f"{k}_rate" for k in SUFFIXES], "outputCol": "features"}
 
 
-def fit_urls(labelled: DataFrame, trees: int = TREES) -> tuple[DataFrame, GBTClassificationModel]:
-    """Suffix rates and trees of labelled rows: ``lexical`` columns, ``blocked`` 0 or 1, ``weight``."""
+def fit_urls(labelled: DataFrame, trees: int = TREES, sample: DataFrame | None = None,
+             ) -> tuple[DataFrame, GBTClassificationModel]:
+    """Suffix rates and trees of labelled rows: ``lexical`` columns, ``blocked`` 0 or 1, ``weight``.
+
+    With ``sample`` the trees are fitted on its rows, the rates still count all labelled ones.
+    """
     rates = staged(suffix_rates(labelled), "url-rates")
-    rows = VectorAssembler(**_ASSEMBLER).transform(with_rates(labelled, rates))
+    rows = VectorAssembler(**_ASSEMBLER).transform(
+        with_rates(labelled if sample is None else sample, rates))
     model = GBTClassifier(labelCol="blocked", maxIter=trees, maxDepth=DEPTH, seed=SEED,
                           weightCol="weight").fit(rows.select("blocked", "weight", "features"))
     return rates, model
@@ -144,6 +150,27 @@ def labels(rows: DataFrame, words: tuple = BAD_WORDS, unlabelled: float = UNLABE
     })
 
 
+def training_sample(once: DataFrame, kinds: dict[tuple[float, float], int],
+                    rows: int = TRAINING_ROWS) -> DataFrame:
+    """At most ``rows`` URLs, as many of each kind (``blocked`` and ``weight``) as there are or fit.
+
+    ``kinds`` counts the rows of each kind. Weights grow by the share that is left out, so a kind
+    weighs what it does in the whole table.
+    """
+    if sum(kinds.values()) <= rows:
+        return once
+    picked, room = None, rows
+    for at, ((blocked, weight), n) in enumerate(sorted(kinds.items(), key=lambda k: (k[1], k[0]))):
+        quota = min(n, max(1, room // (len(kinds) - at)))
+        room -= quota
+        own = once.where((F.col("blocked") == blocked) & (F.col("weight") == weight))
+        if quota < n:
+            own = own.orderBy(F.xxhash64("url", F.lit(SEED)), "url").limit(quota).withColumn(
+                "weight", F.col("weight") * (n / quota))
+        picked = own if picked is None else picked.unionByName(own)
+    return picked
+
+
 def judge_urls(pages: DataFrame, rules: tuple = RULES, url: str = "url", key: str = "page_id",
                training_rows: int = TRAINING_ROWS) -> DataFrame:
     """Host, path, rule and verdict of every URL, with the trees' probability of blocking.
@@ -156,14 +183,13 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, url: str = "url", key: st
         F.col(key).alias("page_id"), F.col(url).alias("url"))), rules)), "urls")
     # one row per URL, so that a URL that many pages share counts once
     once = staged(rows.drop("page_id", "rule", "ruling").dropDuplicates(["url"]), "url-once")
-    n = max(1, once.count())
-    train = once.where(F.pmod(F.xxhash64("url", F.lit(SEED)), F.lit(1 << 30))
-                       < min(1 << 30, int((1 << 30) * training_rows / n)))
-    if len(train.select("blocked").distinct().limit(2).collect()) < 2:
+    kinds = {(r[0], r[1]): r[2] for r in once.groupBy("blocked", "weight").count().collect()}
+    if len({blocked for blocked, _ in kinds}) < 2:
         return rows.select("page_id", "host", "path", "rule",
                            F.coalesce("ruling", F.lit("allow")).alias("verdict"),
                            F.lit(None).cast("double").alias("p_block"))
-    rates, model = fit_urls(train)
+    sample = training_sample(once, kinds, training_rows)
+    rates, model = fit_urls(once, sample=None if sample is once else staged(sample, "url-sample"))
     scored = model.transform(VectorAssembler(**_ASSEMBLER).transform(with_rates(rows, rates)))
     p = vector_to_array("probability")[1]
     return scored.select(

@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from holdfast.llm import urls
 from holdfast.llm.common import table
 
@@ -75,3 +77,26 @@ def test_held_out_accuracy(spark):
         urls.with_rates(test, rates)))
     right = scored.selectExpr("avg(cast(prediction = blocked as int))").first()[0]
     assert right > 0.9
+
+
+def test_statistics_and_labels_beyond_the_sample(spark, monkeypatch):
+    """Rates count every URL, and a rare kind of label is learned from however few are fitted."""
+    pages = [(i, f"http://h{i}.site{i % 90}.org/d{i % 7}/{i}.html") for i in range(600)]
+    pages += [(1000 + i, f"http://casino.bad{i}.org/x/{i}") for i in range(3)]
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    fitted, fit = [], urls.fit_urls
+
+    def keep(*args, **kw):
+        fitted.append((kw.get("sample", args[0]), *fit(*args, **kw)))
+        return fitted[0][1:]
+
+    monkeypatch.setattr(urls, "fit_urls", keep)
+    rows = urls.judge_urls(frame, training_rows=30).collect()
+    assert len(rows) == len(pages) and all(r["p_block"] is not None for r in rows)
+    sample, rates, _ = fitted[0]
+    sites = {r["value"] for r in rates.where("kind = 'site'").collect()}
+    assert sites == {f"site{i}.org" for i in range(90)} | {f"bad{i}.org" for i in range(3)}
+    kinds = {r["blocked"]: (r["n"], r["w"]) for r in sample.groupBy("blocked").agg(
+        F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
+    assert kinds[1.0] == (3, 3.0) and kinds[0.0][0] == 27
+    assert abs(kinds[0.0][1] - 600 * urls.UNLABELLED) < 1e-6
