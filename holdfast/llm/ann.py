@@ -2,12 +2,15 @@
 
 Largest inner products are nearest points once vectors are divided by the greatest length, get one
 more coordinate that brings them to length one, and queries are brought to length one with a zero
-there. So ``WIDTH`` does not depend on the scale of the vectors. Each of ``TABLES`` tables hashes a point with
+there. Vectors are hashed in bands of lengths, each with its own greatest length, so ``WIDTH`` does
+not depend on the scale of the vectors, and a few long ones do not move the others together. A query
+visits every band. Each of ``TABLES`` tables hashes a point with
 ``FUNCTIONS`` functions ``floor((a x + b) / WIDTH)``, ``a`` normal. A query visits the ``PROBES``
 buckets of a table that are likeliest to hold near points: its own, and neighbours in the order of
 the summed squared distances to the cell borders that have to be crossed. All vectors of the visited
 buckets are candidates; they are ranked by the exact inner product, and the lists of all buckets are
-merged. There is no cap on buckets or candidates.
+merged. There is no cap on buckets or candidates. Queries that find too few rows visit all neighbours
+of their buckets, and those that still do, all vectors.
 
 Equal vectors are one point, with the least ids that an answer can need, so a vector that a third of
 the rows share is ranked once. Buckets above ``BUCKET_ROWS`` points are split over tasks, and a query
@@ -28,8 +31,12 @@ from holdfast.llm.common import mix64, staged, table
 
 NEIGHBOURS = 20
 TABLES, FUNCTIONS, WIDTH, PROBES = 8, 4, 1.5, 14
+#: Bands of lengths for each factor of two.
+BANDS = 1
 BUCKET_ROWS = 4096
 SEED = 5
+#: Rows (bucket, p, vector) that a task hands on at a time.
+ROWS_AT_ONCE = 1 << 16
 #: Queries that are ranked against a bucket at a time.
 QUERIES_AT_ONCE = 256
 
@@ -68,14 +75,15 @@ def points(rows: DataFrame, ids: int) -> DataFrame:
 
 
 class Hashes:
-    """The tables' functions for vectors of one length, and visits in order of success."""
+    """The tables' functions for vectors of one size and band, and visits in order of success."""
 
-    def __init__(self, size: int, reach: float, width: float, tables: int, functions: int):
+    def __init__(self, size: int, reach: float, width: float, tables: int, functions: int,
+                 band: int = 0):
         rng = np.random.default_rng(SEED + size)
         self.a = rng.standard_normal((size + 1, tables * functions))
         self.b = rng.random(tables * functions) * width
         self.reach, self.width, self.shape = reach, width, (-1, tables, functions)
-        self.marks = mix64(np.arange(1, tables + 1) * 1_000_003 + size)
+        self.marks = mix64(np.arange(1, tables + 1) * 1_000_003 + size + (band << 40))
         self.fold = mix64(np.arange(1, functions + 1)) | np.uint64(1)
         self.moves = np.array(list(itertools.product((0, -1, 1), repeat=functions)))
 
@@ -113,24 +121,35 @@ def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
             for n in np.unique(size) for rows in [np.flatnonzero(size == n)]]
 
 
-def hashed(found: DataFrame, reach: float, query: bool, probes: int = PROBES,
+def hashed(found: DataFrame, reach: dict[int, float], query: bool, probes: int = PROBES,
            width: float = WIDTH, tables: int = TABLES, functions: int = FUNCTIONS) -> DataFrame:
-    """Rows (bucket, p, vector): of every point in each table, or of every query's visits."""
+    """Rows (bucket, p, vector): of every point in each table, or of every query's visits.
+
+    ``reach`` has the greatest length of each band.
+    """
+    at_once = max(1, ROWS_AT_ONCE // (tables * (probes if query else 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, Hashes] = {}
+        known: dict[tuple[int, int], Hashes] = {}
         for b in batches:
+            own = b.column(2).to_numpy(zero_copy_only=False)
             for rows, x in _matrix(b.column(1)):
                 n = x.shape[1]
-                h = known.setdefault(n, Hashes(n, reach, width, tables, functions))
-                keys = h.visits(x, probes) if query else h.buckets(x)
-                keys = keys.reshape(len(rows), -1)
-                place = pa.array(np.repeat(rows, keys.shape[1]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()), b.column(0).take(place), b.column(1).take(place)],
-                    ["bucket", "p", "vector"])
-
-    return found.select("p", "vector").mapInArrow(
+                for band in reach if query else np.unique(own[rows]).tolist():
+                    if (n, band) not in known:
+                        known[n, band] = Hashes(n, reach[band], width, tables, functions, band)
+                    h = known[n, band]
+                    here = np.arange(len(rows)) if query else np.flatnonzero(own[rows] == band)
+                    for at in range(0, len(here), at_once):
+                        some = here[at:at + at_once]
+                        keys = h.visits(x[some], probes) if query else h.buckets(x[some])
+                        keys = keys.reshape(len(some), -1)
+                        place = pa.array(np.repeat(rows[some], keys.shape[1]))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(keys.ravel()), b.column(0).take(place),
+                             b.column(1).take(place)], ["bucket", "p", "vector"])
+
+    return found.select("p", "vector", "band").mapInArrow(
         run, "bucket long, p long, vector array<float>")
 
 
@@ -197,27 +216,48 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "emb
     Nearness is the inner product in double precision; ties go to the smaller id. A row is no
     neighbour of its own. Vectors that are null, zero, or hold null or non-finite numbers take no
     part, and vectors of different length are never neighbours. Ids should be distinct; a row whose
-    id is null takes no part. Other columns are not read. An empty table gives no rows.
+    id is null takes no part. Other columns are not read. An empty table gives no rows. A query gets
+    ``neighbours`` rows, or all others of its length where there are fewer.
     """
     rows = staged(valid(vectors.select(vectors[key].cast("long").alias("vec_id"),
                                        vectors[column].cast("array<float>").alias("vector"),
                                        is_query.alias("asks")), "vector")
                   .where("vec_id IS NOT NULL"), "vectors")
-    reach = rows.select(F.max(F.sqrt(F.aggregate(
-        "vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))).first()[0]
-    if reach is None:
-        reach = 1.0
-    found = staged(points(rows, neighbours + 1), "points")
+    length = F.sqrt(F.aggregate(
+        "vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    found = staged(points(rows, neighbours + 1).withColumn("length", length).withColumn(
+        "band", F.round(F.log2("length") * BANDS).cast("int")), "points")
+    reach = {r["band"]: r["reach"] for r in found.groupBy("band").agg(
+        F.max("length").alias("reach")).collect()}
     asks = staged(rows.where("asks").select("vec_id", F.xxhash64("vector").alias("p")), "queries")
     wanted = found.join(asks.select("p").distinct(), "p", "left_semi")
     index = staged(hashed(found, reach, False, probes), "buckets")
-    sizes = index.groupBy("bucket").agg(
-        F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("parts"))
-    split = index.join(sizes, "bucket").withColumn("part", F.pmod(F.hash("p"), "parts"))
-    visits = hashed(wanted, reach, True, probes).join(sizes, "bucket").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pairs = ranked(split, visits, neighbours + 1).groupBy("q", "p").agg(
-        F.max("score").alias("score"))
+    by_size = F.size("vector").cast("long").alias("bucket")
+
+    def visited(index: DataFrame, visits: DataFrame, step: str) -> DataFrame:
+        sizes = index.groupBy("bucket").agg(
+            F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("parts"))
+        split = index.join(sizes, "bucket").withColumn("part", F.pmod(F.hash("p"), "parts"))
+        visits = visits.join(sizes, "bucket").withColumn(
+            "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return staged(ranked(split, visits, neighbours + 1).groupBy("q", "p").agg(
+            F.max("score").alias("score")), f"pairs-{step}")
+
+    pairs = visited(index, hashed(wanted, reach, True, probes), "first")
+    counted = found.select("p", F.size("ids").alias("rows"))
+    for step in ("neighbours", "all"):
+        # rows found without the asking one, which may be missing
+        got = pairs.join(counted, "p").groupBy(F.col("q").alias("p")).agg(
+            (F.sum("rows") - F.max((F.col("p") == F.col("q")).cast("int"))).alias("got"))
+        short = staged(wanted.join(got, "p", "left").where(
+            F.coalesce("got", F.lit(0)) < neighbours).select("p", "vector", "band"),
+            f"short-{step}")
+        if short.isEmpty():
+            break
+        more = visited(index, hashed(short, reach, True, 3 ** FUNCTIONS), step) \
+            if step == "neighbours" else visited(
+                found.select(by_size, "p", "vector"), short.select(by_size, "p", "vector"), step)
+        pairs = pairs.join(short.select(F.col("p").alias("q")), "q", "left_anti").unionByName(more)
     best = Window.partitionBy("q").orderBy(F.desc("score"), "least")
     lists = found.select("p", "ids", F.col("ids")[0].alias("least"))
     near = pairs.join(lists, "p").withColumn("place", F.row_number().over(best)).where(

@@ -94,3 +94,26 @@ def test_visits_come_in_order_of_success():
     first = near.argmin(axis=2)
     np.put_along_axis(step, first[:, :, None], np.take_along_axis(side, first[:, :, None], 2), 2)
     assert (visits[:, :, 1] == h._key(np.floor(spot) + step)).all()
+
+
+def test_few_candidates_are_all_found(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(19, 64)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)],
+                                  "vec_id long, embedding array<float>")
+    rows = ann.search(frame, F.col("vec_id") < 10).collect()
+    assert len(rows) == 10 * 18
+    check(rows, np.arange(19), vectors.astype(float), list(range(10)), 20, 1.0)
+
+
+def test_one_long_vector_among_many(spark):
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(2000, 64))
+    vectors /= np.sqrt((vectors * vectors).sum(axis=1))[:, None]
+    vectors[7] *= 100
+    vectors = vectors.astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)],
+                                  "vec_id long, embedding array<float>")
+    rows = ann.search(frame, F.col("vec_id") % 20 == 0).collect()
+    assert len(rows) == 100 * 20
+    check(rows, np.arange(2000), vectors.astype(float), list(range(0, 2000, 20)), 20, 0.95)
