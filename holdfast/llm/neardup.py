@@ -203,6 +203,10 @@ def verify(members: DataFrame, threshold: float, size: int = WORDS) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group, out = None, [], []
 
+        def paired() -> bool:
+            # a block without sets leaves the other one alone, which is compared with itself elsewhere
+            return len(group) > 1 and (now[1] == now[2] or len({g[0] for g in group}) == 2)
+
         def given() -> pa.RecordBatch:
             rows = pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([o[i] for o in out]).astype(np.int64)) for i in range(4)],
@@ -214,13 +218,13 @@ def verify(members: DataFrame, threshold: float, size: int = WORDS) -> DataFrame
             cells = [b.column(i).to_pylist() for i in range(7)]
             for root, i, j, *row in zip(*cells):
                 if (root, i, j) != now:
-                    if len(group) > 1:
+                    if paired():
                         out.append(judged(group))
                     now, group = (root, i, j), []
                 group.append(row)
             if out:
                 yield given()
-        if len(group) > 1:
+        if paired():
             out.append(judged(group))
         if out:
             yield given()

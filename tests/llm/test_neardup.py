@@ -82,6 +82,16 @@ def test_near_copies_against_all_pairs(spark, copies, monkeypatch, block):
         assert (r["class_id"], r["n_links"], r["n_text_links"]) == want[r["doc_id"]]
 
 
+def test_near_copies_in_blocks_some_of_them_empty(spark, copies, monkeypatch):
+    """Long texts make more blocks than there are sets to fill them; no link counts twice."""
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 600)
+    frame = spark.createDataFrame(copies, "doc_id long, text string").repartition(4)
+    want = {d: b for (d, _), b in zip(copies, brute(copies))}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_text_links"])
+           for r in neardup.near_classes(frame).collect()}
+    assert got == want
+
+
 def test_one_document_of_each_class_stays(spark, odd, copies):
     kept = neardup.keep_leaders(spark.createDataFrame(copies, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({b[0] for b in brute(copies)})
