@@ -7,7 +7,7 @@ so that a source gives exactly its target in whole words. Drawn blocks are dealt
 by a tree: each node splits its quota vector (blocks per source and pass) between its halves by a
 multivariate hypergeometric draw, so shards are equal in blocks and random in composition. Blocks of
 a source are disjoint, and go to shards in the order of the permutation; inside a shard they are
-shuffled by a hash.
+shuffled by a hash. ``mixed_documents`` delivers the texts shard by shard in that order.
 
 Tables are handled by DataFrame functions alone. Positions come from sums per (source, bucket of
 the hash) and running sums inside a bucket, so a source that holds a third of the rows is spread
@@ -29,6 +29,8 @@ SHARE, MOST = 1.5, 2
 BLOCKS, LEAST_WORDS = 16_384, 64
 BUCKET_BITS = 10
 SHARDS = 24
+#: Each shard's order is cut into 2 ** SLICE_BITS slices, one task's work at most.
+SLICE_BITS = 6
 SEED = 11
 
 _HEX = 15  # hexadecimal digits of a hash: 60 bits
@@ -196,13 +198,18 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     White space between drawn neighbours stays as it is; parts that are apart in the document are
     joined by a line feed. ``n_chars`` follows the text, if there is such a column. Rows that agree
     in id and text have one text, and each gives what the mix takes of it.
+
+    Rows come shuffled as the tree has dealt them: a slice of a shard is in one partition, sorted by
+    ``order``. A text that lies in several blocks stays whole and goes where its first block goes.
     """
     _, pieces = mix(docs, shards=shards)
     parts = pieces.groupBy("pool", "bucket", "row", "pass", "doc_id", "t").agg(
         F.sort_array(F.collect_list(F.struct("start", "length"))).alias("parts"),
-        (F.sum("length") == F.first("size")).alias("whole")).select(
+        (F.sum("length") == F.first("size")).alias("whole"),
+        F.min(F.struct("start", "shard", "order")).alias("first")).select(
         F.coalesce("doc_id", F.lit(-(2**63))).alias("m_doc"), F.col("t").alias("m_t"), "parts",
-        "whole")
+        "whole", F.col("first.shard").alias("m_shard"), F.struct(
+            "first.order", "pool", "bucket", "row").alias("m_place"))
     keys = [F.xxhash64(text_of("text")).alias("m_t"),
             F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("m_doc")]
     once = docs.select(F.struct(*docs.columns).alias("_row"), *keys).dropDuplicates(
@@ -219,7 +226,10 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     cut = F.transform(F.array(words), lambda w: F.array_join(
         F.transform("parts", lambda p, i: part(w, p, i)), ""))[0]
-    out = joined.select("_row", F.when(F.col("whole"), F.col("_row.text")).otherwise(cut).alias("_cut"))
+    out = joined.select("_row", F.when(F.col("whole"), F.col("_row.text")).otherwise(cut).alias("_cut"),
+                        "m_shard", "m_place").repartition(
+        "m_shard", F.shiftright("m_place.order", 4 * _HEX - SLICE_BITS)).sortWithinPartitions(
+        "m_shard", "m_place")
     new = {"text": F.col("_cut")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("_cut").cast(docs.schema["n_chars"].dataType)

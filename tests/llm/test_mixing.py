@@ -4,6 +4,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from compare import connect, difference
 from holdfast.llm import mixing
 
@@ -105,3 +107,22 @@ def test_mixed_documents(spark, odd):
     taken = pieces.groupBy("doc_id").sum("length").collect()
     assert dict(words) == {r[0]: r[1] for r in taken}
     assert rows.count() == docs.count()
+
+
+def test_mixed_documents_come_in_the_order_of_their_shards(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    first = defaultdict(dict)
+    for r in mixing.mix(docs)[1].collect():
+        own = first[r["doc_id"]]
+        own[r["pass"]] = min(own.get(r["pass"], (1 << 60, 0, 0)), (r["start"], r["shard"], r["order"]))
+    once = {d: next(iter(p.values()))[1:] for d, p in first.items() if len(p) == 1}
+    assert len(once) > 20
+    parts, slices = defaultdict(list), defaultdict(set)
+    for d, part in mixing.mixed_documents(docs).select(
+            "doc_id", F.spark_partition_id()).collect():
+        if d in once:
+            parts[part].append(once[d])
+            shard, order = once[d]
+            slices[shard, order >> 4 * mixing._HEX - mixing.SLICE_BITS].add(part)
+    assert all(p == sorted(p) for p in parts.values())
+    assert all(len(s) == 1 for s in slices.values())
