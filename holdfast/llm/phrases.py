@@ -7,6 +7,11 @@ give the same chunks. Distinct chunks form a dictionary with their frequencies.
 counted inside distinct chunks, times the frequency. Every phrase lies whole in a chunk, and one
 that lies in the overlap belongs to the later chunk, so it is counted once.
 
+Chunks and phrases travel as compressed cells, one for each bucket of hashes and run of texts, and
+the equal strings of a bucket are added up by the task that reads it. The number of buckets grows with the
+texts, so a bucket's size is bounded, and a frequent phrase is one entry a cell. Infrequent phrases
+never become rows.
+
 Counts are exact, per language. A candidate is a phrase of two words or more with a count of at least
 ``least``. All cuts of a candidate into two phrases are scored by count^2 / (left * right), in whole
 millionths and in decimal arithmetic; the worst cut counts. A candidate inside a longer one that makes up
@@ -19,7 +24,8 @@ works on runs of texts of 2 MB, or one longer text; a piece without a trigger is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +42,10 @@ EVERY = 8
 LEAST, SHARE, TOP = 10, 50, 2000
 #: Candidates of a language are ranked in so many parts first.
 PARTS = 64
-#: Bytes of distinct chunks whose phrases are counted together.
-COUNTED_BYTES = 4 << 20
+#: Bytes of texts that are parsed together, and of distinct chunks whose phrases are counted together.
+PARSED_BYTES, COUNTED_BYTES = 2 << 20, 2 << 20
+#: Bytes of texts for each bucket of chunks and each bucket of phrases.
+CHUNK_BYTES, PHRASE_BYTES = 16 << 20, 4 << 20
 
 _GAP, _STOP = 0x20, 0x0A
 #: Bytes as the parse sees them: A-Z in lower case, one byte for gaps and one for ends of pieces.
@@ -66,14 +74,14 @@ def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.StringAr
 
 
 def chunks(offsets: np.ndarray, data: np.ndarray, longest: int = LONGEST, every: int = EVERY) -> tuple[
-        pa.StringArray, np.ndarray]:
-    """Chunks of a run of texts and the row of each.
+        pa.StringArray, np.ndarray, np.ndarray]:
+    """Chunks of a run of texts, the row of each, and a hash.
 
     Words are joined by one space; the last chunk of a piece ends with a line end.
     """
     w = WordArrays(offsets, SEEN[data])
     if not len(w.start):
-        return pa.array([], pa.string()), np.zeros(0, np.int64)
+        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     n, overlap = len(w.start), longest - 1
     stops = np.cumsum(w.data == _STOP)
     closes = np.ones(n, bool)  # the word is the last of its piece
@@ -81,8 +89,9 @@ def chunks(offsets: np.ndarray, data: np.ndarray, longest: int = LONGEST, every:
     opens = np.r_[True, closes[:-1]]
     place = np.arange(n) - np.maximum.accumulate(np.where(opens, np.arange(n), 0))
     # a window that triggers ends at a word and starts the next chunk
+    hashes = w.hashes()
     triggers = np.zeros(n, bool)
-    triggers[overlap - 1:] = (windows(w.hashes(), overlap) % np.uint64(every) == 0)[
+    triggers[overlap - 1:] = (windows(hashes, overlap) % np.uint64(every) == 0)[
         :n - overlap + 1]
     triggers &= (place >= overlap) & ~closes
     first = np.sort(np.r_[np.flatnonzero(opens), np.flatnonzero(triggers) - overlap + 1])
@@ -93,101 +102,144 @@ def chunks(offsets: np.ndarray, data: np.ndarray, longest: int = LONGEST, every:
     words = np.repeat(w.start - at, size) + np.arange(size.sum())
     even = np.append(w.data, np.uint8(0))[words]
     even[at + size - 1] = np.where(closes, _STOP, _GAP)
-    return strings(even, at[first], at[last] + size[last] - ~closes[last]), w.row[first]
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix64(hashes), out=total[1:])
+    return (strings(even, at[first], at[last] + size[last] - ~closes[last]), w.row[first],
+            mix64(total[last + 1] - total[first]))
+
+
+def packed(texts: pa.Array, n: np.ndarray) -> bytes:
+    """Strings and their numbers as one compressed cell."""
+    batch = pa.RecordBatch.from_arrays([texts, pa.array(n)], ["text", "n"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema,
+                           options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def dealt(lang: str, texts: pa.Array, n: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket: lang, bucket, cell."""
+    order = np.argsort(bucket, kind="stable")
+    buckets, first = np.unique(bucket[order], return_index=True)
+    texts, n = texts.take(pa.array(order)), n[order]
+    ends = np.append(first[1:], len(order))
+    return pa.RecordBatch.from_arrays([
+        pa.array([lang] * len(buckets), pa.string()), pa.array(buckets.astype(np.int64)),
+        pa.array([packed(texts[a:z], n[a:z]) for a, z in zip(first, ends)], pa.binary())],
+        ["lang", "bucket", "cell"])
+
+
+DEALT = "lang string, bucket long, cell binary"
+
+
+def merged(cells: DataFrame, then: Callable[[str, pa.Array, np.ndarray], Iterator[pa.RecordBatch]],
+           schema: str) -> DataFrame:
+    """Adds up equal strings of each bucket and gives them to ``then``, bucket by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*(b.column(i) for i in range(3))))
+        for (lang, _), group in groupby(rows, key=lambda r: (r[0].as_py(), r[1].as_py())):
+            whole = pa.concat_tables(
+                pa.ipc.open_stream(r[2].as_buffer()).read_all() for r in group)
+            whole = whole.group_by("text", use_threads=False).aggregate([("n", "sum")])
+            yield from then(lang, whole["text"].combine_chunks(), whole["n_sum"].to_numpy())
+
+    return cells.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(
+        run, schema)
 
 
-def dictionary(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = LONGEST,
-               every: int = EVERY) -> DataFrame:
-    """Distinct chunks of each language with their frequency: lang, chunk, n."""
+def dictionary_cells(docs: DataFrame, lang: str, text: str, longest: int, every: int,
+                     buckets: int) -> DataFrame:
+    """Chunks with their frequencies, as cells of buckets of chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs = b.column(0).dictionary_encode()
-            codes = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            for first, last, offsets, data in slices(b.column(1)):
-                found, row = chunks(offsets, data, longest, every)
-                if not len(found):
-                    continue
-                found = found.dictionary_encode()
-                both, n = np.unique(
-                    found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                    * len(langs.dictionary) + codes[first:last][row], return_counts=True)
-                yield pa.RecordBatch.from_arrays([
-                    langs.dictionary.take(pa.array(both % len(langs.dictionary))),
-                    found.dictionary.take(pa.array(both // len(langs.dictionary))),
-                    pa.array(n)], ["lang", "chunk", "n"])
+            codes = langs.indices.to_numpy(zero_copy_only=False)
+            for first, last, offsets, data in slices(b.column(1), PARSED_BYTES):
+                found, row, hashes = chunks(offsets, data, longest, every)
+                own = codes[first:last][row]
+                for code in np.unique(own):
+                    at = np.flatnonzero(own == code)
+                    texts = found.take(pa.array(at)).dictionary_encode()
+                    place = texts.indices.to_numpy(zero_copy_only=False)
+                    bucket = np.zeros(len(texts.dictionary), np.uint64)
+                    bucket[place] = hashes[at] % np.uint64(buckets)
+                    yield dealt(langs.dictionary[code].as_py(), texts.dictionary,
+                                np.bincount(place), bucket)
 
     return docs.select(F.coalesce(docs[lang], F.lit("und")).alias("lang"),
-                       docs[text].alias("text")).mapInArrow(
-        run, "lang string, chunk string, n long").groupBy("lang", "chunk").agg(
-        F.sum("n").alias("n"))
+                       docs[text].alias("text")).mapInArrow(run, DEALT)
 
 
-def sums(keys: np.ndarray, check: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A place of each distinct pair of hashes, and the sum of its numbers."""
-    order = np.argsort(keys, kind="stable")
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[order][1:] != keys[order][:-1]
-    if (check[order][1:] != check[order][:-1])[~new[1:]].any():  # one hash, two phrases
-        order = np.lexsort((check, keys))
-        new[1:] = (keys[order][1:] != keys[order][:-1]) | (check[order][1:] != check[order][:-1])
-    return order[new], np.add.reduceat(n[order], np.flatnonzero(new)) if len(n) else n
+def ranked(texts: pa.StringArray) -> tuple[np.ndarray, int]:
+    """Rank of each string among the distinct ones, and their number."""
+    found = texts.dictionary_encode()
+    rank = np.empty(len(found.dictionary), np.int64)
+    rank[pc.sort_indices(found.dictionary).to_numpy()] = np.arange(len(rank))
+    return rank[found.indices.to_numpy()], len(rank)
 
 
-def phrase_counts(found: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """Occurrences of all phrases of up to ``longest`` words: lang, phrase, n.
+def runs(w: WordArrays, own: np.ndarray, ends: np.ndarray, weight: np.ndarray, longest: int
+         ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each number of words: the place of one example of each phrase, and occurrences.
 
-    ``found`` is a dictionary of chunks. The empty phrase has the number of all words.
+    Phrases start at the words ``own`` and lie before ``ends`` (of every word). They are told apart by
+    ranks of their words, so the counts are exact; they come in order.
     """
-    overlap = longest - 1
+    if not len(own):
+        return
+    code, n_words = ranked(strings(w.data, w.start, w.end))
+    key, at = code[own], own
+    for size in range(1, longest + 1):
+        order = np.argsort(key, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        yield size, at[order[new]], np.add.reduceat(weight[at[order]], np.flatnonzero(new))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(new) - 1
+        more = at + size < ends[at]
+        if not more.any():
+            return
+        at = at[more]
+        key = rank[more] * n_words + code[at + size]
+
+
+def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = LONGEST,
+                  least: int = 1, every: int = EVERY) -> DataFrame:
+    """Phrases of up to ``longest`` words that occur ``least`` times or more: lang, phrase, n.
+
+    The empty phrase has the number of all words of the language.
+    """
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    overlap, buckets = longest - 1, max(1, -(-size // PHRASE_BYTES))
 
-    def count(langs: pa.Array, texts: pa.Array, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
-        langs = langs.dictionary_encode()
-        code = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        totals = np.zeros(len(langs.dictionary), np.int64)
+    def count(lang: str, texts: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        words = 0
         for first, last, offsets, data in slices(texts, COUNTED_BYTES):
             w = WordArrays(offsets, data)
-            n = len(w.start)
-            count_, weight = w.counts(), weights[first:last]
-            ends = np.cumsum(count_)[w.row]  # behind the last word of the chunk
+            ends = np.cumsum(w.counts())[w.row]  # behind the last word of the chunk
             whole = (data[offsets[1:] - 1] == _STOP)[w.row]
-            hashes = w.hashes()
-            own = np.flatnonzero(whole | (np.arange(n) < ends - overlap))
-            salt = code[first:last][w.row].astype(np.uint64) * _ODD
-            np.add.at(totals, code[first:last][w.row[own]], weight[w.row[own]])
-            for size in range(1, longest + 1):
-                at = own[own + size <= ends[own]]
-                keys = windows(hashes, size)[at] + salt[at]
-                check = windows(hashes * _ODD, size)[at] + salt[at]
-                example, n_all = sums(keys, check, weight[w.row[at]])
-                at = at[example]
-                yield pa.RecordBatch.from_arrays([
-                    langs.dictionary.take(pa.array(code[first:last][w.row[at]])),
-                    strings(data, w.start[at], w.end[at + size - 1]), pa.array(n_all)],
-                    ["lang", "phrase", "n"])
-        yield pa.RecordBatch.from_arrays([
-            langs.dictionary, pa.array([""] * len(totals), pa.string()), pa.array(totals)],
-            ["lang", "phrase", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            held.append(b)
-            size += b.column(1).nbytes
-            if size >= COUNTED_BYTES:
-                yield from together(held)
-                held, size = [], 0
-        if held:
-            yield from together(held)
-
-    def together(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, texts, n = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
-        if len(n):
-            yield from count(langs, texts, n.to_numpy(zero_copy_only=False))
-
-    return found.select("lang", "chunk", "n").mapInArrow(
-        run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(
-        F.sum("n").alias("n"))
+            own = np.flatnonzero(whole | (np.arange(len(ends)) < ends - overlap))
+            weight = n[first:last][w.row]
+            words += int(weight[own].sum())
+            hashes, found = w.hashes(), []
+            for k, at, sums in runs(w, own, ends, weight, longest):
+                found.append((strings(w.data, w.start[at], w.end[at + k - 1]), sums,
+                              windows(hashes, k)[at] % np.uint64(buckets)))
+            yield dealt(lang, pa.concat_arrays([f[0] for f in found]), *(
+                np.concatenate([f[i] for f in found]) for i in (1, 2)))
+        yield dealt(lang, pa.array([""]), np.array([words]), np.zeros(1, np.uint64))
+
+    def total(lang: str, texts: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kept = pa.array((n >= least) | pc.equal(texts, "").to_numpy(zero_copy_only=False))
+        texts, n = texts.filter(kept), pa.array(n).filter(kept)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(n), pa.string()), texts, n], ["lang", "phrase", "n"])
+
+    found = dictionary_cells(docs, lang, text, longest, every, max(1, -(-size // CHUNK_BYTES)))
+    return merged(merged(found, count, DEALT), total, "lang string, phrase string, n long")
 
 
 def scored(counts: DataFrame) -> DataFrame:
@@ -228,8 +280,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", longes
 
     Columns: lang, rank, phrase, a, l, r, n, score.
     """
-    counts = staged(phrase_counts(dictionary(docs, lang, text, longest, every), longest).where(
-        (F.col("n") >= least) | (F.col("phrase") == "")), "phrase-counts")
+    counts = staged(phrase_counts(docs, lang, text, longest, least, every), "phrase-counts")
     phrases = counts.where(F.col("phrase") != "")
     kept = scored(phrases).where(
         F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))

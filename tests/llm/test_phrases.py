@@ -4,7 +4,6 @@ from collections import Counter
 from fractions import Fraction
 
 import duckdb
-import numpy as np
 import pytest
 from compare import connect, difference
 from hypothesis import given, settings
@@ -73,7 +72,8 @@ def rows_of(frame):
 
 @pytest.mark.parametrize("every,least,share,top", [(8, 10, 50, 2000), (1, 3, 80, 7), (10**6, 2, 50, 50)])
 def test_all_phrases(spark, monkeypatch, every, least, share, top):
-    monkeypatch.setattr(phrases, "COUNTED_BYTES", 2000)
+    for name in ("PARSED_BYTES", "COUNTED_BYTES", "CHUNK_BYTES", "PHRASE_BYTES"):
+        monkeypatch.setattr(phrases, name, 2000)
     rows = odd_texts()
     docs = spark.createDataFrame([(*r, *["x"] * len(CLASHING)) for r in rows], SCHEMA + "".join(
         f", `{c}` string" for c in CLASHING)).repartition(5)
@@ -99,7 +99,7 @@ def test_chunks_overlap_and_cover(texts, longest, every):
             for k in range(1, longest + 1):
                 want.update((i, tuple(words[j:j + k])) for j in range(len(words) - k + 1))
     for _, _, offsets, data in slices(pa.array(texts)):
-        found, row = phrases.chunks(offsets, data, longest, every)
+        found, row, _ = phrases.chunks(offsets, data, longest, every)
         for chunk, i in zip(found.to_pylist(), row):
             words = chunk.split()
             own = len(words) if chunk.endswith("\n") else len(words) - longest + 1
@@ -109,13 +109,6 @@ def test_chunks_overlap_and_cover(texts, longest, every):
     assert got == want
 
 
-def test_equal_hashes_are_told_apart():
-    keys = np.array([5, 7, 5, 5, 7], np.uint64)
-    check = np.array([1, 2, 9, 1, 2], np.uint64)
-    at, n = phrases.sums(keys, check, np.array([1, 2, 4, 8, 16]))
-    assert sorted(zip(keys[at], check[at], n)) == [(5, 1, 9), (5, 9, 4), (7, 2, 18)]
-
-
 def test_counts_beyond_64_bits(spark):
     big = 10**14
     counts = spark.createDataFrame(
