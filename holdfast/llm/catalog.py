@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ["sharding", "scoring", "packing", "mixing", "quality", "ann", "chat", "lines",
-           "urls", "neardup", "prefix_trie", "phrases"]
+           "urls", "neardup", "prefix_trie", "phrases", "secret_scan"]
 
 
 def collect() -> tuple[dict, dict]:
