@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from holdfast.catalog.base import LIMIT, NOW, SCORE, any_rule, prof, scored, union_all
@@ -11,9 +15,11 @@ from holdfast.operators import metrics as mx, rules as ru, stats
 from holdfast.operators.clean import clean_v2, feature_lists
 from holdfast.operators.prep import build_preprocessor
 from holdfast.operators.split import stratified_split
-from holdfast.plans import attribution as at, diagnose as dg, models as md, scoring as sg
+from holdfast.plans import (
+    attribution as at, boosting as bo, diagnose as dg, models as md, scoring as sg, tree_paths as tp,
+)
 from holdfast.plans import train as tr, tuning as tu
-from holdfast.schema import CATEGORICAL, NUMERIC, TARGET
+from holdfast.schema import NUMERIC, TARGET
 from holdfast.sources import sinks as sk, tables as tb
 from holdfast.streaming import alarms as al, capture as cp, windows as wi
 from holdfast.streaming.run import drained, event_stream
@@ -49,8 +55,64 @@ for _i, _name in [
     (5, "decision_tree"),
 ]:
     Q[f"l{_i}_{_name}"] = _trained(_name)
-# The boosting library that is absent becomes Spark's own boosting
 Q["l6_l15_train_eval"] = _trained("xgboost")
+Q["l3_leafwise"] = _trained("lightgbm")
+
+_FIVE = ["Age", "Tenure", "Usage Frequency", "Support Calls", "Payment Delay"]
+
+
+def _root(s, d):
+    """L3: the first split of a boosted tree, with its gradient and hessian sums."""
+    df = tb.profile_table(s, d).dropna()
+    rows = VectorAssembler(inputCols=_FIVE, outputCol="features").transform(
+        df.withColumn("label", F.col(TARGET).cast("double")))
+    (tree,) = bo.Booster(maxIter=1, maxDepth=1, regLambda=1.5, regAlpha=0.25).fit(rows).tree_list()
+    left = tree["left"][0]
+    return s.createDataFrame(
+        [(_FIVE[tree["feature"][0]], tree["threshold"][0], round(tree["gain"][0], 6),
+          tree["cover"][left], round(tree["value"][left], 6), round(tree["value"][left + 1], 6))],
+        "feature string, threshold double, gain double, n_left long, left_value double, "
+        "right_value double")
+
+
+Q["l3_root_split"] = _root
+_SOFT = "power(greatest(abs({0}) - 0.25, 0), 2) / ({1} + 1.5)"
+_LEAF = "round(-0.1 * sign({0}) * greatest(abs({0}) - 0.25, 0) / ({1} + 1.5), 6)"
+S["l3_root_split"] = prof(f"""SELECT feature, threshold, round(gain, 6) AS gain, nl AS n_left,
+    {_LEAF.format("gl", "hl")} AS left_value, {_LEAF.format("gt - gl", "ht - hl")} AS right_value
+  FROM (SELECT *, 0.5 * ({_SOFT.format("gl", "hl")} + {_SOFT.format("gt - gl", "ht - hl")}
+      - {_SOFT.format("gt", "ht")}) AS gain
+    FROM (SELECT j, feature, CAST(v AS DOUBLE) AS threshold, sum(n) OVER w AS nl,
+        sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY j) AS gt,
+        sum(h) OVER (PARTITION BY j) AS ht, sum(n) OVER (PARTITION BY j) AS nt
+      FROM (SELECT j, feature, v, count(*)::BIGINT AS n, sum(0.5 - y)::DOUBLE AS g,
+          (count(*) * 0.25)::DOUBLE AS h
+        FROM ({union_all(f"""SELECT {j} AS j, '{c}' AS feature, "{c}" AS v, "Churn" AS y FROM clean"""
+                         for j, c in enumerate(_FIVE))}) GROUP BY j, feature, v)
+      WINDOW w AS (PARTITION BY j ORDER BY v))
+    WHERE least(hl, ht - hl) >= 1 AND nl < nt)
+  ORDER BY gain DESC, j, threshold LIMIT 1""", "clean AS (SELECT * FROM prof WHERE " + " AND ".join(
+    f'"{c}" IS NOT NULL' for c in NUMERIC) + ")")
+
+
+def _boosters(s, d):
+    """Both ways of growth learn the planted signal and keep their limits."""
+    df = engineer_v1(clean_v2(planted(s, d)))
+    rows = []
+    for name, params in [("xgboost", {"maxIter": 10, "maxDepth": 4, "gamma": 0.1}),
+                         ("lightgbm", {"maxIter": 10, "numLeaves": 9})]:
+        fitted, found = tr.train_eval(df, name, params)
+        trees = fitted.classifier.tree_list()
+        leaves = max(sum(x < 0 for x in t["left"]) for t in trees)
+        rows.append((name, len(trees), found.first()["roc_auc"] > 0.6, leaves <= (
+            2 ** 4 if name == "xgboost" else 9), all(t["gain"][n] > 0 for t in trees for n in t["order"])))
+    return s.createDataFrame(rows, "algorithm string, trees int, learned boolean, within boolean, "
+                                   "all_gain boolean")
+
+
+Q["l3_l6_boosters"] = _boosters
+S["l3_l6_boosters"] = """SELECT * FROM (VALUES ('xgboost', 10, true, true, true),
+  ('lightgbm', 10, true, true, true)) t(algorithm, trees, learned, within, all_gain)"""
 
 Q["l7_class_weights"] = lambda s, d: md.class_weights(tb.customer_profile(s, d))
 S["l7_class_weights"] = prof("""SELECT "Churn" AS value, count(*) AS n,
@@ -353,9 +415,6 @@ S["n4_verdict"] = scored("""SELECT f1, CASE WHEN f1 > 0.95 THEN 'too easy' WHEN
   / (sum(label) + sum(prediction)), 6) AS f1 FROM scored)""")
 Q["n5_leakage_report"] = lambda s, d: dg.leakage_report(planted(s, d), FOREST)
 
-_FIVE = ["Age", "Tenure", "Usage Frequency", "Support Calls", "Payment Delay"]
-
-
 def _closed(df):
     return df.withColumn("p", tb.closed_form_score(digits=None))
 
@@ -376,25 +435,83 @@ S["n8_shap_sampled"] = prof(
 )
 
 
+def _forest(s, d):
+    df = clean_v2(planted(s, d))
+    return md.fit_pipeline(df, md.rf(**FOREST), "random_forest"), df
+
+
 def _shap_model(s, d):
-    """N8 with a trained forest, summed up per feature."""
+    """N8 with a trained forest: exact attributions of every row, summed up per feature."""
+    fitted, df = _forest(s, d)
+    return tp.tree_shap(df, fitted).groupBy("feature").agg(
+        F.round(F.avg(F.abs("shap")), 6).alias("mean_abs_shap"))
+
+
+Q["n8_tree_shap"] = _shap_model
+
+
+def _shap_adds_up(s, d):
+    """The attributions of every row add up to its score."""
     df = clean_v2(planted(s, d))
-    cols = [*NUMERIC, *CATEGORICAL]
-    fitted = md.fit_pipeline(df, md.rf(numTrees=10, maxDepth=4), "random_forest")
-    long = at.shap_sampled(df, fitted.score, df, cols, 2)
-    return long.groupBy("feature").agg(F.round(F.avg(F.abs("shap")), 6).alias("mean_abs_shap"))
+    fitted = md.fit_pipeline(df, md.booster(maxIter=5, maxDepth=4), "xgboost")
+    total = tp.tree_shap(df, fitted).groupBy("row_id").agg(F.sum("shap").alias("total"))
+    both = total.join(fitted.score(df).select(F.col("CustomerID").alias("row_id"), "p"), "row_id")
+    return both.agg(F.count("*").alias("n"), F.count_if(
+        F.abs(1 / (1 + F.exp(-F.col("total"))) - F.col("p")) < 1e-9).alias("equal"))
 
 
-Q["n8_shap_sampled_forest"] = _shap_model
+Q["n8_tree_shap_adds_up"] = _shap_adds_up
+S["n8_tree_shap_adds_up"] = prof("SELECT count(*) AS n, count(*) AS \"equal\" FROM clean", _CLEAN)
 
 
-def _pairs(s, d):
+def _stated_tree(s, d):
+    """A stated tree over two columns, with the shares of the profile's rows."""
     df = tb.profile_table(s, d).dropna()
+    calls, both = F.col("Support Calls") <= 1, (F.col("Support Calls") <= 1) & (
+        F.col("Payment Delay") <= 9)
+    n, n_calls, n_both = df.agg(F.count("*"), F.count_if(calls), F.count_if(both)).first()
+    nodes = {"feature": [0, 1, -1, -1, -1], "threshold": [1.0, 9.0, 0.0, 0.0, 0.0],
+             "left": [1, 3, -1, -1, -1], "right": [2, 4, -1, -1, -1],
+             "value": [0.0, 0.0, 2.0, -1.0, 0.5], "gain": [0.0] * 5, "order": [0, 1],
+             "cover": [n, n_calls, n - n_calls, n_both, n_calls - n_both]}
+    names = ["Support Calls", "Payment Delay"]
+    model = bo.BoostedModel(trees=json.dumps([nodes]), numFeatures=2)
+    pipeline = PipelineModel([VectorAssembler(inputCols=names, outputCol="features"), model])
+    return md.Fitted("stated", pipeline, names), df
+
+
+def _stated_paths(s, d):
+    """Attributions and the interaction of a stated tree, row by row."""
+    fitted, df = _stated_tree(s, d)
+    names = fitted.feature_names
+    shap = tp.tree_shap(df, fitted).groupBy("row_id").agg(*[
+        F.round(F.sum(F.when(F.col("feature") == f, F.col("shap"))), 6).alias(a)
+        for f, a in ((names[0], "shap_calls"), (names[1], "shap_delay"), ("(base)", "base"))])
+    pair = tp.tree_interactions(df, fitted).where("feature_1 <> feature_2").select(
+        "row_id", F.round("interaction", 6).alias("pair"))
+    return shap.join(pair, "row_id")
+
+
+Q["n8_n13_tree_paths"] = _stated_paths
+S["n8_n13_tree_paths"] = prof("""SELECT row_id, round(0.5 * (fc - f0 + fcd - fd), 6) + 0.0 AS shap_calls,
+    round(0.5 * (fd - f0 + fcd - fc), 6) + 0.0 AS shap_delay, round(f0, 6) AS base,
+    round(fcd - fc - fd + f0, 6) + 0.0 AS pair
+  FROM (SELECT *, pc * low + (1 - pc) * 2.0 AS f0, CASE WHEN c THEN low ELSE 2.0 END AS fc,
+      pc * leaf + (1 - pc) * 2.0 AS fd, CASE WHEN c THEN leaf ELSE 2.0 END AS fcd
+    FROM (SELECT "CustomerID" AS row_id, "Support Calls" <= 1 AS c,
+        CAST(CASE WHEN "Payment Delay" <= 9 THEN -1.0 ELSE 0.5 END AS DOUBLE) AS leaf, pc,
+        -pd + 0.5 * (1 - pd) AS low
+      FROM clean, (SELECT avg(CAST("Support Calls" <= 1 AS INTEGER)) AS pc,
+        avg(CAST("Payment Delay" <= 9 AS INTEGER)) FILTER ("Support Calls" <= 1) AS pd FROM clean)))""",
+                              _CLEAN)
+
+
+def _pairs(s, d):
+    """The strongest pairs of a forest, over all its features."""
     from holdfast.operators.rank import top_pairs
-    found = at.interactions(df, _closed, df, _FIVE)
-    return top_pairs(found.withColumn(
-        "interaction_strength", F.round("interaction_strength", 6)
-    ), 5)
+    fitted, df = _forest(s, d)
+    return top_pairs(tp.interaction_strength(df, fitted).withColumn(
+        "interaction_strength", F.round("interaction_strength", 6)), 5)
 
 
 Q["n13_interactions"] = _pairs

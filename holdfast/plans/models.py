@@ -5,18 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import (
+    HasFeaturesCol, HasLabelCol, HasMaxIter, HasStandardization, HasTol, HasWeightCol,
+)
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.operators.clean import feature_lists
 from holdfast.operators.prep import Preprocessor, build_preprocessor
 from holdfast.operators.profile import q
+from holdfast.plans.boosting import Booster
+from holdfast.plans.kernel import KernelClassifier
 from holdfast.schema import TARGET
 
 SEED = 42
@@ -25,28 +33,35 @@ SEED = 42
 ROLES = {"featuresCol": "features", "labelCol": "label"}
 
 
-class RidgeLogistic(LogisticRegression):
+class RidgeLogistic(Estimator, HasFeaturesCol, HasLabelCol, HasWeightCol, HasMaxIter, HasTol,
+                    HasStandardization, DefaultParamsReadable, DefaultParamsWritable):
     """Logistic regression with the inverse regularisation ``C`` of a summed loss.
 
     Spark penalises the mean loss, so the ridge weight is ``1 / (C * n)``, with ``n`` the rows, or
-    the sum of their weights. It is set when the model is fitted, unless ``regParam`` is given.
+    the sum of their weights. It is set when the model is fitted.
     """
 
-    C = 1.0
+    C = Param(Params._dummy(), "C", "inverse weight of the ridge penalty", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, featuresCol="features", labelCol="label", weightCol=None, maxIter=1000,
+                 tol=1e-6, standardization=False, C=1.0):
+        super().__init__()
+        self._setDefault(featuresCol="features", labelCol="label", maxIter=1000, tol=1e-6,
+                         standardization=False, C=1.0)
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _fit(self, dataset):
-        if self.isSet(self.regParam):
-            return super()._fit(dataset)
-        weighted = self.isDefined(self.weightCol) and self.getWeightCol()
-        n = dataset.agg(F.sum(self.getWeightCol()) if weighted else F.count("*")).first()[0]
-        return LogisticRegression._fit(self.copy({self.regParam: 1.0 / (self.C * (n or 1))}), dataset)
+        weighted = weight_of(self)
+        n = dataset.agg(F.sum(weighted[0]) if weighted else F.count("*")).first()[0]
+        given = {p.name: v for p, v in self.extractParamMap().items() if p.name != "C"}
+        return LogisticRegression(regParam=1.0 / (self.getOrDefault("C") * (n or 1)), **given).fit(
+            dataset)
 
 
-def logreg(C: float = 1.0, **params) -> LogisticRegression:
+def logreg(C: float = 1.0, **params) -> RidgeLogistic:
     """Logistic regression; ``C`` is the inverse weight of the ridge penalty."""
-    model = RidgeLogistic(**ROLES, **{"maxIter": 1000, "standardization": False, **params})
-    model.C = C
-    return model
+    return RidgeLogistic(**ROLES, C=C, **params)
 
 
 def rf(**params) -> RandomForestClassifier:
@@ -56,11 +71,27 @@ def rf(**params) -> RandomForestClassifier:
 
 
 def gbt(**params) -> GBTClassifier:
-    """Gradient-boosted trees, for every booster the names below stand for."""
+    """Gradient-boosted trees on first-order gradients."""
     return GBTClassifier(**ROLES, **{"maxIter": 100, "maxDepth": 5, "stepSize": 0.1,
                                      "seed": SEED, **params})
 
 
+def booster(**params) -> Booster:
+    """Second-order boosting by level, with leaf penalties."""
+    return Booster(**ROLES, **{"seed": SEED, **params})
+
+
+def leaf_booster(**params) -> Booster:
+    """Second-order boosting leaf by leaf; its depth is as good as unlimited."""
+    return Booster(**ROLES, **{"numLeaves": 31, "maxDepth": 64, "minInstancesPerNode": 20,
+                               "minChildWeight": 1e-3, "regLambda": 0.0, "seed": SEED, **params})
+
+
+def kernel_svm(**params) -> KernelClassifier:
+    """Margin classifier with a Gaussian kernel and calibrated probabilities."""
+    return KernelClassifier(**ROLES, **{"seed": SEED, **params})
+
+
 def linear_svm(**params) -> Pipeline:
     """Linear margin classifier; a logistic fit of the margin gives probabilities."""
     svc = LinearSVC(**ROLES, **{"maxIter": 100, "predictionCol": "_margin_label",
@@ -78,15 +109,16 @@ FACTORY: dict[str, Callable[..., Estimator]] = {
     "logistic_regression": logreg,
     "random_forest": rf,
     "gradient_boosting": gbt,
-    "xgboost": gbt,
-    "lightgbm": gbt,
-    "svm": linear_svm,
+    "xgboost": booster,
+    "lightgbm": leaf_booster,
+    "svm": kernel_svm,
+    "linear_svm": linear_svm,
     "decision_tree": tree,
 }
 
 
 def make_model(name: str, params: dict | None = None) -> Estimator:
-    """Estimator by name. Boosting libraries that are absent mean Spark's own boosting."""
+    """Estimator by name. The names of boosting libraries mean growth by level and by leaf."""
     if name not in FACTORY:
         raise ValueError(f"unknown algorithm {name!r}; choose from {sorted(FACTORY)}")
     return FACTORY[name](**(params or {}))
@@ -162,7 +194,7 @@ class Fitted:
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``prediction`` (int), ``p`` (of class 1) and ``confidence``; vectors are dropped."""
         extra = ["features", "rawPrediction", "probability", "_margin", "_margin_label",
-                 "_margin_vector", *[f"_f{i}" for i in range(len(self.feature_names))]]
+                 "_margin_vector", "_kernel", *[f"_f{i}" for i in range(len(self.feature_names))]]
         both = vector_to_array("probability")
         return (
             self.pipeline.transform(df)

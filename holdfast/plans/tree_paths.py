@@ -27,7 +27,7 @@ from pyspark.ml.classification import (
     DecisionTreeClassificationModel, GBTClassificationModel, RandomForestClassificationModel,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.operators.profile import q
@@ -62,20 +62,22 @@ def trees_of(model) -> list[dict]:
     kinds = (DecisionTreeClassificationModel, RandomForestClassificationModel, GBTClassificationModel)
     if not isinstance(model, kinds):
         raise ValueError(f"no tree model: {type(model).__name__}")
+    spark = SparkSession.getActiveSession()
+    path = f"{run_dir(spark)}/trees-{uuid.uuid4().hex}"
+    model.write().save(path)
+    saved = spark.read.parquet(f"{path}/data")
+    if isinstance(model, DecisionTreeClassificationModel):
+        saved = saved.select(F.lit(0).alias("treeID"), F.struct("*").alias("nodeData"))
+    nodes: dict[int, list] = {}
+    for r in saved.collect():
+        nodes.setdefault(r["treeID"], []).append(r["nodeData"])
     boosted = isinstance(model, GBTClassificationModel)
-    trees = [model] if isinstance(model, DecisionTreeClassificationModel) else model.trees
-    weights = model.treeWeights if boosted else [1.0 / len(trees)] * len(trees)
-    return [_nodes(t, w, boosted) for t, w in zip(trees, weights)]
+    weights = model.treeWeights if boosted else [1.0 / len(nodes)] * len(nodes)
+    return [_nodes(sorted(nodes[i], key=lambda n: n["id"]), weights[i], boosted) for i in sorted(nodes)]
 
 
-def _nodes(tree, weight: float, boosted: bool) -> dict:
+def _nodes(rows: list, weight: float, boosted: bool) -> dict:
     """Nodes of one of Spark's trees, as it saves them."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    path = f"{run_dir(spark)}/tree-{uuid.uuid4().hex}"
-    tree.write().save(path)
-    rows = sorted(spark.read.parquet(f"{path}/data").collect(), key=lambda r: r["id"])
     out = {k: [] for k in ("feature", "threshold", "left", "right", "value", "cover")}
     for r in rows:
         stats, split = r["impurityStats"], r["split"]

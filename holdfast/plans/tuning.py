@@ -17,19 +17,21 @@ from holdfast.schema import ID, TARGET
 from holdfast.session import staged
 
 # Search grids, in the names of Spark's parameters. The imbalance handling of each
-# library is a weight column here. Parameters without a counterpart in Spark (leaf penalties, number
-# of leaves, minimum split size) are left out.
+# library is a weight column here; no limit of depth is a depth of 64. The minimum split size of
+# forests has no counterpart in Spark.
 GRIDS_V1 = {
     "xgboost": {
         "maxIter": [200, 400, 600, 800], "maxDepth": [4, 6, 8, 10],
         "stepSize": [0.01, 0.05, 0.1], "subsamplingRate": [0.7, 0.8, 0.9],
-        "featureSubsetStrategy": ["0.7", "0.8", "0.9"], "minInfoGain": [0.0, 0.1, 0.2],
-        "minInstancesPerNode": [1, 3, 5],
+        "featureFraction": [0.7, 0.8, 0.9], "minChildWeight": [1.0, 3.0, 5.0],
+        "gamma": [0.0, 0.1, 0.2], "regAlpha": [0.0, 0.01, 0.1], "regLambda": [1.0, 1.5, 2.0],
     },
     "lightgbm": {
-        "maxIter": [200, 400, 600, 800], "maxDepth": [4, 6, 8, 15],
-        "stepSize": [0.01, 0.05, 0.1], "subsamplingRate": [0.7, 0.8, 0.9],
-        "featureSubsetStrategy": ["0.7", "0.8", "0.9"], "minInstancesPerNode": [10, 20, 50],
+        "maxIter": [200, 400, 600, 800], "maxDepth": [4, 6, 8, 64],
+        "stepSize": [0.01, 0.05, 0.1], "numLeaves": [31, 50, 80, 127],
+        "subsamplingRate": [0.7, 0.8, 0.9], "featureFraction": [0.7, 0.8, 0.9],
+        "minInstancesPerNode": [10, 20, 50], "regAlpha": [0.0, 0.01, 0.1],
+        "regLambda": [0.0, 1.0, 2.0],
     },
     "random_forest": {
         "numTrees": [200, 300, 500], "maxDepth": [10, 15, 20],
@@ -40,14 +42,16 @@ GRIDS_V2 = {
     "xgboost": {
         "maxIter": [200, 400, 600], "maxDepth": [4, 6, 8],
         "stepSize": [0.01, 0.05, 0.1], "subsamplingRate": [0.7, 0.8, 0.9],
-        "featureSubsetStrategy": ["0.7", "0.8", "0.9"], "minInfoGain": [0.0, 0.1, 0.3],
-        "minInstancesPerNode": [1, 3, 5, 10],
+        "featureFraction": [0.7, 0.8, 0.9], "minChildWeight": [1.0, 3.0, 5.0, 10.0],
+        "gamma": [0.0, 0.1, 0.3], "regAlpha": [0.0, 0.01, 0.1], "regLambda": [1.0, 1.5, 2.0],
         "weightCol": ["w_none", "w_positive_3", "w_positive_6"],
     },
     "lightgbm": {
-        "maxIter": [200, 400, 600], "maxDepth": [4, 6, 8, 15],
-        "stepSize": [0.01, 0.05, 0.1], "subsamplingRate": [0.7, 0.8, 0.9],
-        "featureSubsetStrategy": ["0.7", "0.8", "0.9"], "minInstancesPerNode": [10, 20, 50],
+        "maxIter": [200, 400, 600], "maxDepth": [4, 6, 8, 64],
+        "stepSize": [0.01, 0.05, 0.1], "numLeaves": [31, 50, 80],
+        "subsamplingRate": [0.7, 0.8, 0.9], "featureFraction": [0.7, 0.8, 0.9],
+        "minInstancesPerNode": [10, 20, 50], "regAlpha": [0.0, 0.01, 0.1],
+        "regLambda": [0.0, 1.0, 2.0],
         "weightCol": ["w_unbalanced", "w_none"],
     },
     "random_forest": {
@@ -66,7 +70,8 @@ RANGES = {
     "xgboost": {
         "maxIter": ("int", 50, 300), "maxDepth": ("int", 3, 12),
         "stepSize": ("log", 0.01, 0.3), "subsamplingRate": ("float", 0.6, 1.0),
-        "minInfoGain": ("float", 0.0, 5.0),
+        "featureFraction": ("float", 0.6, 1.0), "gamma": ("float", 0.0, 5.0),
+        "regAlpha": ("float", 0.0, 1.0), "regLambda": ("float", 0.0, 1.0),
     },
     "gradient_boosting": {
         "maxIter": ("int", 50, 300), "maxDepth": ("int", 3, 15),
