@@ -1,13 +1,14 @@
 """Operator 1. Sharding by histogram sort.
 
-Rows are ordered by (hash of the text, doc_id). Boundaries between shards are found by counting:
+Rows are ordered by (hash of the text, doc_id, row number). Boundaries between shards are found by counting:
 every round counts the exact bytes below a set of candidate keys in all partitions, and the next
 round puts its candidates only between the two that enclose a target. When every boundary is near
 enough, the rows are exchanged once, by range.
 
 Copies of a text are neighbours in this order. A boundary is moved to the edge of a group of
 copies when the group is small; only groups above ``group_tolerance`` of a shard are split, between
-two doc_ids. So one text that holds a third of the table still gives equal shards.
+two doc_ids, or between equal rows by their number. So one text, or one row, that holds a third of the
+table still gives equal shards.
 """
 
 from __future__ import annotations
@@ -34,18 +35,32 @@ GROUP_TOLERANCE = 0.01
 MAX_ROUNDS = 64
 
 _LOW = -(2**63)
-Key = tuple[int, int]
+Key = tuple[int, int, int]
 
 
-def positions(k1: np.ndarray, k2: np.ndarray, at: list[Key]) -> np.ndarray:
-    """Number of sorted keys below each candidate."""
-    p1 = np.array([p[0] for p in at], np.int64)
-    lo, hi = np.searchsorted(k1, p1, "left"), np.searchsorted(k1, p1, "right")
-    for i in np.flatnonzero(hi > lo):
-        lo[i] += np.searchsorted(k2[lo[i]:hi[i]], at[i][1], "left")
+def positions(*keys_and_at) -> np.ndarray:
+    """Number of sorted keys below each candidate; one array for each part of the key, then candidates."""
+    *keys, at = keys_and_at
+    first = np.array([p[0] for p in at], np.int64)
+    lo, hi = np.searchsorted(keys[0], first, "left"), np.searchsorted(keys[0], first, "right")
+    if len(keys) > 1:
+        for i in np.flatnonzero(hi > lo):
+            lo[i] += positions(*(k[lo[i]:hi[i]] for k in keys[1:]), [at[i][1:]])[0]
     return lo
 
 
+def at_or_below(cuts: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
+    """Number of sorted cuts that are not above each row, both given by the parts of their keys."""
+    lo, hi = np.searchsorted(cuts[0], rows[0], "left"), np.searchsorted(cuts[0], rows[0], "right")
+    if len(cuts) == 1:
+        return hi
+    out = lo.copy()
+    for v in np.unique(lo[hi > lo]):
+        at = np.flatnonzero((lo == v) & (hi > lo))
+        out[at] += at_or_below([c[v:hi[at[0]]] for c in cuts[1:]], [r[at] for r in rows[1:]])
+    return out
+
+
 def histogram(keys: DataFrame, at: list[Key]) -> list:
     """Per interval between candidates: bytes, rows, least and greatest key. At most one row each."""
 
@@ -53,23 +68,25 @@ def histogram(keys: DataFrame, at: list[Key]) -> list:
         for b in batches:
             if not b.num_rows:
                 continue
-            k1, k2, size = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            order = np.lexsort((k2, k1))
-            k1, k2, size = k1[order], k2[order], size[order]
-            cut = np.concatenate([[0], positions(k1, k2, at), [len(k1)]]).astype(np.int64)
+            *key, size = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            order = np.lexsort(key[::-1])
+            key, size = [k[order] for k in key], size[order]
+            below = positions(*key, at) if at else []
+            cut = np.concatenate([[0], below, [len(size)]]).astype(np.int64)
             total = np.concatenate([[0], np.cumsum(size)])
             part = np.flatnonzero(cut[1:] > cut[:-1])
             a, z = cut[part], cut[part + 1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (part, total[z] - total[a], z - a, k1[a], k2[a], k1[z - 1],
-                                       k2[z - 1])],
-                ["part", "size", "n", "a1", "a2", "z1", "z2"])
+                [pa.array(x) for x in (part, total[z] - total[a], z - a, *(k[a] for k in key),
+                                       *(k[z - 1] for k in key))],
+                ["part", "size", "n", "a1", "a2", "a3", "z1", "z2", "z3"])
 
-    found = keys.select("k1", "k2", "size").mapInArrow(
-        count, "part long, size long, n long, a1 long, a2 long, z1 long, z2 long")
+    found = keys.select("k1", "k2", "k3", "size").mapInArrow(
+        count, "part long, size long, n long, a1 long, a2 long, a3 long, z1 long, z2 long, z3 long")
     return found.groupBy("part").agg(
         F.sum("size").alias("size"), F.sum("n").alias("n"),
-        F.min(F.struct("a1", "a2")).alias("least"), F.max(F.struct("z1", "z2")).alias("most"),
+        F.min(F.struct("a1", "a2", "a3")).alias("least"),
+        F.max(F.struct("z1", "z2", "z3")).alias("most"),
     ).orderBy("part").collect()
 
 
@@ -80,13 +97,14 @@ class Bracket:
         self.target, self.least, self.most, self.below, self.inside = target, least, most, 0, total
         self.found: Key | None = None
 
-    def candidates(self, n: int, second: Key) -> list[Key]:
-        """Keys spread evenly over the bracket; the second key runs over the range ``second``."""
-        width = second[1] - second[0] + 2
-        flat = [(k[0] - _LOW) * width + k[1] - second[0] for k in (self.least, self.most)]
+    def candidates(self, n: int, edges: list[tuple[int, int]]) -> list[Key]:
+        """Keys spread evenly over the bracket; ``edges`` are the ranges of the second and third key."""
+        (a2, z2), (a3, z3) = edges
+        w2, w3 = z2 - a2 + 2, z3 - a3 + 2
+        flat = [((k[0] - _LOW) * w2 + k[1] - a2) * w3 + k[2] - a3 for k in (self.least, self.most)]
         span = flat[1] + 1 - flat[0]
         spots = {flat[0] + span * i // (n + 1) for i in range(1, n + 1)} | {flat[1] + 1}
-        return [(s // width + _LOW, s % width + second[0]) for s in spots if s > flat[0]]
+        return [(s // w3 // w2 + _LOW, s // w3 % w2 + a2, s % w3 + a3) for s in spots if s > flat[0]]
 
     def narrow(self, at: list[Key], cells: dict, starts: list[int], tol: float, group: float):
         """Use a round's counts: settle, or keep the cell that holds the target."""
@@ -100,7 +118,7 @@ class Bracket:
                 break
         end = self.below + self.inside
         low, high = self.target - self.below, end - self.target
-        after = (self.most[0], self.most[1] + 1)
+        after = (*self.most[:2], self.most[2] + 1)
         whole = self.least[0] == self.most[0] and self.inside <= group
         if min(low, high) <= tol or self.least == self.most or whole:
             self.found = self.least if low <= high else after
@@ -110,21 +128,21 @@ def splitters(keys: DataFrame, parts: int, shards: int, tolerance: float = TOLER
               group_tolerance: float = GROUP_TOLERANCE) -> list[Key]:
     """Keys that cut the table into ``parts`` ranges of nearly equal bytes; a key starts its range.
 
-    ``keys`` has long columns k1, k2 without nulls and ``size``. Only histograms of at most
+    ``keys`` has long columns k1, k2, k3 without nulls and ``size``. Only histograms of at most
     ``parts * (PROBES + 1)`` rows reach the driver.
     """
     whole = histogram(keys, [])
     if not whole:
         return []
     total, least, most = whole[0]["size"], tuple(whole[0]["least"]), tuple(whole[0]["most"])
-    edge = keys.agg(F.min("k2"), F.max("k2")).first()
+    a2, z2, a3, z3 = keys.agg(F.min("k2"), F.max("k2"), F.min("k3"), F.max("k3")).first()
     shard = total / shards
     open_ = [Bracket(total * j / parts, least, most, total) for j in range(1, parts)]
     every = list(open_)
     for _ in range(MAX_ROUNDS):
         if not open_:
             break
-        at = sorted({c for b in open_ for c in b.candidates(PROBES, tuple(edge))}
+        at = sorted({c for b in open_ for c in b.candidates(PROBES, [(a2, z2), (a3, z3)])}
                     | {k for b in open_ for k in (b.least,)})
         cells = {r["part"]: r for r in histogram(keys, at)}
         starts, run = {}, 0
@@ -138,18 +156,13 @@ def splitters(keys: DataFrame, parts: int, shards: int, tolerance: float = TOLER
 
 
 def range_of(cuts: list[Key]):
-    """Function of Arrow batches that appends the range of (k1, k2): the splitters at or below it."""
-    c1 = np.array([c[0] for c in cuts], np.int64)
-    c2 = np.array([c[1] for c in cuts], np.int64)
+    """Function of Arrow batches that appends the range of a key: the splitters at or below it."""
+    own = [np.array([c[i] for c in cuts], np.int64) for i in range(3)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k1, k2 = (b.column(n).to_numpy(zero_copy_only=False) for n in ("k1", "k2"))
-            lo, hi = np.searchsorted(c1, k1, "left"), np.searchsorted(c1, k1, "right")
-            out = lo.copy()
-            for v in np.unique(lo[hi > lo]):
-                rows = np.flatnonzero((lo == v) & (hi > lo))
-                out[rows] += np.searchsorted(c2[v:hi[rows[0]]], k2[rows], "right")
+            out = at_or_below(own, [b.column(n).to_numpy(zero_copy_only=False)
+                                    for n in ("k1", "k2", "k3")])
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(out.astype(np.int32))], [*b.schema.names, "range"])
 
@@ -162,13 +175,14 @@ def _with_range(df: DataFrame) -> StructType:
 
 def shard_rows(df: DataFrame, shards: int = SHARDS, pieces: int = PIECES,
                tolerance: float = TOLERANCE) -> DataFrame:
-    """Append ``shard`` and ``slot`` to rows with key columns ``k1``, ``k2`` and bytes ``size``.
+    """Append ``shard`` and ``slot`` to rows with key columns ``k1``, ``k2``, ``k3`` and bytes ``size``.
 
-    Null keys order first, null sizes count as nothing. Rows that agree in both keys stay in one
-    range. Columns of the frame named ``range``, ``shard`` or ``slot`` are replaced. ``df`` is read
+    Null keys order first, null sizes count as nothing; ``k3`` may be absent. Rows that agree in all keys
+    stay in one range, so number repeated rows in ``k3``. Columns of the frame named ``range``, ``shard`` or ``slot`` are replaced. ``df`` is read
     several times, so give a written table. An empty table gives no rows.
     """
     df = df.drop("range", "shard", "slot").withColumns({
+        "k3": F.coalesce("k3", F.lit(0)).cast("long") if "k3" in df.columns else F.lit(0).cast("long"),
         "k1": F.coalesce("k1", F.lit(_LOW)), "k2": F.coalesce("k2", F.lit(_LOW + 1)),
         "size": F.coalesce("size", F.lit(0)),
     })
@@ -180,7 +194,7 @@ def shard_rows(df: DataFrame, shards: int = SHARDS, pieces: int = PIECES,
         offsets.append(run)
         run += counts.get(i, 0)
     ranged = df.mapInArrow(range_of(cuts), _with_range(df))
-    order = Window.partitionBy("range").orderBy("k1", "k2")
+    order = Window.partitionBy("range").orderBy("k1", "k2", "k3")
     first = F.element_at(F.array(*[F.lit(n).cast("long") for n in offsets]), F.col("range") + 1)
     return ranged.withColumns({
         "shard": (F.col("range") / pieces).cast("int"),
@@ -192,12 +206,12 @@ def write_shards(docs: DataFrame, path: str, text: str = "text", key: str = "doc
                  shards: int = SHARDS) -> None:
     """Write whole documents, one folder per shard, each file sorted by the sort key."""
     keyed = docs.withColumns(_keys(text, key))
-    narrow = staged(keyed.select("k1", "k2", "size"), "shard-keys")
+    narrow = staged(keyed.select("k1", "k2", "k3", "size"), "shard-keys")
     cuts = splitters(narrow, shards * PIECES, shards)
     ranged = keyed.mapInArrow(range_of(cuts), _with_range(keyed))
     (ranged.withColumn("shard", (F.col("range") / PIECES).cast("int"))
-     .repartition(shards * PIECES, "range").sortWithinPartitions("range", "k1", "k2")
-     .drop("k1", "k2", "size", "range").write.partitionBy("shard").parquet(path))
+     .repartition(shards * PIECES, "range").sortWithinPartitions("range", "k1", "k2", "k3")
+     .drop("k1", "k2", "k3", "size", "range").write.partitionBy("shard").parquet(path))
 
 
 def _keys(text: str, key: str) -> dict:
@@ -205,6 +219,7 @@ def _keys(text: str, key: str) -> dict:
     return {
         "k1": F.xxhash64(body),
         "k2": F.coalesce(F.col(key).cast("long"), F.lit(_LOW + 1)),
+        "k3": F.monotonically_increasing_id(),
         "size": F.octet_length(body).cast("long") + 8,
     }
 

@@ -50,6 +50,19 @@ def test_hot_key_is_split_between_ids(spark):
     assert max(abs(r["count"] - 2500) for r in done) <= 10
 
 
+@pytest.mark.parametrize("doc_id", [9999, None])
+def test_hot_row_is_split(spark, tmp_path, doc_id):
+    """One row many times over, also without id: equal shards."""
+    rows = [(i, f"text {i} " * 3) for i in range(2400)] + [(doc_id, "again and again " * 2)] * 1200
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(
+        f"{tmp_path}/documents.parquet")
+    check(sharding.op1_histogram_sort(spark, str(tmp_path)).collect(), rows, 0.05)
+    got = sharding.op1_histogram_sort(spark, str(tmp_path)).groupBy("shard").agg(
+        F.sum("size").alias("size")).collect()
+    mean = sum(r["size"] for r in got) / 24
+    assert len(got) == 24 and max(abs(r["size"] - mean) for r in got) <= 0.05 * mean
+
+
 def test_small_groups_stay_whole(spark):
     """Copies that are small against a shard share one."""
     rows = spark.range(40_000).select(
