@@ -16,7 +16,8 @@ from holdfast.operators.clean import clean_v2, feature_lists
 from holdfast.operators.prep import build_preprocessor
 from holdfast.operators.split import stratified_split
 from holdfast.plans import (
-    attribution as at, boosting as bo, diagnose as dg, models as md, scoring as sg, tree_paths as tp,
+    attribution as at, boosting as bo, diagnose as dg, models as md, scoring as sg, search as se,
+    tree_paths as tp,
 )
 from holdfast.plans import train as tr, tuning as tu
 from holdfast.schema import NUMERIC, TARGET
@@ -142,12 +143,32 @@ Q["l8_random_search"] = _search
 def _quick(s, d):
     df, pre = _prepared(s, d)
     space = {**tu.RANGES["random_forest"], "numTrees": ("int", 5, 15), "maxDepth": ("int", 3, 6)}
-    return tu.quick_tune(df, "random_forest", pre, 3, 2, space=space)
+    return se.quick_tune(df, "random_forest", pre, 3, 2, space=space)
 
 
 Q["l9_l16_quick_tune"] = _quick
 
 
+def _search_holds(s, d):
+    """A search from its ledger alone gives the same trials; the best one is completed and learns."""
+    df, pre = _prepared(s, d)
+    space = {"maxDepth": ("int", 2, 8), "minInstancesPerNode": ("int", 1, 10)}
+    path = sk.fresh_path(s, "ledger")
+    first, again = (se.search(df, "decision_tree", space, 6, 3, pre, ledger=path) for _ in range(2))
+    scores = s.read.parquet(path).count()
+    trials = first[2].collect()
+    return s.createDataFrame([(
+        len(trials), first[:2] == again[:2] and trials == again[2].collect(),
+        scores == sum(t["rungs"] for t in trials), first[1] > 0.6,
+        first[1] == max(t["objective"] for t in trials if t["status"] == "Completed"))],
+        "trials int, same_again boolean, scored_once boolean, learned boolean, best_completed boolean")
+
+
+Q["l9_search_ledger"] = _search_holds
+S["l9_search_ledger"] = """SELECT 6 AS trials, true AS same_again, true AS scored_once,
+  true AS learned, true AS best_completed"""
+
+
 def _stacked(s, d):
     df = clean_v2(planted(s, d))
     marked = stratified_split(df, TARGET)
@@ -562,14 +583,15 @@ S["p1_stream_sum_300"] = (
     + """) WHERE "end" <= (SELECT max(ts) FROM metrics) - INTERVAL 10 MINUTES"""
 )
 
-Q["p2_window_percentiles"] = lambda s, d: wi.window_percentiles(
-    tb.metrics_table(s, d, ["ModelLatency"]), period_s=3600
-).select("endpoint", "metric", "start", "end", *[F.round(p, 4).alias(p) for p in
-                                                 ("p50", "p90", "p99")])
-S["p2_window_percentiles"] = f"""WITH {METRICS} SELECT endpoint, metric, {_bucket(3600)} AS start,
-  {_bucket(3600)} + INTERVAL '3600 seconds' AS "end", round(quantile_cont(value, 0.5), 4) AS p50,
-  round(quantile_cont(value, 0.9), 4) AS p90, round(quantile_cont(value, 0.99), 4) AS p99
-  FROM metrics WHERE metric = 'ModelLatency' GROUP BY ALL"""
+for _name, _sec in (("p2_window_percentiles", 3600), ("p2_window_percentiles_60", 60)):
+    Q[_name] = lambda s, d, sec=_sec: wi.window_percentiles(
+        tb.metrics_table(s, d, ["ModelLatency"]), period_s=sec
+    ).select("endpoint", "metric", "start", "end", *[F.round(p, 4).alias(p) for p in
+                                                     ("p50", "p90", "p99")])
+    S[_name] = f"""WITH {METRICS} SELECT endpoint, metric, {_bucket(_sec)} AS start,
+      {_bucket(_sec)} + INTERVAL '{_sec} seconds' AS "end", round(quantile_cont(value, 0.5), 4) AS p50,
+      round(quantile_cont(value, 0.9), 4) AS p90, round(quantile_cont(value, 0.99), 4) AS p99
+      FROM metrics WHERE metric = 'ModelLatency' GROUP BY ALL"""
 
 
 def _alarm_sql(spec, tag, disc=False):
@@ -610,6 +632,9 @@ SPECS = {
     "p6_high_memory": al.HIGH_MEMORY.every(300),
     "p6_high_disk": al.HIGH_DISK.every(300),
     "p8_volume_anomaly": al.VOLUME_ANOMALY.every(1800),
+    # the declared periods
+    "p3_high_5xx_60": al.HIGH_5XX, "p4_high_latency_60": al.HIGH_LATENCY,
+    "p8_volume_anomaly_300": al.VOLUME_ANOMALY,
 }
 for _name, _spec in SPECS.items():
     Q[_name] = lambda s, d, spec=_spec: al.alarm_batch(

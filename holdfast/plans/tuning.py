@@ -145,16 +145,6 @@ def _text(params: dict) -> str:
     return ", ".join(f"{k}={v}" for k, v in params.items())
 
 
-def quick_tune(df: DataFrame, algorithm: str, pre, max_jobs: int = 5, folds: int = 3,
-               target: str = TARGET, id_col: str = ID, space: dict | None = None) -> DataFrame:
-    """Search with default ranges and the AUC objective, two trials at a time."""
-    space = space or RANGES[algorithm]
-    _, _, trials = random_search(
-        df, algorithm, space, max_jobs, folds, pre, target, id_col, auc(), parallelism=2
-    )
-    return tuning_summary(trials)
-
-
 def tuning_summary(trials: DataFrame) -> DataFrame:
     """Trials, finished trials, and the best one; the lowest name wins ties."""
     scored = F.col("objective").isNotNull()
