@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 from pyspark.ml import PipelineModel
@@ -22,7 +23,7 @@ from holdfast.plans import (
 from holdfast.plans import train as tr, tuning as tu
 from holdfast.schema import NUMERIC, TARGET
 from holdfast.sources import sinks as sk, tables as tb
-from holdfast.streaming import alarms as al, capture as cp, windows as wi
+from holdfast.streaming import alarms as al, capture as cp, percentiles as pt, windows as wi
 from holdfast.streaming.run import drained, event_stream
 
 Q, S = {}, {}
@@ -594,6 +595,42 @@ for _name, _sec in (("p2_window_percentiles", 3600), ("p2_window_percentiles_60"
       FROM metrics WHERE metric = 'ModelLatency' GROUP BY ALL"""
 
 
+def _cells_sql(live):
+    closed = """WHERE "end" <= (SELECT max(ts) FROM metrics WHERE metric = 'ModelLatency')
+      - INTERVAL 10 MINUTES""" if live else ""
+    grow = pt.factor()
+    return f"""WITH {METRICS}, cells AS (SELECT * FROM (SELECT endpoint, metric, {_bucket(60)} AS start,
+        {_bucket(60)} + INTERVAL '60 seconds' AS "end", CASE WHEN value = 0 THEN 0 ELSE sign(value)
+          * (ceil(ln(abs(value)) / {math.log(grow)!r}) + 10000000) END::BIGINT AS cell, count(*) AS n
+      FROM metrics WHERE metric = 'ModelLatency' GROUP BY ALL) {closed}
+    ), longer AS (SELECT endpoint, metric, time_bucket(INTERVAL '300 seconds', start) AS start, cell,
+        sum(n) AS n FROM cells GROUP BY ALL
+    ), placed AS (SELECT *, sum(n) OVER (PARTITION BY endpoint, metric, start ORDER BY cell) AS upto,
+        sum(n) OVER (PARTITION BY endpoint, metric, start) AS total FROM longer
+    ), middles AS (SELECT *, CASE WHEN cell = 0 THEN 0 ELSE sign(cell) * power({grow!r},
+        abs(cell) - 10000000) * {2 / (grow + 1)!r} END AS v FROM placed)
+    SELECT endpoint, metric, start, start + INTERVAL '300 seconds' AS "end", total::BIGINT AS n,
+      round(min(v) FILTER (upto >= ceil(total * CAST(0.5 AS DOUBLE))), 4) AS p50,
+      round(min(v) FILTER (upto >= ceil(total * CAST(0.9 AS DOUBLE))), 4) AS p90,
+      round(min(v) FILTER (upto >= ceil(total * CAST(0.99 AS DOUBLE))), 4) AS p99
+    FROM middles GROUP BY endpoint, metric, start, total"""
+
+
+def _states(cells):
+    """Percentiles of 300 s, merged from states of 60 s."""
+    found = pt.read_states(pt.states(pt.merged_cells(cells, 300)))
+    return found.select("endpoint", "metric", "start", "end", "n", *[
+        F.round(p, 4).alias(p) for p in ("p50", "p90", "p99")])
+
+
+Q["p2_merged_states"] = lambda s, d: _states(
+    pt.percentile_cells(tb.metrics_table(s, d, ["ModelLatency"])))
+S["p2_merged_states"] = _cells_sql(False)
+Q["p2_merged_states_stream"] = lambda s, d: _states(drained(
+    pt.percentile_cells(tb.endpoint_metrics(event_stream(s, d), ["ModelLatency"])), "p2_states"))
+S["p2_merged_states_stream"] = _cells_sql(True)
+
+
 def _alarm_sql(spec, tag, disc=False):
     """CTEs that end in ``t_<tag>`` with the transitions of an alarm."""
     sec = spec.period_s
