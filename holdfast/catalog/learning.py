@@ -457,6 +457,28 @@ S["n8_shap_sampled"] = prof(
 )
 
 
+def _kernel(s, d):
+    """Kernel-weighted attributions of a closed form over five columns and twenty background rows."""
+    df = tb.profile_table(s, d).dropna()
+    found = at.kernel_shap(df, _closed, df.orderBy("CustomerID").limit(20), _FIVE)
+    return found.groupBy("row_id").agg(*[
+        F.round(F.sum(F.when(F.col("feature") == f, F.col("shap"))), 6).alias(a) for f, a in (
+            ("Support Calls", "shap_calls"), ("Payment Delay", "shap_delay"), ("(base)", "base"))],
+        F.max(F.when(F.col("feature").isin(_FIVE[:3]), F.abs("shap"))).alias("others")).withColumn(
+        "others", F.round("others", 9))
+
+
+Q["n8_kernel_shap"] = _kernel
+_P = "1.0 / (1.0 + exp(-(CAST(0.1 AS DOUBLE) * ({c} - 2) + CAST(0.05 AS DOUBLE) * ({d} - 10))))"
+S["n8_kernel_shap"] = prof(f"""SELECT row_id, round(0.5 * (fc - f0 + f - fd), 6) + 0.0 AS shap_calls,
+    round(0.5 * (fd - f0 + f - fc), 6) + 0.0 AS shap_delay, round(f0, 6) AS base, 0.0::DOUBLE AS others
+  FROM (SELECT x.id AS row_id, avg({_P.format(c="x.c", d="x.d")}) AS f, avg({_P.format(c="x.c", d="b.d")})
+      AS fc, avg({_P.format(c="b.c", d="x.d")}) AS fd, avg({_P.format(c="b.c", d="b.d")}) AS f0
+    FROM (SELECT "CustomerID" AS id, "Support Calls" AS c, "Payment Delay" AS d FROM clean) x,
+      (SELECT "Support Calls" AS c, "Payment Delay" AS d FROM clean ORDER BY "CustomerID" LIMIT 20) b
+    GROUP BY x.id)""", _CLEAN)
+
+
 def _forest(s, d):
     df = clean_v2(planted(s, d))
     return md.fit_pipeline(df, md.rf(**FOREST), "random_forest"), df
