@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import math
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.ml import PipelineModel
@@ -695,6 +697,8 @@ SPECS = {
     "p3_high_5xx_60": al.HIGH_5XX, "p4_high_latency_60": al.HIGH_LATENCY,
     "p8_volume_anomaly_300": al.VOLUME_ANOMALY,
 }
+# hourly periods of a daily season
+SEASONAL = al.SEASONAL_ANOMALY.every(3600)
 for _name, _spec in SPECS.items():
     Q[_name] = lambda s, d, spec=_spec: al.alarm_batch(
         tb.metrics_table(s, d, [spec.metric]), spec
@@ -739,6 +743,28 @@ for _name in ("p4_high_latency", "p5_no_invocations", "p8_volume_anomaly"):
       SELECT * FROM t_a WHERE "at" <= (SELECT max(ts) FROM metrics WHERE metric = '{_spec.metric}')
         - INTERVAL 10 MINUTES"""
 
+Q["p8_seasonal_anomaly"] = lambda s, d: al.alarm_batch(
+    tb.metrics_table(s, d, ["Invocations"]), SEASONAL)
+
+
+def _seasonal_twins(s, d):
+    """Batch and stream agree on every single breach of the seasonal band."""
+    spec = replace(SEASONAL, periods=1)
+    metrics = tb.metrics_table(s, d, ["Invocations"])
+    seen = metrics.agg(F.max("ts")).first()[0] - datetime.timedelta(minutes=10)
+    live = drained(al.alarm_stream(tb.endpoint_metrics(event_stream(s, d), ["Invocations"]), spec),
+                   "p8_seasonal").collect()
+    batch = al.alarm_batch(metrics, spec).where(F.col("at") <= F.lit(seen)).collect()
+    windows = wi.alarm_windows(metrics, spec)
+    return al.period_grid(windows, 3600).groupBy("endpoint").agg(F.count("*").alias("periods")).withColumn(
+        "agree", F.lit(bool(batch) and sorted(map(str, live)) == sorted(map(str, batch))))
+
+
+Q["p8_seasonal_twins"] = _seasonal_twins
+S["p8_seasonal_twins"] = f"""WITH {METRICS}, w AS (SELECT endpoint, {_bucket(3600)} AS start FROM metrics
+    WHERE metric = 'Invocations') SELECT endpoint, 1 + (epoch((SELECT max(start) FROM w))
+    - epoch(min(start)))::BIGINT // 3600 AS periods, true AS agree FROM w GROUP BY endpoint"""
+
 _SLOT = "CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 20"
 _EVENT_COLS = ["event_id", "ts", "user_id", "event_type", "value", "date"]
 Q["p9_capture"] = lambda s, d: cp.capture(tb.table(s, d, "events"), 20, "event_id").select(

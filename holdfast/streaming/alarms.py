@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from holdfast.session import staged
+from holdfast.streaming import seasonal
 from holdfast.streaming.windows import STATS, WATERMARK, alarm_windows, percentile_of
 
 OK, ALARM = "OK", "ALARM"
@@ -39,6 +40,7 @@ class AlarmSpec:
     above: bool = True              # breach above the threshold, or at and below it
     missing_breaches: bool = False
     band: bool = False              # breach outside the trailing band, threshold unused
+    season_s: int = 0               # breach outside the seasonal band, threshold unused
 
     def every(self, seconds: int) -> AlarmSpec:
         return replace(self, period_s=seconds)
@@ -53,6 +55,7 @@ HIGH_CPU = AlarmSpec("high-cpu", "CPUUtilization", "avg", 300, 80.0, 3)
 HIGH_MEMORY = AlarmSpec("high-memory", "MemoryUtilization", "avg", 300, 85.0, 3)
 HIGH_DISK = AlarmSpec("high-disk", "DiskUtilization", "avg", 300, 80.0, 3)
 VOLUME_ANOMALY = AlarmSpec("invocation-anomaly", "Invocations", "sum", 300, 0.0, 3, band=True)
+SEASONAL_ANOMALY = replace(VOLUME_ANOMALY, name="seasonal-anomaly", band=False, season_s=86_400)
 COMPOSITE = (HIGH_5XX, HIGH_LATENCY, NO_INVOCATIONS, HIGH_MEMORY)
 
 
@@ -103,7 +106,9 @@ def alarm_batch(df: DataFrame, spec: AlarmSpec, approx: bool = False) -> DataFra
     # written once: the grid asks for the first and last period and for the values
     windows = staged(alarm_windows(df, spec, approx=approx), "alarm-windows")
     grid = period_grid(windows, spec.period_s)
-    if spec.band:
+    if spec.season_s:
+        grid = seasonal.with_breach(grid, spec.period_s, spec.season_s)
+    elif spec.band:
         trail = Window.partitionBy("endpoint").orderBy("start").rowsBetween(-HISTORY, -1)
         grid = grid.withColumns({
             "n": F.count("value").over(trail), "mean": F.avg("value").over(trail),
@@ -136,8 +141,9 @@ TRANSITION = "endpoint string, alarm string, at timestamp, state string"
 class _Follower(StatefulProcessor):
     """One endpoint: evaluate periods in order, fill gaps, emit changes of state.
 
-    State is the next period, the length of the running breach, the current state, the trailing
-    values of the band, and windows that arrived ahead of an earlier one.
+    State is the next period, the length of the running breach, the current state, what the band
+    remembers (trailing values, or level, trend and season), and windows that arrived ahead of an
+    earlier one.
     """
 
     def __init__(self, spec: AlarmSpec):
@@ -163,6 +169,14 @@ class _Follower(StatefulProcessor):
             return abs(value - mean) > DEVIATIONS * dev + 1e-9
         return value > spec.threshold if spec.above else value <= spec.threshold
 
+    def _judge(self, value, known, ms: int) -> tuple[bool, list]:
+        """Whether a period breaches, and what the band knows after it."""
+        spec = self.spec
+        if spec.season_s:
+            slots = spec.season_s // spec.period_s
+            return seasonal.step(known, value, ms // self.step % slots, slots)
+        return self._breaches(value, known), [*known, value][-HISTORY:] if spec.band else known
+
     def _advance(self, key, upto_ms: int) -> Iterator[pd.DataFrame]:
         """Evaluate every period that ends at or before ``upto_ms``."""
         if not self.place.exists():
@@ -176,17 +190,16 @@ class _Follower(StatefulProcessor):
             if self.ahead.containsKey(spot):
                 value = self.ahead.getValue(spot)[0]
                 self.ahead.removeKey(spot)
-            length = length + 1 if self._breaches(value, known) else 0
+            breach, known = self._judge(value, known, expected)
+            length = length + 1 if breach else 0
             now = ALARM if length >= self.spec.periods else OK
             if now != current:
                 at = pd.Timestamp(expected + self.step, unit="ms")
                 out.append((key[0], self.spec.name, at, now))
                 current = now
-            if self.spec.band:
-                known = [*known, value][-HISTORY:]
             expected += self.step
         self.place.update((expected, length, current))
-        if self.spec.band:
+        if known:
             self.trail.update((known,))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
