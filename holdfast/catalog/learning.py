@@ -23,7 +23,7 @@ from holdfast.plans import (
     tree_paths as tp,
 )
 from holdfast.plans import train as tr, tuning as tu
-from holdfast.schema import NUMERIC, TARGET
+from holdfast.schema import CATEGORICAL, NUMERIC, TARGET
 from holdfast.sources import sinks as sk, tables as tb
 from holdfast.streaming import alarms as al, capture as cp, percentiles as pt, windows as wi
 from holdfast.streaming.run import drained, event_stream
@@ -562,6 +562,99 @@ def _pairs(s, d):
 
 Q["n13_interactions"] = _pairs
 
+# ---- rows that must hold for trained jobs ------------------------------------------------------
+def _one_row(s, **values):
+    return s.createDataFrame([tuple(values.values())], ", ".join(
+        f"{k} {'boolean' if isinstance(v, bool) else 'int'}" for k, v in values.items()))
+
+
+def _between(*scores):
+    return all(0.0 <= x <= 1.0 for x in scores)
+
+
+def _searched(s, d):
+    """Every draw is scored, and the best score is the highest."""
+    df, pre = _prepared(s, d)
+    best, score, trials = tu.random_search(df, "random_forest", GRID["random_forest"], 3, 3, pre)
+    rows = trials.collect()
+    scores = [t["objective"] for t in rows]
+    return _one_row(s, trials=len(rows), best_is_highest=score == max(scores), valid=_between(*scores),
+                    from_grid=all(v in GRID["random_forest"][k] for k, v in best.items()),
+                    learned=score > 0.6)
+
+
+def _stack_learns(s, d):
+    """The stack of out-of-fold scores learns the planted signal."""
+    m = _stacked(s, d).first().asDict()
+    return _one_row(s, learned=m["roc_auc"] > 0.6, better_than_coin=m["accuracy"] > 0.6,
+                    valid=_between(m["precision"], m["recall"], m["f1"]))
+
+
+def _compared(s, d):
+    """Every model of the suite, the kernel margin among them, learns."""
+    folds, holdout, models = tr.compare_models(
+        clean_v2(planted(s, d)), ("logistic_regression", "random_forest", "svm"), 2, SMALL)
+    scores = [r["score"] for r in folds.collect()]
+    rows = holdout.collect()
+    return _one_row(s, models=len(models), fold_scores=len(scores), learned=min(scores) > 0.6,
+                    holdout_learned=all(r["roc_auc"] > 0.6 for r in rows),
+                    valid=_between(*scores, *(r["f1"] for r in rows)))
+
+
+def _hybrid_trained(s, d):
+    """The chosen model is the best by F1, and the hybrid is measured on held-out rows."""
+    out = tr.train_v2(planted(s, d), tr.plan_v2(**PLAN))
+    f1 = {m: v["f1"] for m, v in out.metrics.items()}
+    best = max(v for m, v in f1.items() if m != "StackingEnsemble")
+    stacked = f1["StackingEnsemble"] >= best
+    return _one_row(s, models=len(f1), chosen_is_best=(out.final_name == "StackingEnsemble") == stacked,
+                    trials=out.trials.count(), recall_of_hybrid=out.hybrid_metrics["recall"] > 0.5,
+                    valid=_between(*f1.values()))
+
+
+def _diagnosed(s, d):
+    """The planted drivers lead, permuted labels give chance, each feature has its model."""
+    df = planted(s, d)
+    found, top, _ = dg.baseline(df, FOREST)
+    mixed = dg.shuffled_target_test(df, FOREST)
+    single = dg.single_feature_power(df).collect()
+    drivers = ["Support Calls", "Payment Delay"]
+    return _one_row(s, learned=found["accuracy"] > 0.7, driver_leads=top.first()["feature"] in drivers,
+                    chance=mixed["accuracy"] < found["accuracy"] - 0.05, features=len(single),
+                    driver_alone=max(single, key=lambda r: r["f1"])["feature"] in drivers)
+
+
+for _name, _run, _row in (
+    ("l8_holds", _searched, "3 AS trials, true AS best_is_highest, true AS valid, true AS from_grid, "
+                            "true AS learned"),
+    ("l10_l11_holds", _stack_learns, "true AS learned, true AS better_than_coin, true AS valid"),
+    ("l4_l13_holds", _compared, "3 AS models, 6 AS fold_scores, true AS learned, "
+                                "true AS holdout_learned, true AS valid"),
+    ("l18_k14_holds", _hybrid_trained, "3 AS models, true AS chosen_is_best, 2 AS trials, "
+                                       "true AS recall_of_hybrid, true AS valid"),
+    ("n1_n2_n3_holds", _diagnosed, "true AS learned, true AS driver_leads, true AS chance, "
+                                   f"{len(NUMERIC)} AS features, true AS driver_alone"),
+):
+    Q[_name], S[_name] = _run, f"SELECT {_row}"
+
+
+def _report_counts(s, d):
+    """The counts of the leakage report."""
+    return dg.leakage_report(planted(s, d), FOREST).where(
+        "key IN ('n', 'count', 'duplicates') AND section IN ('1 classes', '3 duplicates', '10 categories')"
+    ).groupBy("section", "item", "key").agg(F.sum("value").cast("long").alias("value"))
+
+
+Q["n5_leakage_counts"] = _report_counts
+S["n5_leakage_counts"] = prof("""SELECT '1 classes' AS section, 'table' AS item, 'n' AS key,
+    count(*)::BIGINT AS value FROM prof
+  UNION ALL SELECT '3 duplicates', 'table', 'duplicates', 0
+  UNION ALL SELECT '3 duplicates', 'CustomerID', 'duplicates', count(*) - count(DISTINCT "CustomerID")
+    FROM prof
+""" + "".join(f"""  UNION ALL SELECT '10 categories', '{c}=' || "{c}", 'count', count(*) FROM prof GROUP BY "{c}"
+""" for c in CATEGORICAL))
+
+
 # ---- P: endpoint health ----------------------------------------------------------------------
 METRICS = """metrics AS (SELECT ts, 'endpoint-' || (user_id % 3) AS endpoint, metric, value FROM (
     SELECT ts, user_id, 'Invocations' AS metric, CAST(1 AS DOUBLE) AS value FROM events
@@ -727,6 +820,15 @@ S["p7_composite"] = f"WITH {METRICS}, " + ", ".join(
     OVER (PARTITION BY endpoint ORDER BY "at") AS was FROM lv) WHERE on_now <> was"""
 
 
+_DECLARED = ["p3_high_5xx_60", "p4_high_latency_60", "p5_no_invocations", "p6_high_memory"]
+Q["p7_composite_declared"] = lambda s, d: al.composite_batch(stats.union_results(
+    al.alarm_batch(tb.metrics_table(s, d, [SPECS[p].metric]), SPECS[p]) for p in _DECLARED))
+S["p7_composite_declared"] = S["p7_composite"]
+for _i, _name in enumerate(_DECLARED):
+    S["p7_composite_declared"] = S["p7_composite_declared"].replace(
+        _alarm_sql(SPECS[_PARTS[_i]], str(_i)), _alarm_sql(SPECS[_name], str(_i)))
+
+
 def _alarm_live(name):
     def run(s, d):
         live = al.alarm_stream(

@@ -92,15 +92,15 @@ CASES = {
 
 @pytest.mark.parametrize("case", CASES)
 def test_trees_equal_brute_force(spark, data, monkeypatch, case):
-    monkeypatch.setattr(boosting, "STATE_TREES", 2)
+    monkeypatch.setattr(boosting, "STATE_TREES", 1)
     monkeypatch.setattr(boosting, "CHUNK", 17)
     monkeypatch.setattr(boosting, "BLOCK_ROWS", 64)
     params, plain = CASES[case]
     params = {"maxDepth": 3, **params}
-    model = Booster(maxIter=3, stepSize=0.3, weightCol="w", **params).fit(data)
+    model = Booster(maxIter=2, stepSize=0.3, weightCol="w", **params).fit(data)
     x, y, w = rows()
-    margin, trees = Brute(x, y, w, **plain).fit(3, params["maxDepth"], params.get("numLeaves", 0), 0.3)
-    assert len(model.tree_list()) == 3
+    margin, trees = Brute(x, y, w, **plain).fit(2, params["maxDepth"], params.get("numLeaves", 0), 0.3)
+    assert len(model.tree_list()) == 2
     for t, (gains, sizes) in zip(model.tree_list(), trees):
         got = sorted((t["feature"][i], t["threshold"][i], t["gain"][i]) for i in t["order"])
         assert [g[:2] for g in got] == [g[:2] for g in gains]
@@ -127,7 +127,7 @@ def test_leaves_are_split_best_first(data):
 
 
 def test_model_scores_and_saves(spark, data, tmp_path):
-    booster = Booster(maxIter=15, maxDepth=3, subsamplingRate=0.8, featureFraction=0.75)
+    booster = Booster(maxIter=8, maxDepth=3, stepSize=0.3, subsamplingRate=0.8, featureFraction=0.75)
     model = booster.fit(data)
     scored = model.transform(data).collect()
     right = np.mean([r["prediction"] == r["label"] for r in scored])

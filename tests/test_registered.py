@@ -6,7 +6,9 @@ from compare import connect, difference
 from holdfast.catalog import collect
 
 QUERIES, ORACLES = collect()
-SLOW = {n for n in ORACLES if n.endswith("_stream") or n.startswith(("p1_stream", "a10"))}
+#: Streams, and trained jobs of half a minute and more.
+SLOW = {n for n in ORACLES if n.endswith(("_stream", "_holds", "_twins", "_declared", "_ledger"))
+        or n.startswith(("p1_stream", "a10", "l3_l6", "n5_"))}
 
 
 @pytest.fixture(scope="module")
