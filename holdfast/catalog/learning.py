@@ -496,6 +496,18 @@ def _shap_model(s, d):
 Q["n8_tree_shap"] = _shap_model
 
 
+def _shap_forest_sampled(s, d):
+    """N8 with a trained forest, by sampled permutations."""
+    df = clean_v2(planted(s, d))
+    cols = [*NUMERIC, *CATEGORICAL]
+    fitted = md.fit_pipeline(df, md.rf(numTrees=10, maxDepth=4), "random_forest")
+    long = at.shap_sampled(df, fitted.score, df, cols, 2)
+    return long.groupBy("feature").agg(F.round(F.avg(F.abs("shap")), 6).alias("mean_abs_shap"))
+
+
+Q["n8_shap_sampled_forest"] = _shap_forest_sampled
+
+
 def _shap_adds_up(s, d):
     """The attributions of every row add up to its score."""
     df = clean_v2(planted(s, d))
@@ -562,6 +574,17 @@ def _pairs(s, d):
 
 Q["n13_interactions"] = _pairs
 
+
+def _pairs_sampled(s, d):
+    """Second differences of a closed form against background rows."""
+    from holdfast.operators.rank import top_pairs
+    df = tb.profile_table(s, d).dropna()
+    return top_pairs(at.interactions(df, _closed, df, _FIVE).withColumn(
+        "interaction_strength", F.round("interaction_strength", 6)), 5)
+
+
+Q["n13_interactions_sampled"] = _pairs_sampled
+
 # ---- rows that must hold for trained jobs ------------------------------------------------------
 def _one_row(s, **values):
     return s.createDataFrame([tuple(values.values())], ", ".join(
