@@ -46,10 +46,10 @@ def planted(s, d):
     return tb.planted_profile(tb.profile_table(s, d))
 
 
-def _trained(algorithm):
+def _trained(algorithm, **params):
     def run(s, d):
         df = engineer_v1(clean_v2(planted(s, d)))
-        _, found = tr.train_eval(df, algorithm)
+        _, found = tr.train_eval(df, algorithm, params)
         return found.withColumn("algorithm", F.lit(algorithm))
     return run
 
@@ -60,7 +60,7 @@ for _i, _name in [
 ]:
     Q[f"l{_i}_{_name}"] = _trained(_name)
 Q["l6_l15_train_eval"] = _trained("xgboost")
-Q["l3_leafwise"] = _trained("lightgbm")
+Q["l3_leafwise"] = _trained("lightgbm", maxIter=60)
 
 _FIVE = ["Age", "Tenure", "Usage Frequency", "Support Calls", "Payment Delay"]
 
