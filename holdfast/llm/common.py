@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from holdfast.session import staged
 
-__all__ = ["table", "staged", "words", "text_of", "slices", "WordArrays", "mix64", "distinct",
+__all__ = ["table", "staged", "quoted", "whole_row", "words", "text_of", "slices", "WordArrays", "mix64", "distinct",
            "bitmap", "has_bit", "WHITE", "LOWER"]
 
 #: ASCII white space, the separators of words: space and 0x09 to 0x0D.
@@ -25,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, whatever the name holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(columns: list[str]) -> Column:
+    """Columns as one struct."""
+    return F.struct(*[quoted(c) for c in columns])
+
+
 def text_of(col: str | Column) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

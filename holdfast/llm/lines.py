@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import (
-    _STEP_INVERSE, WordArrays, bitmap, has_bit, mix64, powers, slices, staged, table, text_of,
+    _STEP_INVERSE, WordArrays, bitmap, has_bit, mix64, powers, quoted, slices, staged, table, text_of,
+    whole_row,
 )
 
 #: Shorter lines are left alone.
@@ -253,7 +254,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     added = ["n_lines", "n_copies", "n_near"]
     columns = [c for c in docs.columns if c not in added]
-    base = docs.select(F.struct(*[docs[c] for c in columns if c != text]).alias("_row"),
+    base = docs.select(whole_row([c for c in columns if c != text]).alias("_row"),
                        docs[key].cast("long").alias("_id"), docs[text].alias("_text"),
                        F.xxhash64(text_of(docs[text])).alias("_t")).withColumn("_hit", touched("_t"))
     # documents that lose no line are not shuffled
@@ -272,11 +273,17 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """The deduplicated documents; those that lost all their lines go. ``n_chars`` follows."""
-    done = dedup_lines(docs).where("n_copies + n_near = 0 OR n_lines > n_copies + n_near")
+    """The deduplicated documents; those that lost all their lines go. ``n_chars`` follows.
+
+    Columns that are named like the counts of ``dedup_lines`` keep their values.
+    """
+    own = {c: f"own {c}" for c in ("n_lines", "n_copies", "n_near") if c in docs.columns}
+    done = dedup_lines(docs.withColumnsRenamed(own)).where(
+        "n_copies + n_near = 0 OR n_lines > n_copies + n_near").drop("n_lines", "n_copies", "n_near")
+    done = done.withColumnsRenamed({new: c for c, new in own.items()})
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(docs.columns)
+    return done.select(*[quoted(c) for c in docs.columns])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import WHITE, staged, table, text_of
+from holdfast.llm.common import WHITE, staged, table, text_of, whole_row
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
@@ -212,7 +212,7 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             "first.order", "pool", "bucket", "row").alias("m_place"))
     keys = [F.xxhash64(text_of("text")).alias("m_t"),
             F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("m_doc")]
-    once = docs.select(F.struct(*docs.columns).alias("_row"), *keys).dropDuplicates(
+    once = docs.select(whole_row(docs.columns).alias("_row"), *keys).dropDuplicates(
         ["m_t", "m_doc"])
     joined = once.join(parts, ["m_t", "m_doc"])
     words = F.regexp_extract_all(F.col("_row.text"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))

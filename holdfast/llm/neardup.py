@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import (
-    WordArrays, bitmap, distinct, has_bit, mix64, slices, staged, table, text_of,
+    WordArrays, bitmap, distinct, has_bit, mix64, slices, staged, table, text_of, whole_row,
 )
 from holdfast.llm.lines import LineHashes
 from holdfast.session import run_dir
@@ -311,7 +311,7 @@ def keep_leaders(docs: DataFrame) -> DataFrame:
     def touched(t: pd.Series) -> pd.Series:
         return pd.Series(has_bit(bits, t.to_numpy()))
 
-    base = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(text_of("text")).alias("_t"),
+    base = docs.select(whole_row(docs.columns).alias("_row"), F.xxhash64(text_of("text")).alias("_t"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id")) \
         .withColumn("_hit", touched("_t"))
     drop = going.where("NOT leader").select(

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import WHITE, staged, table, text_of, words
+from holdfast.llm.common import WHITE, staged, table, text_of, whole_row, words
 
 MIN_WORDS = 10
 MAX_REPEATED = 20  # per cent of the words
@@ -256,7 +256,7 @@ def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     Statistics are counted again for the verdict, beside the text, so no text is shuffled.
     """
     limits = fit_quality(_narrow(docs, key, text, lang, source))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
+    rows = docs.select(whole_row(docs.columns).alias("_row"),
                        docs[lang].alias("lang"), docs[source].alias("source"),
                        docs[text].alias("text"))
     return with_verdict(with_statistics(rows), limits).where("kept").select("_row.*")
