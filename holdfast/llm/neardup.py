@@ -2,14 +2,16 @@
 
 Documents are sets of five-word shingles. Documents with equal sets are one set. Every set gets
 MinHash signatures; bands and rows are chosen so that a pair at the threshold shares a band with the
-target recall. Band hashes are shuffled, the sets of a bucket become candidates of each other, and
+target recall. Band hashes are shuffled, the sets of a bucket are candidates of each other, and
 candidates are verified on their full sets.
 
-A bucket never emits its pairs: its members are linked to its least one, and what these links
-connect is verified together, block against block. A block pair is the unit of a task, and compares
-its sets by products of membership matrices, so a group of thousands of near copies is spread over
-many tasks and gives one row per set and block pair, not one per link. Links are counted, and only
-a spanning forest of them leaves a task to form the classes.
+Pairs of a bucket are tested inside it, on two bits of every MinHash value: members with its least
+one, then those that differ from it with all members, in blocks. Texts of one template that meet in
+a bucket by chance end there. A bucket never emits its pairs, only a spanning forest of those that
+pass; what the forests connect is verified on full sets, block against block. A block pair is the
+unit of a task, and compares its sets by products of membership matrices, so a group of thousands
+of near copies is spread over many tasks and gives one row per set and block pair, not one per
+link. Links are counted, and only a spanning forest of them leaves a task to form the classes.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,6 +42,10 @@ RECALL = 0.9999
 MOST_HASHES = 400
 #: Sets and text bytes of a block, about.
 BLOCK_SETS, BLOCK_BYTES = 512, 16 << 20
+#: Sets of a block inside a bucket, about.
+CELL_SETS = 1024
+#: Two bits of each MinHash value, 32 values in a word.
+SKETCH_PART, LOW_BITS = 32, 0x5555555555555555
 #: Columns of a membership matrix at a time.
 COLUMNS = 4096
 
@@ -55,6 +62,20 @@ def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL,
     return best
 
 
+def most_different(hashes: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """Most values whose two bits differ, for all but a tenth of the pairs that bands may miss.
+
+    A value of a pair at the threshold differs with chance ``1 - threshold``, and its bits then in
+    three of four cases.
+    """
+    p, beyond = (1 - threshold) * 3 / 4, 0.0
+    for n in range(hashes, 0, -1):
+        beyond += math.comb(hashes, n) * p ** n * (1 - p) ** (hashes - n)
+        if beyond > (1 - recall) / 10:
+            return n
+    return 0
+
+
 def shingles(offsets: np.ndarray, data: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of each text in turn, and where texts start; a short text is one shingle."""
     w = WordArrays(offsets, data)
@@ -67,24 +88,32 @@ def shingles(offsets: np.ndarray, data: np.ndarray, size: int = WORDS) -> tuple[
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, size: int = WORDS) -> DataFrame:
-    """doc_id, t, set hash ``sid``, distinct shingles ``n`` and band hashes; no set without words."""
+    """doc_id, t, set hash ``sid``, distinct shingles ``n``, band hashes and sketch; null without words."""
     rng = np.random.default_rng(88)
     factor = rng.integers(0, 2**31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     shift = rng.integers(0, 2**32, bands * rows, dtype=np.uint32)
     fold = rng.integers(0, 2**63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     number = mix64(np.arange(1, bands + 1))
+    parts = -(-bands * rows // SKETCH_PART)
+    place = np.uint64(2) * np.arange(SKETCH_PART, dtype=np.uint64)
+
+    def bits(least: np.ndarray) -> np.ndarray:
+        two = np.zeros(parts * SKETCH_PART, np.uint64)
+        two[:len(least)] = (least * np.uint32(0x9E3779B1)) >> np.uint32(30)
+        return (two.reshape(parts, SKETCH_PART) << place).sum(axis=1, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, last, offsets, data in slices(b.column(2)):
                 found, begin = shingles(offsets, data, size)
-                out, sid, count = [], [], []
+                out, sid, count, sketch = [], [], [], []
                 for i in range(last - first):
                     own = np.unique(found[begin[i]:begin[i + 1]])
                     count.append(len(own))
                     sid.append(mix64(own).sum(dtype=np.uint64) + np.uint64(len(own)))
                     if not len(own):
                         out.append(None)
+                        sketch.append(None)
                         continue
                     short = (own >> np.uint64(32)).astype(np.uint32)[:, None]
                     least = np.full(bands * rows, 2**32 - 1, np.uint32)
@@ -93,14 +122,16 @@ def signatures(docs: DataFrame, bands: int, rows: int, size: int = WORDS) -> Dat
                                    out=least)
                     out.append(mix64((least.reshape(bands, rows).astype(np.uint64) * fold)
                                      .sum(axis=1, dtype=np.uint64) ^ number).view(np.int64))
+                    sketch.append(bits(least).view(np.int64))
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(first, last - first), b.column(1).slice(first, last - first),
                     pa.array(mix64(np.array(sid, np.uint64)).view(np.int64)),
                     pa.array(count, pa.int32()), pa.array(out, pa.list_(pa.int64())),
-                ], ["doc_id", "t", "sid", "n", "bands"])
+                    pa.array(sketch, pa.list_(pa.int64())),
+                ], ["doc_id", "t", "sid", "n", "bands", "sketch"])
 
     return docs.mapInArrow(
-        run, "doc_id long, t long, sid long, n int, bands array<long>")
+        run, "doc_id long, t long, sid long, n int, bands array<long>, sketch array<long>")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -140,10 +171,103 @@ def connected(edges: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError("components did not settle in 200 steps")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
+def in_cells(members: DataFrame, most: int) -> DataFrame:
+    """Spanning forest (a, b) of the pairs of a cell of which at most ``most`` sketched values differ.
+
+    ``members`` has band, r, x (the cell), role (0: partner, 1: open set, 2: both), sid and sketch.
+    Open sets are compared with partners.
+    """
+    low, last = np.uint64(LOW_BITS), np.iinfo(np.int64).max
+
+    def forest(role: np.ndarray, sid: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        up, down = np.flatnonzero(role > 0), np.flatnonzero(role != 1)
+        differ = np.zeros((len(up), len(down)), np.uint16)
+        for part in sketch.T:
+            odd = part[up][:, None] ^ part[down][None, :]
+            differ += np.bitwise_count((odd | (odd >> np.uint64(1))) & low)
+        linked = (differ <= most) & (sid[up][:, None] != sid[down][None, :])
+        above, below = sid[up], sid[down]
+        while linked.any():
+            new = np.minimum(below, np.where(linked, above[:, None], last).min(axis=0))
+            top = np.minimum(above, np.where(linked, new[None, :], last).min(axis=1))
+            if (new == below).all() and (top == above).all():
+                break
+            above, below = top, new
+        a, b = np.append(sid[up], sid[down]), np.append(above, below)
+        return a[a != b], b[a != b]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in chain(batches, [None]):
+            if b is not None:
+                width = len(b.column(5).flatten()) // max(1, b.num_rows)
+                new = [np.stack([b.column(i).to_numpy() for i in range(3)], axis=1),
+                       b.column(3).to_numpy(), b.column(4).to_numpy(),
+                       b.column(5).flatten().to_numpy().view(np.uint64).reshape(-1, width)]
+                held = new if held is None else [np.concatenate(c) for c in zip(held, new)]
+            if held is None:
+                return
+            cell = held[0]
+            starts = np.append(0, np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1)
+            ends = np.append(starts[1:], len(cell))
+            done = len(starts) if b is None else len(starts) - 1
+            found = [forest(*[c[a:z] for c in held[1:]]) for a, z in zip(starts[:done], ends[:done])]
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([f[i] for f in found])) for i in range(2)], ["a", "b"])
+                held = [c[ends[done - 1]:] for c in held] if b is not None else None
+
+    return (members.select("band", F.col("r").cast("long"), F.col("x").cast("long"), "role", "sid",
+                           "sketch")
+            .repartition("band", "r", "x").sortWithinPartitions("band", "r", "x")
+            .mapInArrow(run, "a long, b long"))
+
+
+def plausible(sets: DataFrame, most: int) -> DataFrame:
+    """Edges (a, b) that connect the sets of a bucket whose sketches differ in ``most`` values at most.
+
+    ``sets`` has sid, bands and sketch. Each member is tested with the least one of its bucket, a
+    pair once for all its buckets. Members that fail are open; blocks of them are compared with
+    blocks of all members. Members that passed are connected already and not compared again, so a
+    group of near copies costs one test for each member and bucket, whatever its size.
+    """
+    in_bands = sets.select("sid", F.explode("bands").alias("band"))
+    buckets = in_bands.groupBy("band").agg(F.min("sid").alias("b"), F.count("*").alias("n")) \
+        .where("n > 1")
+    members = staged(in_bands.join(buckets, "band").select("band", "n", "sid", "b"), "band-members")
+    sketches = sets.select("sid", "sketch")
+    centres = sets.select(F.col("sid").alias("b"), F.col("sketch").alias("centre"))
+    odd = F.zip_with("sketch", "centre", lambda x, y: x.bitwiseXOR(y))
+    differ = F.aggregate(odd, F.lit(0), lambda n, x: n + F.bit_count(
+        x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(LOW_BITS))))
+    tested = staged(members.where("sid <> b").select("sid", "b").distinct().join(sketches, "sid").join(
+        centres, "b").select("sid", "b", (differ <= most).alias("passed")), "centre-pairs")
+    opened = tested.where("NOT passed").select("sid", "b", F.lit(True).alias("open"))
+    marked = staged(members.where("n > 2").join(opened, ["sid", "b"], "left").select(
+        "band", "n", "sid", F.coalesce("open", F.lit(False)).alias("open")), "open-members")
+    cells = marked.where("open").groupBy("band").agg(F.count("*").alias("n_open"))
+    placed = marked.join(cells, "band").join(sketches, "sid").select(
+        "band", "sid", "sketch", "open", F.ceil(F.col("n") / CELL_SETS).cast("int").alias("k"),
+        F.ceil(F.col("n_open") / CELL_SETS).cast("int").alias("k_open")).withColumn(
+        "single", (F.col("k") == 1) & (F.col("k_open") == 1))
+    partners = placed.select(
+        "band", F.explode(F.sequence(F.lit(0), F.col("k_open") - 1)).alias("r"),
+        F.pmod(F.hash("sid"), "k").alias("x"),
+        F.when(F.col("single") & F.col("open"), 2).otherwise(0).alias("role"), "sid", "sketch")
+    opens = placed.where("open AND NOT single").select(
+        "band", F.pmod(F.hash("sid"), "k_open").alias("r"),
+        F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("x"), F.lit(1).alias("role"), "sid",
+        "sketch")
+    return tested.where("passed").select(F.col("sid").alias("a"), "b").unionByName(
+        in_cells(partners.unionByName(opens), most))
+
+
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the sets at ``left`` with other sets at ``right``.
 
@@ -252,18 +376,21 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     signed = staged(signatures(own, bands, rows), "signatures")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
     sets = staged(signed.where("n > 0").groupBy("sid").agg(
-        F.min(place).alias("at"), F.count("*").alias("copies"), F.first("bands").alias("bands")),
-        "sets")
-    in_bands = sets.select("sid", F.explode("bands").alias("band"))
-    buckets = in_bands.groupBy("band").agg(F.min("sid").alias("b"), F.max("sid").alias("most")) \
-        .where("b < most").select("band", "b")
-    candidates = connected(in_bands.join(buckets, "band").select(F.col("sid").alias("a"), "b"))
+        F.min(place).alias("at"), F.count("*").alias("copies"),
+        F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sets")
+    candidates = connected(plausible(sets, most_different(bands * rows, threshold, recall)))
     named = sets.select("sid", "at", "copies").join(
         candidates.withColumnRenamed("node", "sid"), "sid")
-    wanted = named.select(F.col("at.doc_id").alias("w_doc"), F.col("at.t").alias("w_t"), "sid",
-                          "copies", "root")
-    texts = staged(own.join(wanted, (F.col("t") == F.col("w_t"))
-                            & F.col("doc_id").eqNullSafe(F.col("w_doc")))
+    wanted = staged(named.select(F.col("at.doc_id").alias("w_doc"), F.col("at.t").alias("w_t"), "sid",
+                                 "copies", "root"), "wanted")
+    marks = bitmap(wanted, "w_t")
+
+    @F.pandas_udf("boolean")
+    def marked(t: pd.Series) -> pd.Series:
+        return pd.Series(has_bit(marks, t.to_numpy()))
+
+    texts = staged(own.where(marked("t")).join(wanted, (F.col("t") == F.col("w_t"))
+                                               & F.col("doc_id").eqNullSafe(F.col("w_doc")))
                    .select("sid", "copies", "root", "text").dropDuplicates(["sid"]), "set-texts")
     blocks = texts.groupBy("root").agg(F.greatest(
         F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES))

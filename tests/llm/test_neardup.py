@@ -92,6 +92,56 @@ def test_near_copies_in_blocks_some_of_them_empty(spark, copies, monkeypatch):
     assert got == want
 
 
+@pytest.fixture(scope="module")
+def templated():
+    """Texts of one template, alike to 0.44, and three near copies of one of them."""
+    rng = random.Random(4)
+    template = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    docs = [(i, " ".join(template + [f"o{rng.randrange(10**9)}" for _ in range(36)]))
+            for i in range(600)]
+    return docs + [(600 + i, f"{docs[300][1]} more{i}") for i in range(3)]
+
+
+@pytest.mark.parametrize("cell", [1024, 8])
+def test_texts_of_a_template_are_no_candidates(spark, templated, monkeypatch, cell):
+    """Bands bring hundreds of them together; only the near copies are compared on full sets."""
+    monkeypatch.setattr(neardup, "CELL_SETS", cell)
+    compared, verify = [], neardup.verify
+    monkeypatch.setattr(neardup, "verify", lambda m, *a: compared.append(
+        sorted({r["sid"] for r in m.select("sid").collect()})) or verify(m, *a))
+    frame = spark.createDataFrame(templated, "doc_id long, text string").repartition(4)
+    signed = neardup.signatures(frame.selectExpr("doc_id", "doc_id AS t", "text"), 40, 7)
+    met = signed.selectExpr("explode(bands) AS b").groupBy("b").count().where("count > 1")
+    assert met.selectExpr("sum(count * (count - 1) / 2)").first()[0] > 2_000
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in neardup.near_classes(frame).collect()}
+    group = {300, 600, 601, 602}
+    assert got == {d: (300, 3) if d in group else (d, 0) for d, _ in templated}
+    assert [len(c) for c in compared] == [4]
+
+
+@pytest.mark.parametrize("cell", [1024, 4])
+def test_links_inside_a_bucket_whose_least_member_is_alone(spark, monkeypatch, cell):
+    """Open members are linked with each other and with those that passed, across blocks."""
+    monkeypatch.setattr(neardup, "CELL_SETS", cell)
+    rng = np.random.default_rng(5)
+    ends = rng.integers(0, 2**62, (4, 9))
+    rows = []
+    for sid in range(60):
+        sketch = ends[sid % 4].copy()
+        sketch[sid % 9] ^= 3 << (sid % 30)
+        rows.append((sid, [7, 1000 + sid], [int(x) for x in sketch]))
+    sets = spark.createDataFrame(rows, "sid long, bands array<long>, sketch array<long>")
+    got = {r["node"]: r["root"] for r in neardup.connected(neardup.plausible(sets, 10)).collect()}
+    assert got == {sid: sid % 4 for sid in range(60)}
+
+
+def test_sketches_pass_pairs_at_the_threshold():
+    most, rng = neardup.most_different(280), np.random.default_rng(2)
+    differ = rng.binomial(280, 0.2 * 0.75, 400_000)
+    assert (differ > most).mean() < 3e-5
+    assert (rng.binomial(280, 0.56 * 0.75, 100_000) <= most).mean() < 1e-4
+
+
 def test_one_document_of_each_class_stays(spark, odd, copies):
     kept = neardup.keep_leaders(spark.createDataFrame(copies, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({b[0] for b in brute(copies)})
