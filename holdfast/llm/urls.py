@@ -1,9 +1,11 @@
 """Operator 9 [native]. URL filter: rules first, then boosted trees on lexical features.
 
 Features are column expressions: lengths, depth, digit ratio, entropy, parameter counts, and how
-often labelled URLs with the same suffix, first directory or host name part were blocked. The trees
-are Spark ML's. Labels come from the rules and from a list of words that bad host names hold; URLs
-without a label count as allowed with a low weight, so that the trees see ordinary hosts too.
+often labelled URLs with the same suffix, first directory or host name part were blocked. URLs that
+the trees are fitted on get these shares from other folds of URLs, so not from their own label. The
+trees are Spark ML's. Labels come with a table of labelled URLs; without one, from the rules and from
+a list of words that bad host names hold, and URLs without a label count as allowed with a low
+weight, so that the trees see ordinary hosts too.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ TRAINING_ROWS = 20_000
 TREES, DEPTH, SEED = 20, 4, 7
 #: Strength of the overall block rate in the suffix statistics, in labelled URLs.
 PRIOR = 20.0
+#: Folds of URLs whose labels are left out of the statistics they are fitted with.
+FOLDS = 5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NUMBERS = ["url_chars", "host_chars", "path_chars", "query_chars", "depth", "host_parts",
@@ -104,23 +108,44 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
     return df.withColumns({k: v.cast("double") for k, v in out.items()} | keys).drop("_u")
 
 
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
 def suffix_rates(labelled: DataFrame) -> DataFrame:
-    """Per kind and value of a suffix: smoothed share of blocked URLs."""
-    pairs = labelled.select("blocked", "weight", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in SUFFIXES])).alias("s"))
+    """Per kind and value of a suffix: ``rate``, the smoothed share of blocked URLs, and ``others``.
+
+    ``others`` holds for each fold of URLs the same share over the other folds; null where no other
+    fold has the value.
+    """
+    pairs = labelled.select(fold_of(F.col("url")).alias("fold"), "blocked", "weight", F.explode(
+        F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in SUFFIXES]))
+        .alias("s"))
     mean = labelled.agg(F.sum(F.col("blocked") * F.col("weight")) / F.sum("weight")).first()[0]
+    prior = F.lit(PRIOR * (mean or 0.0))
+    bad = F.col("blocked") * F.col("weight")
+
+    def apart(i: int) -> Column:
+        other = F.col("fold") != i
+        return F.when(F.sum(F.when(other, F.col("weight"))) > 0, (
+            F.sum(F.when(other, bad)) + prior) / (F.sum(F.when(other, F.col("weight"))) + PRIOR))
+
     return pairs.groupBy("s.kind", "s.value").agg(
-        F.sum(F.col("blocked") * F.col("weight")).alias("bad"), F.sum("weight").alias("n"),
-    ).select("kind", "value",
-             ((F.col("bad") + PRIOR * (mean or 0.0)) / (F.col("n") + PRIOR)).alias("rate"))
+        ((F.sum(bad) + prior) / (F.sum("weight") + PRIOR)).alias("rate"),
+        F.array(*[apart(i) for i in range(FOLDS)]).alias("others"))
 
 
-def with_rates(df: DataFrame, rates: DataFrame) -> DataFrame:
-    """Append ``<kind>_rate``; values that no labelled URL has get -1."""
+def with_rates(df: DataFrame, rates: DataFrame, fitting: bool = False) -> DataFrame:
+    """Append ``<kind>_rate``; values that no labelled URL has get -1.
+
+    Rows that a model is fitted on (``fitting``) get the rates of the other folds, which do not hold
+    their own label, nor that of any URL they share the fold with.
+    """
     for kind in SUFFIXES:
-        own = rates.where(F.col("kind") == kind).select(
-            F.col("value").alias(kind), F.col("rate").alias(f"{kind}_rate"))
-        df = df.join(own, kind, "left").fillna(-1.0, [f"{kind}_rate"])
+        rate = F.get("others", fold_of(F.col("url"))) if fitting else F.col("rate")
+        own = rates.where(F.col("kind") == kind).select(F.col("value").alias(kind), "rate", "others")
+        df = df.join(own, kind, "left").withColumn(
+            f"{kind}_rate", F.coalesce(rate, F.lit(-1.0))).drop("rate", "others")
     return df
 
 
@@ -131,11 +156,12 @@ def fit_urls(labelled: DataFrame, trees: int = TREES, sample: DataFrame | None =
              ) -> tuple[DataFrame, GBTClassificationModel]:
     """Suffix rates and trees of labelled rows: ``lexical`` columns, ``blocked`` 0 or 1, ``weight``.
 
-    With ``sample`` the trees are fitted on its rows, the rates still count all labelled ones.
+    With ``sample`` the trees are fitted on its rows, the rates still count all labelled ones. Rows
+    that are fitted see the rates of the other folds.
     """
     rates = staged(suffix_rates(labelled), "url-rates")
     rows = VectorAssembler(**_ASSEMBLER).transform(
-        with_rates(labelled if sample is None else sample, rates))
+        with_rates(labelled if sample is None else sample, rates, fitting=True))
     model = GBTClassifier(labelCol="blocked", maxIter=trees, maxDepth=DEPTH, seed=SEED,
                           weightCol="weight").fit(rows.select("blocked", "weight", "features"))
     return rates, model
@@ -150,41 +176,61 @@ def labels(rows: DataFrame, words: tuple = BAD_WORDS, unlabelled: float = UNLABE
     })
 
 
-def training_sample(once: DataFrame, kinds: dict[tuple[float, float], int],
+def training_sample(once: DataFrame, kinds: dict[int, int],
                     rows: int = TRAINING_ROWS) -> DataFrame:
-    """At most ``rows`` URLs, as many of each kind (``blocked`` and ``weight``) as there are or fit.
+    """At most ``rows`` URLs, as many of each ``kind`` as there are or fit.
 
     ``kinds`` counts the rows of each kind. Weights grow by the share that is left out, so a kind
-    weighs what it does in the whole table.
+    weighs what it does in the whole table. Only rows whose hash lies below a share with room for
+    ten deviations are ordered, about ``rows`` in all, however many there are.
     """
     if sum(kinds.values()) <= rows:
         return once
     picked, room = None, rows
-    for at, ((blocked, weight), n) in enumerate(sorted(kinds.items(), key=lambda k: (k[1], k[0]))):
+    for at, (kind, n) in enumerate(sorted(kinds.items(), key=lambda k: (k[1], k[0]))):
         quota = min(n, max(1, room // (len(kinds) - at)))
         room -= quota
-        own = once.where((F.col("blocked") == blocked) & (F.col("weight") == weight))
+        own = once.where(F.col("kind") == kind)
         if quota < n:
-            own = own.orderBy(F.xxhash64("url", F.lit(SEED)), "url").limit(quota).withColumn(
-                "weight", F.col("weight") * (n / quota))
+            draw = F.xxhash64("url", F.lit(SEED))
+            least = (quota + 10 * quota ** 0.5 + 50) / n
+            own = own.where(draw <= F.lit(int((min(least, 1.0) - 0.5) * (2 ** 64 - 2 ** 11)))).orderBy(
+                draw, "url").limit(quota).withColumn("weight", F.col("weight") * (n / quota))
         picked = own if picked is None else picked.unionByName(own)
     return picked
 
 
+def from_labels(labelled: DataFrame) -> DataFrame:
+    """Distinct URLs with ``blocked`` and ``weight`` from rows (url, blocked, weight).
+
+    Weights of one URL are added up and its heavier label counts; ties are blocked. Rows without a
+    weight above 0 or without a label do not count. A null URL counts as an empty one.
+    """
+    w, bad = F.col("weight").cast("double"), F.col("blocked").cast("double")
+    return labelled.select(F.coalesce("url", F.lit("")).alias("url"), w.alias("w"), bad.alias("bad"))         .where("w > 0 AND NOT isnan(w) AND bad IS NOT NULL").groupBy("url").agg(
+        F.sum(F.when(F.col("bad") > 0, F.col("w")).otherwise(-F.col("w"))).alias("lead"),
+        F.sum("w").alias("weight")).select(
+        "url", (F.col("lead") >= 0).cast("double").alias("blocked"), "weight")
+
+
 def judge_urls(pages: DataFrame, rules: tuple = RULES, url: str = "url", key: str = "page_id",
-               training_rows: int = TRAINING_ROWS) -> DataFrame:
+               training_rows: int = TRAINING_ROWS, labelled: DataFrame | None = None) -> DataFrame:
     """Host, path, rule and verdict of every URL, with the trees' probability of blocking.
 
-    Null and odd URLs have an empty host and path and are judged by the trees like others. Where all
-    labels are equal, or there are no rows, nothing can be learned: URLs without a rule are allowed.
-    Equal rows are all kept; other columns are not read.
+    ``labelled`` (``url``, ``blocked``, ``weight``) are the URLs to learn from, in ``pages`` or not;
+    without it the labels are those of ``labels``. Null and odd URLs have an empty host and path and
+    are judged by the trees like others. Where all labels are equal, or there are no rows, nothing
+    can be learned: URLs without a rule are allowed. Equal rows are all kept; other columns are not
+    read.
     """
-    rows = staged(labels(with_rule(lexical(pages.select(
-        F.col(key).alias("page_id"), F.col(url).alias("url"))), rules)), "urls")
+    rows = staged(with_rule(lexical(pages.select(
+        F.col(key).alias("page_id"), F.col(url).alias("url"))), rules), "urls")
     # one row per URL, so that a URL that many pages share counts once
-    once = staged(rows.drop("page_id", "rule", "ruling").dropDuplicates(["url"]), "url-once")
-    kinds = {(r[0], r[1]): r[2] for r in once.groupBy("blocked", "weight").count().collect()}
-    if len({blocked for blocked, _ in kinds}) < 2:
+    once = labels(rows).drop("page_id", "rule", "ruling").dropDuplicates(["url"])         if labelled is None else lexical(from_labels(labelled))
+    # labels of rules and words weigh 1, the lack of one less
+    once = staged(once.withColumn("kind", F.expr("int(blocked) * 2 + int(weight < 1)")), "url-once")
+    kinds = {r[0]: r[1] for r in once.groupBy("kind").count().collect()}
+    if len({kind >= 2 for kind in kinds}) < 2:
         return rows.select("page_id", "host", "path", "rule",
                            F.coalesce("ruling", F.lit("allow")).alias("verdict"),
                            F.lit(None).cast("double").alias("p_block"))

@@ -100,3 +100,61 @@ def test_statistics_and_labels_beyond_the_sample(spark, monkeypatch):
         F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
     assert kinds[1.0] == (3, 3.0) and kinds[0.0][0] == 27
     assert abs(kinds[0.0][1] - 600 * urls.UNLABELLED) < 1e-6
+
+
+def test_rates_against_sums(spark):
+    """Rates of all URLs, and of the other folds for those that are fitted."""
+    frame = spark.createDataFrame(
+        [(f"http://n{i % 3}.s{i % 4}.{'org' if i % 5 else 'net'}/d{i % 2}/{i}", float(i % 7 == 0),
+          1.0 + i % 3) for i in range(60)] + [("http://alone.xyz/", 1.0, 2.0)],
+        "url string, blocked double, weight double")
+    rows = urls.lexical(frame).withColumn("fold", urls.fold_of(F.col("url")))
+    rates = urls.suffix_rates(rows)
+    whole = {r["url"]: r for r in urls.with_rates(rows, rates).collect()}
+    fitted = urls.with_rates(rows, rates, fitting=True).collect()
+    assert len(fitted) == len(whole) == 61
+    prior = urls.PRIOR * sum(r["blocked"] * r["weight"] for r in fitted) / sum(
+        r["weight"] for r in fitted)
+
+    def share(found):
+        return (sum(r["blocked"] * r["weight"] for r in found) + prior) / (
+            sum(r["weight"] for r in found) + urls.PRIOR) if found else -1.0
+
+    for r in fitted:
+        for kind in urls.SUFFIXES:
+            same = [x for x in fitted if x[kind] == r[kind]]
+            others = [x for x in same if x["fold"] != r["fold"]]
+            assert abs(whole[r["url"]][f"{kind}_rate"] - share(same)) < 1e-12
+            assert abs(r[f"{kind}_rate"] - share(others)) < 1e-12
+    alone = [r for r in fitted if r["suffix"] == "xyz"]
+    assert [r["site_rate"] for r in alone] == [-1.0]
+
+
+def test_labels_of_one_url_are_added_up(spark):
+    given = [("a", 1, 1.0), ("a", 0, 3.0), ("b", 1, 2.0), ("b", 0, 2.0), (None, 0, 1.0), ("", 1, 0.5),
+             ("c", 1, 0.0), ("d", None, 1.0), ("e", 1, None), ("f", 1, float("nan"))]
+    got = urls.from_labels(spark.createDataFrame(given, "url string, blocked int, weight double"))
+    assert sorted(map(tuple, got.collect())) == [("", 0.0, 1.5), ("a", 0.0, 4.0), ("b", 1.0, 4.0)]
+
+
+def test_labelled_urls(spark):
+    """What labelled URLs show holds for other URLs, though no word or rule of the module does."""
+    import random
+    rng = random.Random(6)
+
+    def made(i):
+        bad = rng.random() < 0.4
+        query = "?" + "&".join(f"p{k}={rng.randrange(99)}" for k in range(rng.randint(4, 7))) \
+            if bad else ""
+        return f"http://h{rng.randrange(40)}.org/x{rng.randrange(30)}/{i}{query}", int(bad)
+
+    train = [(*made(i), 1.0 + i % 2) for i in range(600)]
+    test = [made(i) for i in range(1000, 1400)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(test)] + [(None, None)],
+                                  "page_id long, url string")
+    given = spark.createDataFrame(train, "url string, blocked int, weight double")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(pages, labelled=given).collect()}
+    right = [(got[i] == "block") == bool(b) for i, (_, b) in enumerate(test)]
+    assert len(got) == 401 and sum(right) / len(right) > 0.95
+    none = urls.judge_urls(pages, labelled=given.where("false")).collect()
+    assert {r["verdict"] for r in none} == {"allow"} and len(none) == 401
