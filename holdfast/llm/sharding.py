@@ -13,19 +13,23 @@ table still gives equal shards.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from holdfast.llm.common import staged, table, text_of
 
 SHARDS = 24
-#: Ranges per shard: the tasks of the exchange.
+#: Least number of ranges per shard: the tasks of the exchange.
 PIECES = 16
+#: Bytes that one range holds at most, about; large shards have more ranges.
+PIECE_BYTES = 16 << 30
 #: Candidate keys per open boundary and round.
 PROBES = 15
 #: Allowed error of a boundary, as a part of a shard's bytes.
@@ -106,16 +110,18 @@ class Bracket:
         spots = {flat[0] + span * i // (n + 1) for i in range(1, n + 1)} | {flat[1] + 1}
         return [(s // w3 // w2 + _LOW, s // w3 % w2 + a2, s % w3 + a3) for s in spots if s > flat[0]]
 
-    def narrow(self, at: list[Key], cells: dict, starts: list[int], tol: float, group: float):
-        """Use a round's counts: settle, or keep the cell that holds the target."""
-        end = self.below + self.inside
-        inside = [i for i in sorted(cells) if self.least <= tuple(cells[i]["least"])
-                  and tuple(cells[i]["most"]) <= self.most]
-        for i in inside:
-            if starts[i] <= self.target <= starts[i] + cells[i]["size"]:
-                self.below, self.inside = starts[i], cells[i]["size"]
-                self.least, self.most = tuple(cells[i]["least"]), tuple(cells[i]["most"])
-                break
+    def narrow(self, cells: list, ends: list[int], tol: float, group: float):
+        """Use a round's counts: settle, or keep the cell that holds the target.
+
+        ``cells`` are in the order of their keys, ``ends`` the bytes up to and with each. No cell
+        crosses the edge of a bracket.
+        """
+        i = bisect_left(ends, self.target)
+        while i < len(cells) and tuple(cells[i]["least"]) < self.least:
+            i += 1                      # the target is the end of the cell before the bracket
+        if i < len(cells) and tuple(cells[i]["most"]) <= self.most:
+            self.below, self.inside = ends[i] - cells[i]["size"], cells[i]["size"]
+            self.least, self.most = tuple(cells[i]["least"]), tuple(cells[i]["most"])
         end = self.below + self.inside
         low, high = self.target - self.below, end - self.target
         after = (*self.most[:2], self.most[2] + 1)
@@ -144,48 +150,63 @@ def splitters(keys: DataFrame, parts: int, shards: int, tolerance: float = TOLER
             break
         at = sorted({c for b in open_ for c in b.candidates(PROBES, [(a2, z2), (a3, z3)])}
                     | {k for b in open_ for k in (b.least,)})
-        cells = {r["part"]: r for r in histogram(keys, at)}
-        starts, run = {}, 0
-        for i in sorted(cells):
-            starts[i], run = run, run + cells[i]["size"]
+        cells = histogram(keys, at)
+        ends = list(accumulate(r["size"] for r in cells))
         for b in open_:
-            b.narrow(at, cells, starts, tolerance * shard, group_tolerance * shard)
+            b.narrow(cells, ends, tolerance * shard, group_tolerance * shard)
         open_ = [b for b in open_ if b.found is None]
-    cuts = [b.found or b.least for b in every]
+    if open_:
+        raise RuntimeError(f"{len(open_)} boundaries open after {MAX_ROUNDS} rounds")
+    cuts = [b.found for b in every]
     return [max(cuts[:i + 1]) for i in range(len(cuts))]
 
 
-def range_of(cuts: list[Key]):
-    """Function of Arrow batches that appends the range of a key: the splitters at or below it."""
+def pieces_of(keys: DataFrame, shards: int) -> int:
+    """Ranges per shard, so that none is much above ``PIECE_BYTES``."""
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    return max(PIECES, -(-total // (shards * PIECE_BYTES)))
+
+
+def range_of(cuts: list[Key], firsts: list[int] | None = None):
+    """Function of Arrow batches that appends the range of a key: the splitters at or below it.
+
+    With ``firsts``, one number per range, that of the row's range is appended as well.
+    """
+    more = None if firsts is None else np.array(firsts, np.int64)
     own = [np.array([c[i] for c in cuts], np.int64) for i in range(3)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = at_or_below(own, [b.column(n).to_numpy(zero_copy_only=False)
                                     for n in ("k1", "k2", "k3")])
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(out.astype(np.int32))], [*b.schema.names, "range"])
+            new = {"range": pa.array(out.astype(np.int32))}
+            if more is not None:
+                new["first"] = pa.array(more[out])
+            yield pa.RecordBatch.from_arrays([*b.columns, *new.values()], [*b.schema.names, *new])
 
     return place
 
 
-def _with_range(df: DataFrame) -> StructType:
-    return StructType([*df.schema.fields, StructField("range", IntegerType())])
+def _with_range(df: DataFrame, *more: StructField) -> StructType:
+    return StructType([*df.schema.fields, StructField("range", IntegerType()), *more])
 
 
-def shard_rows(df: DataFrame, shards: int = SHARDS, pieces: int = PIECES,
+def shard_rows(df: DataFrame, shards: int = SHARDS, pieces: int | None = None,
                tolerance: float = TOLERANCE) -> DataFrame:
     """Append ``shard`` and ``slot`` to rows with key columns ``k1``, ``k2``, ``k3`` and bytes ``size``.
 
     Null keys order first, null sizes count as nothing; ``k3`` may be absent. Rows that agree in all keys
-    stay in one range, so number repeated rows in ``k3``. Columns of the frame named ``range``, ``shard`` or ``slot`` are replaced. ``df`` is read
-    several times, so give a written table. An empty table gives no rows.
+    stay in one range, so number repeated rows in ``k3``. Columns of the frame named ``range``,
+    ``first``, ``shard`` or ``slot`` are replaced. ``df`` is read several times, so give a written
+    table. ``pieces`` ranges make a shard; by default as many as its bytes ask for. An empty table
+    gives no rows.
     """
-    df = df.drop("range", "shard", "slot").withColumns({
+    df = df.drop("range", "first", "shard", "slot").withColumns({
         "k3": F.coalesce("k3", F.lit(0)).cast("long") if "k3" in df.columns else F.lit(0).cast("long"),
         "k1": F.coalesce("k1", F.lit(_LOW)), "k2": F.coalesce("k2", F.lit(_LOW + 1)),
         "size": F.coalesce("size", F.lit(0)),
     })
+    pieces = pieces or pieces_of(df, shards)
     cuts = splitters(df, shards * pieces, shards, tolerance)
     counts = {r["part"]: r["n"] for r in histogram(df, cuts)}
     offsets, run = [], 0
@@ -193,24 +214,28 @@ def shard_rows(df: DataFrame, shards: int = SHARDS, pieces: int = PIECES,
         run = 0 if i % pieces == 0 else run
         offsets.append(run)
         run += counts.get(i, 0)
-    ranged = df.mapInArrow(range_of(cuts), _with_range(df))
+    ranged = df.mapInArrow(range_of(cuts, offsets), _with_range(df, StructField("first", LongType())))
     order = Window.partitionBy("range").orderBy("k1", "k2", "k3")
-    first = F.element_at(F.array(*[F.lit(n).cast("long") for n in offsets]), F.col("range") + 1)
     return ranged.withColumns({
         "shard": (F.col("range") / pieces).cast("int"),
-        "slot": first + F.row_number().over(order) - 1,
-    }).drop("range")
+        "slot": F.col("first") + F.row_number().over(order) - 1,
+    }).drop("range", "first")
 
 
 def write_shards(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
                  shards: int = SHARDS) -> None:
-    """Write whole documents, one folder per shard, each file sorted by the sort key."""
+    """Write whole documents, one folder per shard, each file sorted by the sort key.
+
+    A range is one task of the exchange and one file; its number is the number of the task, so no
+    task has two ranges and none is idle.
+    """
     keyed = docs.withColumns(_keys(text, key))
     narrow = staged(keyed.select("k1", "k2", "k3", "size"), "shard-keys")
-    cuts = splitters(narrow, shards * PIECES, shards)
+    pieces = pieces_of(narrow, shards)
+    cuts = splitters(narrow, shards * pieces, shards)
     ranged = keyed.mapInArrow(range_of(cuts), _with_range(keyed))
-    (ranged.withColumn("shard", (F.col("range") / PIECES).cast("int"))
-     .repartition(shards * PIECES, "range").sortWithinPartitions("range", "k1", "k2", "k3")
+    (ranged.withColumn("shard", (F.col("range") / pieces).cast("int"))
+     .repartitionById(shards * pieces, "range").sortWithinPartitions("range", "k1", "k2", "k3")
      .drop("k1", "k2", "k3", "size", "range").write.partitionBy("shard").parquet(path))
 
 

@@ -88,3 +88,29 @@ def test_written_shards_hold_all_documents(spark, odd, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == odd.count()
     assert {r[0] for r in back.select("shard").distinct().collect()} <= set(range(4))
+
+
+def test_large_shards_have_more_ranges(spark, odd, tmp_path, monkeypatch):
+    """Ranges grow with the bytes; each is one file, and files of a shard hold disjoint ranges."""
+    monkeypatch.setattr(sharding, "PIECE_BYTES", 2_000)
+    rows = spark.range(6000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    sharding.write_shards(rows, str(tmp_path / "out"), shards=2)
+    back = spark.read.parquet(str(tmp_path / "out")).select(
+        "doc_id", "shard", F.input_file_name().alias("file"), F.xxhash64("text").alias("h"))
+    files = back.groupBy("shard", "file").agg(F.count("*").alias("n"), F.min("h"), F.max("h")).collect()
+    assert back.count() == 6000 and 50 <= len(files) <= 60
+    assert max(f["n"] for f in files) < 2 * min(f["n"] for f in files)
+    spans = sorted((f["min(h)"], f["max(h)"]) for f in files)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert sharding.pieces_of(rows.select(F.lit(8).cast("long").alias("size")), 2) == sharding.PIECES
+
+
+def test_boundary_at_the_end_of_a_cell():
+    """A target that is where a bracket begins settles there, not in the cell before."""
+    key = lambda n: (n, 0, 0)
+    cells = [{"least": key(i), "most": key(i), "size": 10} for i in range(4)]
+    b = sharding.Bracket(20, key(2), key(3), 20)
+    b.below = 20
+    b.narrow(cells, [10, 20, 30, 40], 0.0, 0.0)
+    assert b.found == key(2) and (b.below, b.inside) == (20, 10)
