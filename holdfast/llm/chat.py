@@ -59,7 +59,7 @@ LAYOUTS = (
                                "data.messages[].content.text"), "conv_id",
            each="data.messages", role="author.role", text="content.text"),
 )
-#: Other names of the canonical roles.
+#: Other names of the canonical roles, in lists of messages. Turn rows name their roles themselves.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -107,7 +107,9 @@ def turns_of(record: Any, layout: Layout) -> Iterator[tuple[int | None, int, str
     items = _get(record, layout.each) or [] if layout.each else [record]
     for i, item in enumerate(items):
         role = _string(_get(item, layout.role))
-        yield (_long(_get(record, layout.order)) if layout.order else None, i, ROLES.get(role, role),
+        if layout.each:
+            role = ROLES.get(role, role)
+        yield (_long(_get(record, layout.order)) if layout.order else None, i, role,
                _string(_get(item, layout.text)))
 
 

@@ -87,3 +87,15 @@ def test_layouts_give_the_same_turns(spark):
     assert sorted(str(r["text"]) for r in found if not r["layout"]) == sorted(
         map(str, [json.dumps(odd[1]), "no json", None, "[1, 2]", "{}"]))
     assert len({r["fingerprint"] for r in found if r["layout"]}) == 6
+
+
+def test_turn_rows_keep_their_roles(spark):
+    """Only lists of messages have other names for the roles; those of turn rows stay."""
+    turns = [("human", "a"), ("gpt", "b"), ("assistant", "c"), ("model", "")]
+    records = [(json.dumps({"conv_id": 1, "turn": i, "role": r, "text": t}),)
+               for i, (r, t) in enumerate(turns)]
+    records.append((json.dumps({"conv_id": 2, "messages": [
+        {"role": "human", "content": "a"}, {"role": "gpt", "content": "b"}]}),))
+    got = {r["conv_id"]: tuple(r)[1:5] for r in chat.read_back(chat.format_turns(
+        chat.canonical_turns(spark.createDataFrame(records, "record string")))).collect()}
+    assert got == {1: digests(turns), 2: digests([("user", "a"), ("assistant", "b")])}
