@@ -96,19 +96,19 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     })
 
 
-def _groups(rows: DataFrame) -> DataFrame:
+def _groups(rows: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Per ``lang`` and ``source`` the group ``grp``: the pair, the language, or all; else null."""
     fit = rows.where("NOT base_failed").groupBy("lang", "source").count()
-    small = F.when(F.col("count") < GROUP_ROWS, F.col("count")).otherwise(0)
+    small = F.when(F.col("count") < group_rows, F.col("count")).otherwise(0)
     counts = fit.withColumn("in_lang", F.sum(small).over(Window.partitionBy("lang")))
-    rest = F.when((F.col("count") < GROUP_ROWS) & (F.col("in_lang") < GROUP_ROWS), F.col("count")) \
+    rest = F.when((F.col("count") < group_rows) & (F.col("in_lang") < group_rows), F.col("count")) \
         .otherwise(0)
     counts = counts.withColumn("in_all", F.sum(rest).over(Window.partitionBy()))
     lang = F.coalesce(F.concat(F.lit("l"), F.col("lang")), F.lit("n"))
     source = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    grp = F.when(F.col("count") >= GROUP_ROWS, F.xxhash64(F.lit("pair"), lang, source)) \
-        .when(F.col("in_lang") >= GROUP_ROWS, F.xxhash64(F.lit("lang"), lang)) \
-        .when(F.col("in_all") >= GROUP_ROWS, F.xxhash64(F.lit("all")))
+    grp = F.when(F.col("count") >= group_rows, F.xxhash64(F.lit("pair"), lang, source)) \
+        .when(F.col("in_lang") >= group_rows, F.xxhash64(F.lit("lang"), lang)) \
+        .when(F.col("in_all") >= group_rows, F.xxhash64(F.lit("all")))
     return counts.select(F.col("lang").alias("c_lang"), F.col("source").alias("c_source"),
                          grp.alias("grp"))
 
@@ -214,19 +214,19 @@ def estimates(rows: DataFrame) -> DataFrame:
     return staged(_fitted(near, NEAR_FACTOR), "mcd-fits")
 
 
-def fit_quality(statistics: DataFrame) -> DataFrame:
+def fit_quality(statistics: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Limits for each language and source: the fit of its group, from a table of statistics."""
-    groups = staged(_groups(statistics), "quality-groups")
+    groups = staged(_groups(statistics, group_rows), "quality-groups")
     rows = staged(_with_group(statistics.where("NOT base_failed"), groups)
                   .where("grp IS NOT NULL").select("grp", *STATS), "quality-fit")
     return staged(groups.join(estimates(rows), "grp", "left").drop("grp", "logdet", "start"),
                   "quality-limits")
 
 
-def with_verdict(statistics: DataFrame, limits: DataFrame) -> DataFrame:
+def with_verdict(statistics: DataFrame, limits: DataFrame, reject: float = REJECT) -> DataFrame:
     """Append ``distance`` and ``kept``."""
     return _with_group(statistics, limits).withColumn("distance", _by_fit()).withColumn(
-        "kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= REJECT))
+        "kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= reject))
 
 
 def _narrow(docs: DataFrame, key: str, text: str, lang: str, source: str) -> DataFrame:
@@ -237,29 +237,33 @@ def _narrow(docs: DataFrame, key: str, text: str, lang: str, source: str) -> Dat
 
 
 def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-                  source: str = "source") -> DataFrame:
+                  source: str = "source", group_rows: int = GROUP_ROWS,
+                  reject: float = REJECT) -> DataFrame:
     """One row per document: doc_id, the counted statistics, base_failed, distance, kept.
 
+    A language and source of ``group_rows`` rows or more that pass the base limits have their own
+    estimate; ``reject`` is the least squared distance that rejects a row, not itself included.
     Null texts have no words and fail. Null languages and sources are groups of their own. Equal
     rows get equal verdicts; other columns are not read. An empty table gives no rows.
     """
     rows = _narrow(docs, key, text, lang, source)
-    return with_verdict(rows, fit_quality(rows)).select(
+    return with_verdict(rows, fit_quality(rows, group_rows), reject).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "distance")
 
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-              source: str = "source") -> DataFrame:
+              source: str = "source", group_rows: int = GROUP_ROWS,
+              reject: float = REJECT) -> DataFrame:
     """The documents that pass, with all their columns.
 
     Statistics are counted again for the verdict, beside the text, so no text is shuffled.
     """
-    limits = fit_quality(_narrow(docs, key, text, lang, source))
+    limits = fit_quality(_narrow(docs, key, text, lang, source), group_rows)
     rows = docs.select(whole_row(docs.columns).alias("_row"),
                        docs[lang].alias("lang"), docs[source].alias("source"),
                        docs[text].alias("text"))
-    return with_verdict(with_statistics(rows), limits).where("kept").select("_row.*")
+    return with_verdict(with_statistics(rows), limits, reject).where("kept").select("_row.*")
 
 
 def op5_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,3 +102,40 @@ def test_distance_equals_linear_algebra(spark):
     want = dict(zip(x[:, 0], np.einsum("ij,jk,ik->i", z, np.linalg.inv(c), z)))
     for r in got:
         assert r["d"] == pytest.approx(want[r["x1"]], rel=1e-6)
+
+
+def planted_documents():
+    """Two languages and sources with norms of their own; what is usual in one is odd in another."""
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), rng.integers(3, 9))) for _ in range(4000)]
+
+    def text(n, mark):
+        w = list(rng.choice(vocabulary, n))
+        return " ".join(x + "#$%&" * (mark and i % 2) for i, x in enumerate(w))
+
+    rows, odd = [], set()
+    for lang, source, marked in [("aa", "x", False), ("aa", "y", True), ("bb", "x", True),
+                                 ("bb", "y", False)]:
+        for i in range(90):
+            planted = i % 30 == 7
+            if planted:
+                odd.add(len(rows))
+            rows.append((len(rows), text(int(rng.integers(60, 90)), marked != planted), lang, source))
+    return rows, odd
+
+
+def test_outliers_of_each_pair(spark):
+    """Every pair is estimated by itself: texts that are usual in another pair are rejected."""
+    rows, odd = planted_documents()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    gone = {r["doc_id"] for r in quality.judge_quality(docs).where("NOT kept").collect()}
+    assert gone == odd
+
+
+def test_limits_are_parameters(spark):
+    """Pooled by language the verdicts differ, and with a vast limit nothing is rejected."""
+    rows, odd = planted_documents()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    pooled = quality.judge_quality(docs, group_rows=91, reject=1e9).collect()
+    assert all(r["kept"] for r in pooled)
+    assert {r["doc_id"] for r in pooled if r["distance"] > quality.REJECT} != odd
