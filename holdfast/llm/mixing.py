@@ -104,7 +104,7 @@ def _laid_out(docs: DataFrame) -> DataFrame:
         Window.unboundedPreceding, -1)
     sums = sums.select("pool", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0))
                        .alias("before"))
-    inside = Window.partitionBy("pool", "bucket").orderBy("h", "doc_id", "size")
+    inside = Window.partitionBy("pool", "bucket").orderBy("h", "doc_id", "size", "t")
     run = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     return docs.withColumns({"row": F.row_number().over(inside), "run": run}).join(
         sums, ["pool", "bucket"]).withColumn("place", F.col("before") + F.col("run")).drop(
