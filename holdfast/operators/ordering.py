@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 HASH_DIGITS = 4          # 16 ** 4 buckets of equal size
 SCORE_BUCKETS = 256      # at least; with more rows, the root of their number
+MOST_BUCKETS = 4096      # splits are collected and sent with the plan, so their number is bounded
+FINE = 64                # parts of a bucket where the bound is reached
 
 
 def hash_key(id_col: str, seed: int) -> Column:
@@ -80,17 +82,31 @@ def hash_rank(
 
 
 def score_splits(df: DataFrame, col: str, buckets: int | None = None) -> list[float]:
-    """Approximate quantiles of ``col``; fitted once so that buckets never change."""
+    """Approximate quantiles of ``col``; fitted once so that buckets never change.
+
+    There are at most ``MOST_BUCKETS``; ``with_score_bucket`` cuts each again where that bound holds.
+    """
     if buckets is None:
-        buckets = max(SCORE_BUCKETS, math.isqrt(df.count()))
+        buckets = min(MOST_BUCKETS, max(SCORE_BUCKETS, math.isqrt(df.count())))
     probs = [i / buckets for i in range(1, buckets)]
     found = df.agg(F.percentile_approx(col, probs, max(10_000, 4 * buckets))).first()[0] or []
     return sorted({float(x) for x in found})
 
 
 def with_score_bucket(df: DataFrame, col: str, splits: Sequence[float], out: str = "_bucket"):
-    """Bucket number rising with ``col``, by binary search over the splits."""
+    """Bucket number rising with ``col``, by binary search over the splits.
+
+    With as many splits as there may be, each bucket between two of them is cut into ``FINE`` parts of
+    equal width, found from the value alone. Parts rise with the value, so sums over buckets hold
+    whatever their sizes are.
+    """
     if not splits:
         return df.withColumn(out, F.lit(0.0))
     edges = [-float("inf"), *splits, float("inf")]
-    return Bucketizer(splits=edges, inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
+    found = Bucketizer(splits=edges, inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
+    if len(splits) < MOST_BUCKETS // 2:
+        return found
+    at = F.lit([float(x) for x in splits])
+    low, high = F.get(at, F.col(out).cast("int") - 1), F.get(at, F.col(out).cast("int"))
+    part = F.least(F.floor((F.col(col) - low) / (high - low) * FINE), F.lit(FINE - 1)) / FINE
+    return found.withColumn(out, F.col(out) + F.coalesce(part, F.lit(0.0)))
