@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
 
 from holdfast.plans import models as md, tree_paths as tp
 from holdfast.plans.boosting import Booster, margin_of
@@ -114,6 +115,47 @@ def test_models_add_up(frame, make, score):
     assert len(strength) == 6 and all(r["interaction_strength"] >= 0 for r in strength)
 
 
+@pytest.mark.parametrize("bits", [2, 5, 11])
+def test_tables_of_groups_equal_the_paths(monkeypatch, bits):
+    """Tables of any size give the values of all paths, also for NaN and values on a threshold."""
+    monkeypatch.setattr(tp, "CHUNK", 70)
+    rng = np.random.default_rng(5)
+    trees = [drawn(rng, 8, 7) for _ in range(4)] + [drawn(rng, 8, 0), drawn(rng, 8, 1)]
+    for t in trees:
+        t["threshold"] = [round(v, 1) for v in t["threshold"]]
+    x = np.round(rng.normal(size=(200, 8)), 1)
+    x[::5, 3] = np.nan
+    want = tp.shap_values(x, tp.path_table(trees)[1])
+    assert np.allclose(tp.grouped_shap_values(x, trees, bits), want, atol=1e-12)
+
+
+def test_integrals_do_not_grow_with_rows(monkeypatch):
+    """Many rows look their sums up; integrals are taken once per leaf and answer."""
+    rng = np.random.default_rng(6)
+    trees = [drawn(rng, 6, 6) for _ in range(3)]
+    seen, whole = [], tp._shares
+    monkeypatch.setattr(tp, "_shares", lambda inside, *rest: seen.append(inside.size) or whole(
+        inside, *rest))
+    tp.grouped_shap_values(rng.normal(size=(600, 6)), trees)
+    few = sum(seen)
+    tp.grouped_shap_values(rng.normal(size=(60_000, 6)), trees)
+    assert few and sum(seen) == 2 * few
+
+
+def test_many_rows_go_through_tables(monkeypatch, frame):
+    """Rows of a task share tables, in several rounds, and add up to the score."""
+    for name, value in (("FEW", 1), ("ROWS", 40), ("shap_values", None)):
+        monkeypatch.setattr(tp, name, value)
+    assemble = VectorAssembler(inputCols=list("abcd"), outputCol="features")
+    fitted = md.Fitted("x", PipelineModel([assemble, md.rf(numTrees=5, maxDepth=4).fit(
+        assemble.transform(frame))]), list("abcd"))
+    total = {r["row_id"]: r["t"] for r in tp.tree_shap(frame, fitted).groupBy("row_id").agg(
+        F.sum("shap").alias("t")).collect()}
+    scored = fitted.pipeline.transform(frame).collect()
+    assert len(total) == len(scored) == 300
+    assert all(abs(total[r["CustomerID"]] - r["probability"][1]) < 1e-9 for r in scored)
+
+
 def test_other_models_are_refused(frame):
     assemble = VectorAssembler(inputCols=["a"], outputCol="features")
     with pytest.raises(ValueError):
