@@ -10,9 +10,10 @@ without a limit of leaves that is growth by level. A pass prepares the children
 could be split next, so there are about as many passes as levels. Of two children only the smaller one
 is summed; the other is the difference to the parent.
 
-Rows are kept as written blocks of binned features, with the margin after some trees; later trees
-are applied inside the passes. Sums are whole numbers (units of 2^-24), so results do not depend on the
-order of rows. The driver holds sums of the leaves of one tree: at most ``numLeaves`` x features x bins.
+Rows are kept in blocks of binned features, with the margin after the trees so far: each tree is applied once,
+not in every pass over the rows. Blocks are written from time to time, so a lost executor repeats few trees.
+Sums are whole numbers (units of 2^-24), so results do not depend on the order of rows. The driver holds sums of
+the leaves of one tree: at most ``numLeaves`` x features x bins.
 """
 
 from __future__ import annotations
@@ -44,10 +45,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Unit of the sums.
 UNIT = 1 << 24
-#: Rows of a block, trees after which margins are written, and bins whose sums travel together.
+#: Rows of a block, trees after which blocks are written, and bins whose sums travel together.
 BLOCK_ROWS, STATE_TREES, CHUNK = 1 << 16, 20, 4096
 #: Feature columns of one statement that looks for bin edges.
 EDGE_COLUMNS = 32
+#: Tasks that add up the sums of a pass.
+ADDERS = 12
 
 
 # ---- bins ------------------------------------------------------------------------------------
@@ -143,13 +146,18 @@ class Tree:
     def place(self, bins: np.ndarray) -> np.ndarray:
         """The leaf of each row."""
         feature, cut, left, right = (np.asarray(getattr(self, p)) for p in self.PARTS[:4])
+        # a leaf is its own child, so all rows go down together
+        leaf, own = left < 0, np.arange(len(left))
+        feature = np.where(leaf, 0, feature)
+        children = np.stack([np.where(leaf, own, left), np.where(leaf, own, right)], axis=1).ravel()
+        cells, first = bins.ravel(), np.arange(len(bins)) * bins.shape[1]
         at = np.zeros(len(bins), np.int64)
-        moving = np.arange(len(bins))
-        while len(moving):
-            moving = moving[left[at[moving]] >= 0]
-            node = at[moving]
-            go_left = bins[moving, feature[node]] <= cut[node]
-            at[moving] = np.where(go_left, left[node], right[node])
+        level = [0] * len(left)
+        for node in np.flatnonzero(~leaf):          # children come after their parent
+            level[left[node]] = level[right[node]] = level[node] + 1
+        for _ in range(max(level)):
+            go_right = cells.take(first + feature.take(at)) > cut.take(at)
+            at = children.take(2 * at + go_right)
         return at
 
 
@@ -215,7 +223,7 @@ def _cells(b: pa.RecordBatch, width: int):
 _BLOCK = ["block", "bins", "label", "weight", "margin"]
 
 
-def node_sums(rows: DataFrame, splits: Splits, trees: list, tree: Tree, wanted: list[int],
+def node_sums(rows: DataFrame, splits: Splits, tree: Tree, wanted: list[int],
               sample: float = 1.0, seed: int = 0, parts: int = 2) -> dict[int, np.ndarray]:
     """Sums of gradients, hessians and rows by bin, for each of the ``wanted`` nodes.
 
@@ -235,7 +243,7 @@ def node_sums(rows: DataFrame, splits: Splits, trees: list, tree: Tree, wanted:
                 if sample < 1.0:
                     k[np.random.default_rng([seed, block]).random(len(k)) >= sample] = -1
                 at = np.flatnonzero(k >= 0)
-                p = 1 / (1 + np.exp(-_margins(bins[at], margin[at], trees)))
+                p = 1 / (1 + np.exp(-margin[at]))
                 w = weight[at]
                 slot = (k[at, None] * slots + offsets + bins[at]).ravel()
                 for i, x in enumerate((w * (p - label[at]), w * p * (1 - p))):
@@ -262,7 +270,9 @@ def node_sums(rows: DataFrame, splits: Splits, trees: list, tree: Tree, wanted:
     schema = "node int, chunk int, sums binary"
     found = rows.mapInArrow(run, schema)
     if parts > 1:
-        found = found.repartition("node", "chunk").mapInArrow(add, schema)
+        # a pass is short: no more tasks than sums
+        found = found.repartition(min(parts, ADDERS, len(wanted) * chunks), "node", "chunk").mapInArrow(
+            add, schema)
     out = {node: np.zeros((3, slots), np.int64) for node in wanted}
     for r in found.collect():
         at = r["chunk"] * CHUNK
@@ -271,12 +281,12 @@ def node_sums(rows: DataFrame, splits: Splits, trees: list, tree: Tree, wanted:
     return out
 
 
-def grow(rows: DataFrame, splits: Splits, trees: list, max_depth: int, num_leaves: int,
+def grow(rows: DataFrame, splits: Splits, max_depth: int, num_leaves: int,
          allowed: np.ndarray, sample: float = 1.0, seed: int = 0, parts: int = 2) -> Tree:
     """One tree, best leaf first."""
     tree, trial = Tree(), Tree()
     trial.add(0, 0, 0, 0)
-    sums = node_sums(rows, splits, trees, trial, [0], sample, seed, parts)
+    sums = node_sums(rows, splits, trial, [0], sample, seed, parts)
     g, h, n = (int(x) for x in sums[0][:, :splits.sizes[0]].sum(axis=1))
     tree.add(g, h, n, 0)
     limit = num_leaves if num_leaves > 0 else sys.maxsize
@@ -309,7 +319,7 @@ def grow(rows: DataFrame, splits: Splits, trees: list, max_depth: int, num_leave
             trial.feature[node], trial.cut[node] = feature, cut
             trial.left[node], trial.right[node] = (trial.add(0, 0, 0, 0) for _ in range(2))
             small.append(trial.left[node] if 2 * left[2] <= tree.n[node] else trial.right[node])
-        found = node_sums(rows, splits, trees, trial, small, sample, seed, parts)
+        found = node_sums(rows, splits, trial, small, sample, seed, parts)
         for node, child in zip(nodes, small):
             pair = found[child], sums[node] - found[child]
             children[node] = pair if child == trial.left[node] else pair[::-1]
@@ -395,23 +405,24 @@ class Booster(Estimator, _BoosterParams, DefaultParamsReadable, DefaultParamsWri
         draw = np.random.default_rng(get("seed"))
         width = len(edges)
         seen = max(1, round(get("featureFraction") * width))
-        trees, later = [], []
+        trees, before = [], None
         for i in range(get("maxIter")):
             allowed = np.zeros(width, bool)
             allowed[draw.permutation(width)[:seen] if seen < width else slice(None)] = True
-            tree = grow(rows, splits, later, get("maxDepth"), get("numLeaves"), allowed,
+            tree = grow(rows, splits, get("maxDepth"), get("numLeaves"), allowed,
                         get("subsamplingRate"), int(draw.integers(2**31)), parts)
+            if before is not None:     # all rows have the margin of the last tree by now
+                before.unpersist()
             value = np.array([get("stepSize") * splits.value(g, h) if left < 0 else 0.0
                               for g, h, left in zip(tree.g, tree.h, tree.left)])
-            later.append((tree, value))
             trees.append({
                 "feature": tree.feature, "left": tree.left, "right": tree.right, "gain": tree.gain,
                 "cover": tree.n, "value": value.tolist(), "order": _order(tree),
                 "threshold": [edges[f][c] if f >= 0 else 0.0
                               for f, c in zip(tree.feature, tree.cut)]})
-            if len(later) == STATE_TREES and i + 1 < get("maxIter"):
-                before, later, rows = rows, [], _kept(advanced(rows, later, width))
-                before.unpersist()
+            if i + 1 < get("maxIter"):
+                before, rows = rows, advanced(rows, [(tree, value)], width)
+                rows = rows.persist() if (i + 1) % STATE_TREES else _kept(rows)
         rows.unpersist()
         model = BoostedModel(trees=json.dumps(trees), numFeatures=width)
         return self._copyValues(model)
