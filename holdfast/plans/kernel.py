@@ -13,7 +13,7 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle, inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression
@@ -57,15 +57,21 @@ class FourierMap(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsR
     def _transform(self, dataset: DataFrame) -> DataFrame:
         size, gamma, seed = (self.getOrDefault(p) for p in ("dimensions", "gamma", "seed"))
 
-        @F.pandas_udf("array<double>")
-        def cosines(x: pd.Series) -> pd.Series:
-            out = []
+        @F.arrow_udf("array<double>")
+        def cosines(x: pa.Array) -> pa.Array:
+            # one buffer for a whole batch, filled in place
+            ends = np.arange(0, (len(x) + 1) * size, size, dtype=np.int32)[:len(x) + 1]
+            out = np.empty((len(x), size))
             if len(x):
-                w, b = directions(len(x.iloc[0]), size, gamma, seed)
+                given = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+                w, b = directions(given.shape[1], size, gamma, seed)
                 for at in range(0, len(x), ROWS):
-                    rows = np.stack(x.iloc[at:at + ROWS].to_numpy())
-                    out += list(np.sqrt(2 / size) * np.cos(rows @ w + b))
-            return pd.Series(out)
+                    part = out[at:at + ROWS]
+                    np.matmul(given[at:at + ROWS], w, out=part)
+                    part += b
+                    np.cos(part, out=part)
+                    part *= np.sqrt(2 / size)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
 
         return dataset.withColumn(self.getOutputCol(), array_to_vector(cosines(
             vector_to_array(self.getInputCol()))))
