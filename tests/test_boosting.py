@@ -164,3 +164,25 @@ def test_many_values_use_quantiles(spark):
     assert 50 <= len(edges) <= 63 and edges == sorted(edges)
     (t,) = Booster(maxIter=1, maxDepth=1, maxBins=64).fit(frame).tree_list()
     assert abs(t["threshold"][0] - 0.5) < 0.1
+
+
+def test_each_tree_is_applied_once(spark, monkeypatch):
+    """The blocks carry the margin after every tree; passes do not go through earlier trees again."""
+    applied, whole = [], boosting.advanced
+    monkeypatch.setattr(boosting, "advanced", lambda rows, trees, width: applied.append(len(trees))
+                        or whole(rows, trees, width))
+    rows = spark.createDataFrame([(Vectors.dense([float(i % 7), float(i % 5)]), float(i % 7 > 3))
+                                  for i in range(200)], ["features", "label"])
+    model = boosting.Booster(maxIter=5, maxDepth=2).fit(rows)
+    assert len(model.tree_list()) == 5 and applied == [1] * 4
+
+
+def test_forests_keep_nodes_of_rows(spark):
+    """The trees are those of a forest that walks from the root."""
+    from holdfast.plans import models as md
+    rows = spark.createDataFrame([(Vectors.dense([float(i % 7), float(i % 5)]), float(i % 7 > 3))
+                                  for i in range(200)], ["features", "label"])
+    kept, plain = md.rf(numTrees=3, maxDepth=4), md.rf(numTrees=3, maxDepth=4, cacheNodeIds=False)
+    assert kept.getCacheNodeIds()
+    assert [t.toDebugString.split("\n", 1)[1] for t in kept.fit(rows).trees] == [
+        t.toDebugString.split("\n", 1)[1] for t in plain.fit(rows).trees]
