@@ -78,3 +78,15 @@ def test_ridge_weight_is_a_parameter(spark, frames):
     weak, strong = (m for _, m in sorted(model.fitMultiple(train, grid), key=lambda x: x[0]))
     assert np.abs(weak.coefficients.toArray()).max() < np.abs(strong.coefficients.toArray()).max()
     assert md.spark_params(model, {"C": 3.0}) == {model.C: 3.0}
+
+
+def test_cosines_of_several_rounds(spark, monkeypatch):
+    """A batch is one buffer, filled round by round; empty partitions give nothing."""
+    monkeypatch.setattr(kernel, "ROWS", 3)
+    x = np.random.default_rng(4).normal(size=(10, 2))
+    data = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x)], ["i", "features"])
+    both = kernel.FourierMap(dimensions=5, gamma=0.5, seed=1).transform(data.repartition(4).where("i <> 7"))
+    w, b = kernel.directions(2, 5, 0.5, 1)
+    got = {r["i"]: r["_kernel"].toArray() for r in both.collect()}
+    assert sorted(got) == [i for i in range(10) if i != 7]
+    assert all(np.allclose(got[i], np.sqrt(2 / 5) * np.cos(x[i] @ w + b), atol=1e-12) for i in got)
