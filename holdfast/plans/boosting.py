@@ -49,8 +49,6 @@ UNIT = 1 << 24
 BLOCK_ROWS, STATE_TREES, CHUNK = 1 << 16, 20, 4096
 #: Feature columns of one statement that looks for bin edges.
 EDGE_COLUMNS = 32
-#: Tasks that add up the sums of a pass.
-ADDERS = 12
 
 
 # ---- bins ------------------------------------------------------------------------------------
@@ -146,18 +144,13 @@ class Tree:
     def place(self, bins: np.ndarray) -> np.ndarray:
         """The leaf of each row."""
         feature, cut, left, right = (np.asarray(getattr(self, p)) for p in self.PARTS[:4])
-        # a leaf is its own child, so all rows go down together
-        leaf, own = left < 0, np.arange(len(left))
-        feature = np.where(leaf, 0, feature)
-        children = np.stack([np.where(leaf, own, left), np.where(leaf, own, right)], axis=1).ravel()
-        cells, first = bins.ravel(), np.arange(len(bins)) * bins.shape[1]
         at = np.zeros(len(bins), np.int64)
-        level = [0] * len(left)
-        for node in np.flatnonzero(~leaf):          # children come after their parent
-            level[left[node]] = level[right[node]] = level[node] + 1
-        for _ in range(max(level)):
-            go_right = cells.take(first + feature.take(at)) > cut.take(at)
-            at = children.take(2 * at + go_right)
+        moving = np.arange(len(bins))
+        while len(moving):
+            moving = moving[left[at[moving]] >= 0]
+            node = at[moving]
+            go_left = bins[moving, feature[node]] <= cut[node]
+            at[moving] = np.where(go_left, left[node], right[node])
         return at
 
 
@@ -270,9 +263,7 @@ def node_sums(rows: DataFrame, splits: Splits, tree: Tree, wanted: list[int],
     schema = "node int, chunk int, sums binary"
     found = rows.mapInArrow(run, schema)
     if parts > 1:
-        # a pass is short: no more tasks than sums
-        found = found.repartition(min(parts, ADDERS, len(wanted) * chunks), "node", "chunk").mapInArrow(
-            add, schema)
+        found = found.repartition("node", "chunk").mapInArrow(add, schema)
     out = {node: np.zeros((3, slots), np.int64) for node in wanted}
     for r in found.collect():
         at = r["chunk"] * CHUNK
